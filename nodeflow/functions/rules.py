@@ -23,7 +23,7 @@ def feedback(confidence: Column, params: Params) -> Column:
 def apply_feedback(mass: Column, variance: Column, delta_mass: Column, delta_variance: Column) -> Column:
     """One event: the mass is cut to a whole number, both stay at or above 0."""
     return F.struct(
-        F.greatest((mass + delta_mass).cast("bigint"), F.lit(0)).alias("mass"),
+        F.greatest((mass + delta_mass).cast("bigint"), F.lit(0).cast("bigint")).alias("mass"),
         F.greatest(F.coalesce(variance, F.lit(0.0)) + delta_variance, F.lit(0.0)).alias("variance"),
     )
 

@@ -7,26 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from nodeflow.operators.provenance import latest_by
+from nodeflow.operators.ranking import keyed_rank
 from nodeflow.params import Params
+from nodeflow.session import cut
 
 METRICS = ("perplexity", "validation_loss", "thematic_coherence")
 
 
-def validation_split(texts: DataFrame, params: Params, key: str, order: list[str]) -> DataFrame:
+def validation_split(texts: DataFrame, params: Params, key: str, order: str, *ties: str) -> DataFrame:
     """Last part of each key's texts; all of them when there are too few to split."""
-    w = W.partitionBy(key)
-    numbered = texts.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    start = F.floor(F.col("_n") * (1 - params.validation_split))
-    keep = (F.col("_n") <= params.eval_min_texts) | (F.col("_i") >= start)
     if params.validation_split <= 0:
-        keep = F.lit(True)
-    return numbered.where(keep).drop("_i", "_n")
+        return texts
+    start = F.floor(F.col("n") * (1 - params.validation_split))
+    keep = (F.col("n") <= params.eval_min_texts) | (F.col("rank") > start)
+    return keyed_rank(texts, [key], order, *ties).where(keep).drop("rank", "n")
 
 
-def perplexity_rollup(losses: DataFrame, params: Params, key: str, order: list[str]) -> DataFrame:
+def perplexity_rollup(losses: DataFrame, params: Params, key: str, order: str, *ties: str) -> DataFrame:
     """losses(key, order, loss): mean over batches of the batch means, and its exponential."""
-    batch = F.floor((F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1) / params.eval_batch_size)
-    per_batch = losses.withColumn("_batch", batch).groupBy(key, "_batch").agg(F.avg("loss").alias("_loss"))
+    batch = F.floor((F.col("rank") - 1) / params.eval_batch_size)
+    per_batch = keyed_rank(losses, [key], order, *ties).groupBy(key, batch.alias("_batch")).agg(
+        F.avg("loss").alias("_loss"))
     return per_batch.groupBy(key).agg(
         F.avg("_loss").alias("validation_loss"), F.exp(F.avg("_loss")).alias("perplexity"),
         F.count("*").alias("n_batches"))
@@ -47,11 +48,7 @@ def confidence(step_scores: Column) -> Column:
 
 
 def eval_summary(metrics: DataFrame, by: str = "metric_name", value: str = "metric_value") -> DataFrame:
-    """min, max, mean and upper median per metric.
-
-    The median is found by counting: values are grouped, and only the running count per
-    distinct value decides, so no metric's values meet in one sort of rows.
-    """
+    """min, max, mean and upper median per metric."""
     base = metrics.where(F.col(value).isNotNull())
     stats = base.groupBy(by).agg(F.min(value).alias("min_value"), F.max(value).alias("max_value"),
                                  F.avg(value).alias("avg_value"), F.count("*").alias("n"))
@@ -59,26 +56,33 @@ def eval_summary(metrics: DataFrame, by: str = "metric_name", value: str = "metr
                                                                 "median_value")
 
 
-def upper_median(table: DataFrame, by: str, value: str, buckets: int = 4096) -> DataFrame:
+def upper_median(table: DataFrame, by: str, value: str, buckets: int = 4096, small: int = 100_000) -> DataFrame:
     """sorted(values)[n // 2] per key, exact.
 
-    Values fall in buckets between the key's minimum and maximum; the bucket that holds the
-    middle is narrowed again until it is small or holds one value only.
+    While a key has more than ``small`` rows its values fall in buckets between its minimum
+    and maximum and only the bucket that holds the middle is kept.
     """
-    edges = table.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_n"))
-    edges = edges.withColumn("_want", F.floor(F.col("_n") / 2))
-    b = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(buckets - 1), F.floor(
-        (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets))).otherwise(F.lit(0))
-    placed = table.select(by, value).join(edges, by).withColumn("_b", b)
-    per_value = placed.groupBy(by, "_b").agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(W.partitionBy(by).orderBy("_b")) - F.col("_c")
-    middle = per_value.withColumn("_before", before).join(edges.select(by, "_want"), by).where(
-        (F.col("_before") <= F.col("_want")) & (F.col("_want") < F.col("_before") + F.col("_c"))).select(
-            by, "_b", "_before")
-    inside = placed.join(middle, [by, "_b"]).groupBy(by, value).agg(
-        F.count("*").alias("_c"), F.first("_want").alias("_want"), F.first("_before").alias("_before"))
+    rows = table.select(by, value)
+    want = rows.groupBy(by).agg(F.floor(F.count("*") / 2).alias("_want"))
+    while True:
+        edges = rows.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_n"))
+        largest = edges.agg(F.max(F.when(F.col("_hi") > F.col("_lo"), F.col("_n")))).first()[0] or 0
+        if largest <= small:
+            break
+        share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        bucket = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(buckets - 1), F.floor(share * buckets))).otherwise(0)
+        placed = rows.join(edges, by).select(by, value, bucket.alias("_b"))
+        counts = placed.groupBy(by, "_b").agg(F.count("*").alias("_c"))
+        upto = F.sum("_c").over(W.partitionBy(by).orderBy("_b"))
+        middle = cut(counts.withColumn("_upto", upto).join(want, by)
+                     .where((F.col("_upto") > F.col("_want")) & (F.col("_upto") - F.col("_c") <= F.col("_want")))
+                     .select(by, "_b", (F.col("_want") - (F.col("_upto") - F.col("_c"))).alias("_want")))
+        rows = cut(placed.join(middle.select(by, "_b"), [by, "_b"]).select(by, value))
+        want = middle.select(by, "_want")
+    # equal values are one row here, so copies of a value cannot pile up in a window
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("_c"))
     upto = F.sum("_c").over(W.partitionBy(by).orderBy(value))
-    return inside.withColumn("_upto", upto + F.col("_before")).where(F.col("_upto") > F.col("_want")).groupBy(by).agg(
+    return counts.withColumn("_upto", upto).join(want, by).where("_upto > _want").groupBy(by).agg(
         F.min(value).alias("median_value"))
 
 

@@ -32,29 +32,45 @@ def session_replace(sessions: DataFrame) -> DataFrame:
     return latest_by(sessions, ["session_id"], [F.col("created_timestamp"), F.col("dataset_name")])
 
 
-def resolve_dataset(sources: DataFrame, datasets: DataFrame, sessions: DataFrame, max_datasets: int = 10_000) -> DataFrame:
+def _contained(ids: DataFrame, datasets: DataFrame) -> DataFrame:
+    """(source_id, _contained): first dataset whose name is part of the id, ignoring case.
+
+    An equi-join on the parts of the id that are as long as some name.
+    """
+    named = datasets.select(F.lower("dataset_name").alias("_part"), "dataset_name", "dataset_order")
+    lengths = [r[0] for r in named.select(F.length("_part")).distinct().collect()]  # a few lengths of names
+    low = F.lower("source_id")
+    parts = F.flatten(F.array(*[
+        F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)),
+                                               lambda i, n=n: F.substring(low, i, F.lit(n))))
+        .otherwise(F.array().cast("array<string>")) for n in lengths] or [F.array().cast("array<string>")]))
+    exploded = ids.select("source_id").distinct().select("source_id", F.explode(F.array_distinct(parts)).alias("_part"))
+    return exploded.join(named, "_part").groupBy("source_id").agg(
+        F.min_by("dataset_name", "dataset_order").alias("_contained"))
+
+
+def resolve_dataset(sources: DataFrame, datasets: DataFrame, sessions: DataFrame, literals: int = 1000) -> DataFrame:
     """sources(source_id), datasets(dataset_name, dataset_order), sessions(session_id, dataset_name) -> + dataset.
 
-    Order: known prefix, session, a dataset name contained in the id, the only dataset. The
-    names are the handful of configured inputs; their number is checked before they become
-    one literal list, beyond it the work stays with a join on the words of the id.
+    Order: known prefix, session, a dataset name contained in the id, the only dataset. Up to
+    ``literals`` names are looked for in place, without a shuffle; more are joined.
     """
-    names = datasets.orderBy("dataset_order").limit(max_datasets + 1).collect()
-    if len(names) > max_datasets:
-        raise ValueError(f"more than {max_datasets} configured datasets")
-    ordered = [r.dataset_name for r in names]
-    known = F.array(*[F.lit(n) for n in ordered]) if ordered else F.array().cast("array<string>")
-    only = F.lit(ordered[0]) if len(ordered) == 1 else F.lit(None).cast("string")
     p = X.prefix(F.col("source_id"))
-    contained = F.get(F.filter(known, lambda n: F.contains(F.lower("source_id"), F.lower(n))), F.lit(0))
     session = sessions.select(F.col("session_id").alias("_prefix"), F.col("dataset_name").alias("_session_dataset"))
-    return (
-        sources.withColumn("_prefix", p).join(session, "_prefix", "left")
-        .withColumn("dataset", F.coalesce(
-            F.when(F.array_contains(known, F.col("_prefix")), F.col("_prefix")),
-            F.col("_session_dataset"), contained, only))
-        .drop("_prefix", "_session_dataset")
-    )
+    keyed = sources.withColumn("_prefix", p).join(session, "_prefix", "left")
+    head = datasets.orderBy("dataset_order").limit(literals + 1).collect()
+    if len(head) <= literals:
+        names = [r.dataset_name for r in head]
+        known = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+        only = F.lit(names[0]) if len(names) == 1 else F.lit(None).cast("string")
+        inside = F.get(F.filter(known, lambda n: F.contains(F.lower("source_id"), F.lower(n))), F.lit(0))
+        found = keyed.withColumn("dataset", F.coalesce(
+            F.when(F.array_contains(known, F.col("_prefix")), F.col("_prefix")), "_session_dataset", inside, only))
+    else:
+        exact = datasets.select(F.col("dataset_name").alias("_prefix"), F.col("dataset_name").alias("_exact"))
+        found = keyed.join(exact, "_prefix", "left").join(_contained(sources, datasets), "source_id", "left").withColumn(
+            "dataset", F.coalesce("_exact", "_session_dataset", "_contained")).drop("_exact", "_contained")
+    return found.drop("_prefix", "_session_dataset")
 
 
 def resolve_texts(pointers: DataFrame, texts: DataFrame) -> DataFrame:
@@ -79,8 +95,8 @@ def provenance_counts(resolved: DataFrame) -> DataFrame:
 def recent(table: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """Last n rows per key by ``order`` (descending columns).
 
-    The rank filter is applied inside every partition first, so a hot key sends at most n
-    rows per partition over the network.
+    Spark applies the rank limit inside every partition before the shuffle (window group
+    limit), so a hot key sends at most n rows per partition over the network.
     """
     return table.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(
         F.col("_rn") <= n).drop("_rn")

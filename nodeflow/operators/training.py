@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from nodeflow.functions import rules as R
 from nodeflow.operators.parents import is_titan_size
 from nodeflow.operators.provenance import recent
+from nodeflow.operators.ranking import keyed_rank
 from nodeflow.params import Params
 
 
@@ -125,3 +126,8 @@ def stale_cleanup(nodes: DataFrame) -> DataFrame:
         "needs_training": F.when(stale & F.col("is_trained"), False).otherwise(F.col("needs_training")),
         "training_status": F.when(stale, F.when(F.col("is_trained"), "COMPLETED")).otherwise(F.col("training_status")),
     })
+
+
+def rank_by_mass(nodes: DataFrame) -> DataFrame:
+    """Total training order by mass, heavy first, as a dense rank column."""
+    return keyed_rank(nodes.withColumn("_order", -F.col("mass")), [], "_order", "node_id").drop("_order", "n")
