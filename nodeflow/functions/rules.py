@@ -74,7 +74,8 @@ def strict_abort(inherits: Column, similarity: Column, params: Params) -> Column
 
 
 def hours_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / 3_600_000_000.0
+    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    return micros / 3_600_000_000.0
 
 
 def quarantine_status(forced_root: Column, count: Column, last_exit: Column, as_of: Column, params: Params) -> Column:

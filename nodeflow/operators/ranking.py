@@ -15,15 +15,16 @@ from pyspark.sql import Window as W
 def sliced(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
     """Add ``_slice``, non-decreasing in ``order`` (a number or a timestamp)."""
     n = slices or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    value = F.unix_micros(order) if df.schema[order].dataType.typeName() == "timestamp" else F.col(order)
+    is_time = df.schema[order].dataType.typeName().startswith("timestamp")
+    value = F.unix_micros(F.col(order).cast("timestamp")) if is_time else F.col(order)
     cuts = df.agg(F.percentile_approx(value.cast("double"), [i / n for i in range(1, n)], 20 * n)).first()[0] or []
     inner = sorted(set(cuts))
     splits = [float("-inf"), *inner, float("inf")]
     if len(splits) < 3:
         return df.withColumn("_slice", F.lit(0))
-    made = Bucketizer(splits=splits, inputCol="_order", outputCol="_slice", handleInvalid="keep").transform(
-        df.withColumn("_order", value.cast("double")))
-    return made.drop("_order").withColumn("_slice", F.col("_slice").cast("int"))
+    made = Bucketizer(splits=splits, inputCol="_slice_by", outputCol="_slice", handleInvalid="keep").transform(
+        df.withColumn("_slice_by", value.cast("double")))
+    return made.drop("_slice_by").withColumn("_slice", F.col("_slice").cast("int"))
 
 
 def keyed_rank(df: DataFrame, keys: list[str], order: str, *ties: str, slices: int | None = None) -> DataFrame:

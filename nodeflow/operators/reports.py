@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodeflow.functions.texts import strip
+
 
 def run_summary(nodes: DataFrame) -> DataFrame:
     return nodes.agg(
@@ -49,4 +51,4 @@ def consolidation_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
 def dataset_stats(rows: DataFrame) -> DataFrame:
     """rows(dataset, text): rows read and texts that hold something."""
     return rows.groupBy("dataset").agg(
-        F.count("*").alias("total_rows"), F.count_if(F.coalesce(F.trim("text"), F.lit("")) != "").alias("valid_texts"))
+        F.count("*").alias("total_rows"), F.count_if(F.coalesce(strip(F.col("text")), F.lit("")) != "").alias("valid_texts"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from nodeflow.functions import rules as R
+from nodeflow.functions.texts import strip
 from nodeflow.operators.parents import is_titan_size
 from nodeflow.operators.provenance import recent
 from nodeflow.operators.ranking import keyed_rank
@@ -58,7 +59,7 @@ def training_order(nodes: DataFrame, params: Params) -> DataFrame:
         .when(is_titan_size(params), 1).otherwise(2)
     )
     key = F.when(F.col("tier") == 1, F.col("mass")).otherwise(-F.col("mass"))
-    return pending.drop("_ready").withColumn("tier", tier).withColumn("tier_key", key).orderBy(
+    return pending.withColumn("tier", tier).withColumn("tier_key", key).drop("_ready").orderBy(
         "tier", "tier_key", "node_id")
 
 
@@ -74,7 +75,7 @@ def training_texts(pointers: DataFrame, params: Params, order=None) -> DataFrame
     """pointers(node_id, source_id, created, text): last texts of a node, blanks out, too few means none."""
     order = order or [F.desc("created"), F.desc("source_id")]
     last = recent(pointers, "node_id", order, params.max_training_texts)
-    kept = last.where(F.coalesce(F.trim("text"), F.lit("")) != "")
+    kept = last.where(F.coalesce(strip(F.col("text")), F.lit("")) != "")
     enough = F.count("*").over(W.partitionBy("node_id"))
     return kept.withColumn("n_valid", enough).where(F.col("n_valid") >= params.min_training_texts)
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("vectors", "fusion")
+MODULES = ("vectors", "fusion", "sources", "rules", "evaluation", "flows")
 
 
 def load():

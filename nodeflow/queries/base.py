@@ -121,7 +121,7 @@ def parts(spark, sf) -> DataFrame:
     k = F.col("p_partkey")
     trained = k % 3 != 0
     parent = F.when(k % 5 == 2, node_name(F.when(k % 25 == 2, k).otherwise(F.floor(k / 2))))
-    exit_at = F.timestamp_micros(F.unix_micros(F.lit(AS_OF).cast("timestamp")) - (k % 300) * 3_600_000_000)
+    exit_at = as_of() - F.make_dt_interval(hours=(k % 300).cast("int"))
     return table(spark, sf, "part").select(
         node_name(k).alias("node_id"), k.alias("key"),
         (F.col("p_size") * 5).cast("bigint").alias("mass"),
@@ -137,7 +137,7 @@ def parts(spark, sf) -> DataFrame:
         F.when(k % 9 == 0, F.lit("")).when(k % 9 < 5, F.col("p_name")).alias("label"),
         (k % 13 == 6).alias("forced_root"), (k % 4 - 1).cast("int").alias("quarantine_count"),
         F.when(k % 3 != 2, exit_at).alias("last_quarantine_exit"), (k % 5).cast("bigint").alias("total_failures"),
-        F.lit(None).cast("timestamp").alias("last_failure_time"))
+        F.lit(None).cast("timestamp_ntz").alias("last_failure_time"))
 
 
 PARTS = f"""parts AS (
@@ -164,7 +164,7 @@ PARTS = f"""parts AS (
 
 
 def as_of() -> Column:
-    return F.lit(AS_OF).cast("timestamp")
+    return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 def pointers(spark, sf) -> DataFrame:

@@ -139,11 +139,11 @@ STRICT = replace(P, fusion_similarity=0.60, fusion_max_mass=2, fusion_max_varian
 
 @query("fusion_diagnose", sql(f""", levels AS (
   SELECT t, count(*) FILTER (sim >= t) AS n FROM pairs CROSS JOIN (SELECT unnest({[*LEVELS, 0.60]}) AS t) GROUP BY t), c AS (
-  SELECT sum(n) FILTER (t = 0.60) AS at, min(t) FILTER (n > 0) AS low FROM levels), pop AS (
+  SELECT sum(n) FILTER (t = 0.60) AS hits, min(t) FILTER (n > 0) AS low FROM levels), pop AS (
   SELECT {POPULATION.replace(SMALL, 'mass <= 2').replace(STABLE, 'variance <= 0.4')} FROM nodes)
-SELECT pop.*, CAST(at AS BIGINT) AS pairs_at_threshold, CAST(low AS DOUBLE) AS lowest_with_pairs,
+SELECT pop.*, CAST(hits AS BIGINT) AS pairs_at_threshold, CAST(low AS DOUBLE) AS lowest_with_pairs,
        concat_ws(',', CASE WHEN small_stable_nodes < 2 THEN 'FEW_CANDIDATES' END,
-         CASE WHEN at = 0 AND low IS NOT NULL THEN printf('LOWER_SIMILARITY:%.2f', CAST(low AS DOUBLE)) END,
+         CASE WHEN hits = 0 AND low IS NOT NULL THEN printf('LOWER_SIMILARITY:%.2f', CAST(low AS DOUBLE)) END,
          CASE WHEN avg_mass > 4 THEN 'RAISE_MAX_MASS' END,
          CASE WHEN avg_variance > 0.8 THEN 'RAISE_MAX_VARIANCE' END) AS advice
 FROM pop, c""", PAIRS))
@@ -189,16 +189,15 @@ def late_binding(spark, sf):
 @query("re_evaluate", sql(f""", ranked AS (
   SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY sim DESC, parent_node_id) AS rn
   FROM tsims WHERE sim >= {P.re_evaluation_similarity} AND (child_status IS NULL OR child_status <> 'TRAINING')
-    AND NOT (key % 4 = 1) AND old_parent IN (SELECT node_id FROM nodes WHERE training_status = 'FAILED'))
+    AND NOT (key % 4 = 1) AND old_parent IS NOT NULL)
 SELECT node_id, parent_node_id, round(sim, 6) AS sim FROM ranked WHERE rn = 1""", TITAN_SIMS))
 def re_evaluate(spark, sf):
-    """Children of failed nodes are queued; every node with key % 4 = 1 sits in quarantine."""
-    from nodeflow.operators.lineage import children_of_failed
+    """All children are queued; nodes with key % 4 = 1 sit in quarantine."""
     n = nodes(spark, sf).withColumns({
         "forced_root": F.lit(False), "quarantine_count": F.when(F.col("key") % 4 == 1, 1).otherwise(0),
-        "last_quarantine_exit": F.lit(None).cast("timestamp")})
+        "last_quarantine_exit": F.lit(None).cast("timestamp_ntz")})
     n = Q.with_status(n, as_of(), P)
-    return parents.re_evaluate(children_of_failed(n), n, P).withColumn("sim", r6("sim"))
+    return parents.re_evaluate(n.where("parent_node_id is not null"), n, P).withColumn("sim", r6("sim"))
 
 
 @query("progressive_adoption", f"""WITH RECURSIVE {NODES}, roots AS (

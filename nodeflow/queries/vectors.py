@@ -54,7 +54,7 @@ def vec_sq_dist(spark, sf):
 
 @query("vector_validate", """
 SELECT label, CAST(count(*) AS BIGINT) AS n_rows,
-       CAST(count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x))) = 0) AS BIGINT) AS n_valid
+       CAST(count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0) AS BIGINT) AS n_valid
 FROM embeddings GROUP BY label""")
 def vector_validate(spark, sf):
     from nodeflow.sources.vectors import validated
@@ -165,14 +165,14 @@ def nearest_buffer(spark, sf):
 
 
 @query("node_members", f"""WITH {MEMBERS}
-SELECT node_id, CAST(count(*) AS BIGINT) AS n_members, min(row_id) AS first_row, max(row_id) AS last_row
+SELECT node_id, CAST(count(*) * 2 AS BIGINT) AS n_members, min(row_id) AS first_row, max(row_id) + 1000000000 AS last_row
 FROM members GROUP BY node_id""")
 def node_members(spark, sf):
     """Memory keeps what it has and takes every new member once, repeats included."""
     from nodeflow.operators.state import node_members as append
     m = members(spark, sf).select("node_id", "row_id", "embedding")
-    old = m.where(F.col("row_id") < 100)
-    both = append(old, m)
+    again = m.withColumn("row_id", F.explode(F.array("row_id", F.col("row_id") + 1_000_000_000)))
+    both = append(m, again)
     return both.groupBy("node_id").agg(F.count("*").alias("n_members"), F.min("row_id").alias("first_row"),
                                        F.max("row_id").alias("last_row"))
 
@@ -244,7 +244,7 @@ def top_nodes(spark, sf):
 
 @query("confidence_mean", sql(""", steps AS (
   SELECT row_id, g AS step, embedding[g * 16 + 1 : g * 16 + 16] AS scores FROM members, range(4) t(g)), tops AS (
-  SELECT row_id, 1 / list_sum(list_transform(scores, x -> exp(x - list_max(scores)))) AS top FROM steps)
+  SELECT row_id, 1 / list_sum(list_transform(scores, lambda x: exp(x - list_max(scores)))) AS top FROM steps)
 SELECT row_id, round(avg(top), 6) AS confidence FROM tops GROUP BY row_id""", MEMBERS))
 def confidence_mean(spark, sf):
     """Vectors read as four generation steps of 16 scores each."""

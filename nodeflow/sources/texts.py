@@ -54,15 +54,14 @@ def records_of(documents: DataFrame, document: str = "document") -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON documents, one per file; many files are the parallel axis."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("document"))
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("document"))
     return extract_records(records_of(files))
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """Every *.txt below a folder; the id is the path relative to it."""
     root = path.rstrip("/") + "/"
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.txt").text(path))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     where = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
     relative = F.substring_index(where, root, -1)
     return normalised(files.select(relative.alias("id"), "value"), "id", "value")

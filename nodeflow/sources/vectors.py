@@ -80,3 +80,21 @@ def validated(vectors: DataFrame, params: Params, strict: bool = False) -> tuple
         checked = F.when(ok, F.col("embedding")).otherwise(F.raise_error(F.lit("vector of wrong size or with gaps")))
         return vectors.withColumn("embedding", checked), vectors.where(F.lit(False))
     return vectors.where(ok), vectors.where(~ok)
+
+
+def write_numpy(vectors: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
+    """Sink: matrix files in NPY format from (embedding), at most ``rows_per_file`` rows each."""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("embedding")
+            for at in range(0, batch.num_rows, rows_per_file):
+                part = column.slice(at, rows_per_file)
+                matrix = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                out = io.BytesIO()
+                np.save(out, matrix)
+                yield pa.RecordBatch.from_pydict({"content": pa.array([out.getvalue()], pa.binary())})
+
+    files = vectors.select("embedding").mapInArrow(run, "content binary")
+    # one record per file; the line end after it lies behind the matrix and is never read
+    files.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
