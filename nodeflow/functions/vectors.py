@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,28 +35,34 @@ def sq_dist(a: Column, b: Column) -> Column:
     )
 
 
-def _component(v: Column, i: int) -> Column:
-    return F.get(v, F.lit(i)).cast("double")
+def _moments(v: Column, *names: str, weight: Column | None = None) -> Column:
+    """Aggregate: Spark ML's mergeable vector summary, one tight JVM loop per row.
 
+    It keeps central moments with the pairwise update of Chan et al. (1979), combines before
+    the shuffle, and gives a spread of exactly zero for copies.
+    """
+    vector = array_to_vector(as_double(v))
+    summary = Summarizer.metrics(*names)
+    return summary.summary(vector) if weight is None else summary.summary(vector, weight)
 
-def mean_vector(v: Column, dim: int) -> Column:
-    """Aggregate: element-wise mean. One mergeable buffer per dimension, so a hot key combines map-side."""
-    return F.array(*[F.avg(_component(v, i)) for i in range(dim)])
 
+def mean_vector(v: Column) -> Column:
+    """Aggregate: element-wise mean."""
+    return vector_to_array(_moments(v, "mean")["mean"])
 
-def weighted_mean_vector(v: Column, weight: Column, dim: int) -> Column:
-    total = F.sum(weight)
-    return F.array(*[F.try_divide(F.sum(_component(v, i) * weight), total) for i in range(dim)])
 
+def moments(v: Column, weight: Column | None = None) -> Column:
+    """Aggregate: struct with element-wise mean and unbiased variance, see mean_of and variance_of."""
+    return _moments(v, "mean", "variance", weight=weight)
 
-def sum_sq_dev(v: Column, dim: int) -> Column:
-    """Aggregate: sum of squared deviations from the mean (M2).
 
-    Spark keeps central moments with the pairwise update of Chan et al. (1979), so the
-    result is one pass, mergeable and exactly zero for copies.
-    """
-    n = F.count(v)
-    return reduce(lambda x, y: x + y, [F.var_pop(_component(v, i)) for i in range(dim)]) * n
+def mean_of(summary: Column) -> Column:
+    return vector_to_array(summary["mean"])
+
+
+def variance_of(summary: Column) -> Column:
+    """Sum of the element-wise unbiased variances."""
+    return F.aggregate(vector_to_array(summary["variance"]), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def bessel(m2: Column, n: Column) -> Column:

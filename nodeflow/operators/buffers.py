@@ -16,7 +16,7 @@ from nodeflow.session import cut
 def buffer_centroids(members: DataFrame, params: Params) -> DataFrame:
     """members(buffer_id, embedding) -> (buffer_id, size, centroid)."""
     return members.where(F.size("embedding") == params.dim).groupBy("buffer_id").agg(
-        F.count("*").alias("size"), V.mean_vector(F.col("embedding"), params.dim).alias("centroid"))
+        F.count("*").alias("size"), V.mean_vector(F.col("embedding")).alias("centroid"))
 
 
 def leader_cluster(rows: DataFrame, params: Params) -> DataFrame:

@@ -12,11 +12,9 @@ from nodeflow.params import Params
 def node_stats(members: DataFrame, params: Params, key: str = "node_id") -> DataFrame:
     """members(key, embedding) -> (key, mass, centroid, m2)."""
     v = F.col("embedding")
-    return members.where(F.size(v) == params.dim).groupBy(key).agg(
-        F.count("*").alias("mass"),
-        V.mean_vector(v, params.dim).alias("centroid"),
-        V.sum_sq_dev(v, params.dim).alias("m2"),
-    )
+    stats = members.where(F.size(v) == params.dim).groupBy(key).agg(F.count("*").alias("mass"), V.moments(v).alias("_s"))
+    return stats.select(key, "mass", V.mean_of(F.col("_s")).alias("centroid"),
+                        (V.variance_of(F.col("_s")) * (F.col("mass") - 1)).alias("m2"))
 
 
 def node_signature(stats: DataFrame) -> DataFrame:
@@ -31,19 +29,20 @@ def node_signatures(members: DataFrame, params: Params, key: str = "node_id") ->
 def merge_signatures(parts: DataFrame, params: Params, key: str = "node_id") -> DataFrame:
     """parts(key, mass, centroid, variance), any number per key -> one signature per key.
 
-    Partials combine before the shuffle. Spread below rounding noise counts as none.
+    The spread between the centroids is their variance weighted by mass; partials combine
+    before the shuffle.
     """
     n = F.col("mass")
-    size = V.dot(F.col("centroid"), F.col("centroid"))
+    weight = F.greatest(n.cast("double"), F.lit(1e-12))
     merged = parts.groupBy(key).agg(
-        F.sum("mass").alias("mass"),
-        V.weighted_mean_vector(F.col("centroid"), n, params.dim).alias("centroid"),
-        F.sum(F.greatest(n - 1, F.lit(0)) * F.coalesce("variance", F.lit(0.0))).alias("within"),
-        F.sum(n * size).alias("raw"),
+        F.sum(n).alias("mass"),
+        V.moments(F.col("centroid"), weight).alias("_s"),
+        F.sum(F.greatest(n - 1, F.lit(0)) * F.coalesce("variance", F.lit(0.0))).alias("_within"),
+        F.sum(weight).alias("_w"), F.sum(weight * weight).alias("_w2"),
     )
-    between = F.col("raw") - F.col("mass") * V.dot(F.col("centroid"), F.col("centroid"))
-    between = F.when(between <= F.col("raw") * 1e-12, F.lit(0.0)).otherwise(between)
-    return merged.select(key, "mass", "centroid", V.bessel(F.col("within") + between, F.col("mass")).alias("variance"))
+    between = V.variance_of(F.col("_s")) * (F.col("_w") - F.col("_w2") / F.col("_w"))
+    return merged.select(key, "mass", V.mean_of(F.col("_s")).alias("centroid"),
+                         V.bessel(F.col("_within") + between, n).alias("variance"))
 
 
 def node_update(nodes: DataFrame, accepted: DataFrame, params: Params) -> DataFrame:
