@@ -98,6 +98,8 @@ def fusion_matching(nodes: DataFrame, params: Params) -> DataFrame:
                              (-F.col("b.worst")).alias("sim"))
         new = cut(pairs.groupBy("node_id_1", "node_id_2").agg(F.max("sim").alias("sim"), F.count("*").alias("n"))
                   .where("n = 2").drop("n"))
+        if new.isEmpty():  # a sum that differs in its last bits seen from either side: take the first pair
+            new = cut(pairs.orderBy(F.desc("sim"), "node_id_1", "node_id_2").limit(1))
         taken = new if taken is None else cut(taken.unionByName(new))
         used = new.select(F.explode(F.array("node_id_1", "node_id_2")).alias("node_id"))
         free = cut(free.join(used, "node_id", "left_anti"))

@@ -30,11 +30,8 @@ def route_matches(rows: DataFrame, nodes: DataFrame, params: Params) -> DataFram
     threshold = F.round(dynamic_threshold(F.col("mass"), params), 9)
     right = _nodes(nodes, threshold.alias("threshold"),
                    (params.mass_weight * F.log1p(F.col("mass"))).alias("bonus"))
-    # the threshold only grows with mass, so mass 0 gives the lowest one
-    floor = params.s_min - params.threshold_decay / params.threshold_min_log
-    lowest = right.agg(F.min("threshold")).first()[0]
     spec = Spec(
-        floor=floor if lowest is None else lowest, k=1, right_attrs=("threshold", "bonus"), carry=("threshold",),
+        floor_attr="threshold", k=1, right_attrs=("threshold", "bonus"), carry=("threshold",),
         keep=lambda sim, L, R: sim >= R["threshold"], score=lambda sim, L, R: sim + R["bonus"],
     )
     best = match(_rows(rows), right, spec, params)

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from nodeflow.params import Params
+from nodeflow.session import cut
 
 DECIMALS = 9  # similarities are compared after rounding, so a sum's order cannot flip a threshold
 _CHUNK = 2_000_000  # similarities held at once per task
@@ -56,6 +57,7 @@ class Spec:
     right_attrs: tuple[str, ...] = ()
     carry: tuple[str, ...] = ()
     counts: tuple[float, ...] = field(default=())
+    floor_attr: str | None = None  # right attribute whose minimum is the floor
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -184,10 +186,14 @@ def match(left: DataFrame, right: DataFrame, spec: Spec, params: Params) -> Data
     left = _prepare(left, "l", spec.left_attrs, params.dim)
     right = _prepare(right, "r", spec.right_attrs + spec.carry, params.dim)
     schema = _schema(left, right, spec)
-    n_right = right.count()
+    # one job over the narrow columns: vectors are not computed for it
+    lowest = F.min(spec.floor_attr) if spec.floor_attr else F.lit(spec.floor)
+    n_right, floor = right.agg(F.count("*"), lowest).first()
+    if spec.floor_attr and floor is not None:
+        spec = replace(spec, floor=floor)
     if n_right * params.dim * 8 <= params.broadcast_bytes:
         return _broadcast(left, right, spec, schema)
-    parts = _tiled(left, right, n_right, spec, schema, params)
+    parts = _tiled(left, cut(right), n_right, spec, schema, params)
     if spec.counts:
         return parts
     if spec.k is None:
