@@ -40,10 +40,13 @@ def _contained(ids: DataFrame, datasets: DataFrame) -> DataFrame:
     named = datasets.select(F.lower("dataset_name").alias("_part"), "dataset_name", "dataset_order")
     lengths = [r[0] for r in named.select(F.length("_part")).distinct().collect()]  # a few lengths of names
     low = F.lower("source_id")
-    parts = F.flatten(F.array(*[
-        F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)),
-                                               lambda i, n=n: F.substring(low, i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>")) for n in lengths] or [F.array().cast("array<string>")]))
+    none = F.array().cast("array<string>")
+
+    def cut_out(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(low) - (n - 1))
+        return F.when(F.length(low) >= n, F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))).otherwise(none)
+
+    parts = F.flatten(F.array(*([cut_out(n) for n in lengths] or [none])))
     exploded = ids.select("source_id").distinct().select("source_id", F.explode(F.array_distinct(parts)).alias("_part"))
     return exploded.join(named, "_part").groupBy("source_id").agg(
         F.min_by("dataset_name", "dataset_order").alias("_contained"))
