@@ -90,7 +90,8 @@ def fusion_matching(nodes: DataFrame, params: Params) -> DataFrame:
         return edges, full
 
     edges, full = lists(free, free)
-    taken: DataFrame | None = None
+    any_full = not full.isEmpty()
+    taken: list[DataFrame] = []
     while not edges.isEmpty():
         first = edges.groupBy("lid").agg(
             F.min(F.struct((-F.col("sim")).alias("worst"), "tie", "rid")).alias("b"))
@@ -100,22 +101,26 @@ def fusion_matching(nodes: DataFrame, params: Params) -> DataFrame:
                   .where("n = 2").drop("n"))
         if new.isEmpty():  # a sum that differs in its last bits seen from either side: take the first pair
             new = cut(pairs.orderBy(F.desc("sim"), "node_id_1", "node_id_2").limit(1))
-        taken = new if taken is None else cut(taken.unionByName(new))
+        taken.append(new)
         used = new.select(F.explode(F.array("node_id_1", "node_id_2")).alias("node_id"))
-        free = cut(free.join(used, "node_id", "left_anti"))
         edges = cut(edges.join(used.withColumnRenamed("node_id", "lid"), "lid", "left_anti")
                     .join(used.withColumnRenamed("node_id", "rid"), "rid", "left_anti"))
-        full = cut(full.join(used, "node_id", "left_anti"))
-        empty = full.join(edges.select(F.col("lid").alias("node_id")), "node_id", "left_anti")
-        again = cut(free.join(empty, "node_id", "left_semi"))
-        if not again.isEmpty():
-            more, more_full = lists(again, free)
-            edges = cut(edges.unionByName(more))
-            full = cut(full.join(again.select("node_id"), "node_id", "left_anti").unionByName(more_full))
-    if taken is None:
+        if any_full:
+            free = cut(free.join(used, "node_id", "left_anti"))
+            full = cut(full.join(used, "node_id", "left_anti"))
+            empty = full.join(edges.select(F.col("lid").alias("node_id")), "node_id", "left_anti")
+            again = cut(free.join(empty, "node_id", "left_semi"))
+            if not again.isEmpty():
+                more, more_full = lists(again, free)
+                edges = cut(edges.unionByName(more))
+                full = cut(full.join(again.select("node_id"), "node_id", "left_anti").unionByName(more_full))
+    if not taken:
         return free.where(F.lit(False)).select(
             F.col("node_id").alias("node_id_1"), F.col("node_id").alias("node_id_2"), F.lit(0.0).alias("sim"))
-    return taken
+    out = taken[0]
+    for part in taken[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def merged_id(*ids: Column) -> Column:
@@ -226,6 +231,7 @@ def diagnose(nodes: DataFrame, thresholds: tuple[float, ...], params: Params) ->
                F.concat(F.lit("LOWER_SIMILARITY:"), F.format_number("lowest_with_pairs", 2))),
         F.when(F.col("avg_mass") > 2 * params.fusion_max_mass, "RAISE_MAX_MASS"),
         F.when(F.col("avg_variance") > 2 * params.fusion_max_variance, "RAISE_MAX_VARIANCE")))
-    one = F.lit(1).alias("_one")
-    both = population(nodes, params).select("*", one).join(counts.select("*", one), "_one").drop("_one")
+    stats = population(nodes, params)
+    both = stats.unionByName(counts, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in (*stats.columns, *counts.columns)])
     return both.withColumn("advice", F.array_join(advice, ","))

@@ -46,17 +46,18 @@ def fuse(state: State, params: Params) -> tuple[State, DataFrame]:
     left = cut(state["buffers"].join(taken.select("buffer_id"), "buffer_id", "left_anti"))
     metadata = cut(training_metadata(final, pointers))
 
-    def one(df: DataFrame, column, name: str) -> DataFrame:
-        return df.agg(column.cast("bigint").alias(name)).withColumn("_k", F.lit(1))
-
-    report = one(nodes, F.count("*"), "initial_nodes")
-    for part in (
-        one(mapping, F.count("*") / 2, "fusions"),
-        one(fused, F.count_if("marked"), "marked_for_training"),
-        one(fold_map, F.count("*") - F.count_distinct("new_id"), "micro_consolidated"),
-        one(taken, F.count("*"), "buffers_reassigned"),
-        one(metadata, F.count("*"), "metadata_updated"),
-        one(final, F.count("*"), "final_nodes"),
-    ):
-        report = report.join(part, "_k")
-    return {"nodes": final, "buffers": left, "pointers": pointers, "metadata": metadata}, report.drop("_k")
+    figures = {
+        "initial_nodes": (nodes, F.count("*")),
+        "fusions": (mapping, F.count("*") / 2),
+        "marked_for_training": (fused, F.count_if("marked")),
+        "micro_consolidated": (fold_map, F.count("*") - F.count_distinct("new_id")),
+        "buffers_reassigned": (taken, F.count("*")),
+        "metadata_updated": (metadata, F.count("*")),
+        "final_nodes": (final, F.count("*")),
+    }
+    rows = [df.agg(figure.cast("bigint").alias(name)) for name, (df, figure) in figures.items()]
+    report = rows[0]
+    for row in rows[1:]:
+        report = report.unionByName(row, allowMissingColumns=True)
+    report = report.agg(*[F.max(name).alias(name) for name in figures])
+    return {"nodes": final, "buffers": left, "pointers": pointers, "metadata": metadata}, report

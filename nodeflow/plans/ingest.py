@@ -59,7 +59,7 @@ def process_batch(state: State, rows: DataFrame, params: Params) -> State:
         c: F.coalesce(f"_{c}", c) for c in ("mass", "centroid", "variance")}).drop("_mass", "_centroid", "_variance")
 
     waiting = decisions.where("decision <> 'NODE'").select("row_id", "rank", "source_id", "embedding")
-    open_buffers = cut(B.buffer_centroids(state["buffers"], params))
+    open_buffers = B.buffer_centroids(state["buffers"], params)
     placed = B.fill_buffers(waiting, open_buffers, params).select("row_id", "buffer_id")
     members = cut(state["buffers"].unionByName(
         waiting.join(placed, "row_id").select("buffer_id", "row_id", "source_id", "embedding")))
@@ -77,8 +77,8 @@ def process_batch(state: State, rows: DataFrame, params: Params) -> State:
     marked = R.training_mark(F.col("mass"), F.col("is_trained"), F.col("last_training_mass"), params)
     after = cut(after.withColumn("needs_training", F.col("needs_training") | marked.isNotNull()))
     new_pointers = accepted.select("node_id", "source_id").unionByName(fresh_pointers)
-    pointers = cut(provenance.pointer_insert(state["pointers"], new_pointers, after))
-    return {"nodes": after, "buffers": cut(left), "pointers": pointers, "decisions": decisions}
+    pointers = provenance.pointer_insert(state["pointers"], new_pointers, after)
+    return {"nodes": after, "buffers": left, "pointers": pointers, "decisions": decisions}
 
 
 def ingest(rows: DataFrame, params: Params, batches: int = 1, state: State | None = None) -> State:
@@ -89,5 +89,6 @@ def ingest(rows: DataFrame, params: Params, batches: int = 1, state: State | Non
     for i in range(batches):
         part = F.floor((F.col("rank") - 1) * batches / F.col("n")) == i
         state = process_batch(state, ranked.where(part).drop("n"), params)
+        state = {**state, "buffers": cut(state["buffers"]), "pointers": cut(state["pointers"])}
     return state
 

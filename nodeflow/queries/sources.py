@@ -81,9 +81,7 @@ def src_json_records(spark, sf):
     listed = docs.select(F.to_json(records("a", "abstract")).alias("document"), F.lit("list").alias("layout"))
     wrapped = docs.select(F.to_json(F.struct(records("w", "content").alias("papers"))).alias("document"),
                           F.lit("wrapped").alias("layout"))
-    found = S.records_of(listed.unionByName(wrapped))
-    whole = found.select(X.json_id(F.col("record"), F.col("idx")).alias("source_id"),
-                         X.json_text(F.col("record")).alias("text"), "layout").where("text is not null")
+    whole = S.extract_records(S.records_of(listed.unionByName(wrapped)))
     return lines.unionByName(whole)
 
 

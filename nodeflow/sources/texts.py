@@ -26,30 +26,31 @@ def normalised(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def extract_records(records: DataFrame, record: str = "record", index: str = "idx") -> DataFrame:
-    """JSON objects held as text -> (source_id, text); records without a text are left out."""
-    return records.select(X.json_id(F.col(record), F.col(index)).alias("source_id"),
-                          X.json_text(F.col(record)).alias("text")).where(F.col("text").isNotNull())
+    """Records (JSON text or variant) -> (source_id, text, other columns); those without a text are left out."""
+    parsed = records
+    if records.schema[record].dataType.typeName() == "string":
+        parsed = records.withColumn(record, F.try_parse_json(record))  # parsed once, read by path
+    rest = [c for c in records.columns if c not in (record, index)]
+    return parsed.select(X.json_id(F.col(record), F.col(index)).alias("source_id"),
+                         X.json_text(F.col(record)).alias("text"), *rest).where(F.col("text").isNotNull())
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One object per line; lines that are no object are left out but counted."""
-    lines = numbered(spark.read.text(path), "idx")
-    ok = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
-    return extract_records(lines.where(ok).select(F.col("value").alias("record"), "idx"))
+    lines = numbered(spark.read.text(path), "idx").select(F.try_parse_json("value").alias("record"), "idx")
+    return extract_records(lines.where(F.coalesce(X.kind_of(F.col("record")).startswith("OBJECT"), F.lit(False))))
 
 
 def records_of(documents: DataFrame, document: str = "document") -> DataFrame:
-    """JSON documents as text -> (document columns, idx, record): a list, or the list an object wraps."""
+    """JSON documents as text -> (document columns, idx, record variant): a list, or the list an object wraps."""
     doc = F.col(document)
-    variant = F.try_parse_json(doc)
-    is_list = F.schema_of_variant(variant).startswith("ARRAY")
-    listed = T.ArrayType(T.StringType())
     wrapped = F.coalesce(*[
-        F.when(F.schema_of_variant(F.try_variant_get(variant, f"$.{w}", "variant")).startswith("ARRAY"),
-               F.from_json(F.get_json_object(doc, f"$.{w}"), listed)) for w in X.JSON_WRAPPER_FIELDS])
-    records = F.when(is_list, F.from_json(doc, listed)).otherwise(F.coalesce(wrapped, F.array(doc)))
-    return documents.select(*[c for c in documents.columns if c != document],
-                            F.posexplode(records).alias("idx", "record"))
+        F.when(X.kind_of(F.try_variant_get(doc, f"$.{w}", "variant")).startswith("ARRAY"),
+               F.try_variant_get(doc, f"$.{w}", "array<variant>")) for w in X.JSON_WRAPPER_FIELDS])
+    records = F.when(X.kind_of(doc).startswith("ARRAY"), F.try_variant_get(doc, "$", "array<variant>")).otherwise(
+        F.coalesce(wrapped, F.array(doc)))
+    rest = [c for c in documents.columns if c != document]
+    return documents.withColumn(document, F.try_parse_json(document)).select(*rest, F.posexplode(records).alias("idx", "record"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
