@@ -9,10 +9,15 @@ from pyspark.sql import Window as W
 from nodeflow.functions import texts as X
 
 
+def known_pointers(new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pointers with both ids set and a node that exists."""
+    return new.where("node_id <> '' and source_id <> ''").join(
+        nodes.select("node_id"), "node_id", "left_semi").select("node_id", "source_id")
+
+
 def pointer_insert(pointers: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
     """Add new(node_id, source_id); known pairs and unknown nodes are left out."""
-    known = new.where("node_id <> '' and source_id <> ''").join(nodes.select("node_id"), "node_id", "left_semi")
-    return pointers.select("node_id", "source_id").unionByName(known.select("node_id", "source_id")).distinct()
+    return pointers.select("node_id", "source_id").unionByName(known_pointers(new, nodes)).distinct()
 
 
 def cascade_delete(tables: dict[str, DataFrame], deleted: DataFrame, key: str = "node_id") -> dict[str, DataFrame]:

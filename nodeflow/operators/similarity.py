@@ -83,17 +83,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@dataclass
 class _Side:
     """The right rows of one task, ordered by id."""
 
-    def __init__(self, table: pa.Table, spec: Spec):
-        table = table.combine_chunks().sort_by("rid")
-        self.unit, size = _unit(_matrix(table.column("rvec")))
-        self.ids = table.column("rid").to_numpy()
-        self.attrs = {c: v[None, :] for c, v in _attrs(table, spec.right_attrs).items()}
-        self.attrs["norm"] = size[None, :]
-        self.hash = table.column("rhash").to_numpy().astype(np.int64).view(np.uint64)
-        self.out = table.select(["rid", *spec.carry])
+    unit: np.ndarray
+    ids: np.ndarray
+    attrs: dict
+    hash: np.ndarray
+    out: pa.Table
+
+
+def _side_parts(table: pa.Table, spec: Spec) -> tuple:
+    """Fields of a _Side as plain arrays, which a broadcast can carry to workers without this package."""
+    table = table.combine_chunks().sort_by("rid")
+    unit, size = _unit(_matrix(table.column("rvec")))
+    attrs = {c: v[None, :] for c, v in _attrs(table, spec.right_attrs).items()}
+    attrs["norm"] = size[None, :]
+    hashes = table.column("rhash").to_numpy().astype(np.int64).view(np.uint64)
+    return unit, table.column("rid").to_numpy(), attrs, hashes, table.select(["rid", *spec.carry])
 
 
 def _blocks(left, right: _Side, spec: Spec):
@@ -207,12 +215,13 @@ def match(left: DataFrame, right: DataFrame, spec: Spec, params: Params) -> Data
 
 
 def _broadcast(left: DataFrame, right: DataFrame, spec: Spec, schema: T.StructType) -> DataFrame:
-    side = left.sparkSession.sparkContext.broadcast(_Side(right.toArrow(), spec))
+    parts = left.sparkSession.sparkContext.broadcast(_side_parts(right.toArrow(), spec))
     kernel = _count if spec.counts else _best
 
     def run(batches):
+        side = _Side(*parts.value)
         for batch in batches:
-            yield from kernel(batch, side.value, spec)
+            yield from kernel(batch, side, spec)
 
     return left.mapInArrow(run, schema)
 
@@ -283,7 +292,7 @@ def _tiled(left: DataFrame, right: DataFrame, n_right: int, spec: Spec, schema:
     def run(l_table: pa.Table, r_table: pa.Table) -> pa.Table:
         if not l_table.num_rows or not r_table.num_rows:
             return pa.table(empty, schema=arrow_schema)
-        return pa.Table.from_batches(list(kernel(l_table.combine_chunks(), _Side(r_table, spec), spec)),
+        return pa.Table.from_batches(list(kernel(l_table.combine_chunks(), _Side(*_side_parts(r_table, spec)), spec)),
                                      schema=arrow_schema)
 
     return queries.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(run, schema)

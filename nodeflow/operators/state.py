@@ -59,6 +59,11 @@ class StateStore:
             version = known[-1]
         return self.spark.read.parquet(f"{self._dir(version)}/{name}")
 
+    def read_all(self, name: str, until: int | None = None) -> DataFrame | None:
+        """Rows every version added, for tables that only grow."""
+        folders = [f"{self._dir(v)}/{name}" for v in self.versions() if until is None or v <= until]
+        return self.spark.read.parquet(*folders) if folders else None
+
 
 def node_members(memory: DataFrame, new: DataFrame) -> DataFrame:
     """Append member vectors (node_id, row_id, embedding); a member is kept once."""

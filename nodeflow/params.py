@@ -69,5 +69,6 @@ class Params:
     max_pivots: int = 512
     # physical limits of the iterative operators (do not change results)
     neighbour_list: int = 16
+    leader_list: int = 64
     leader_head_rows: int = 4096
     leader_head_rows_max: int = 65536

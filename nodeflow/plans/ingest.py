@@ -43,7 +43,8 @@ def process_batch(state: State, rows: DataFrame, params: Params) -> State:
 
     All rows are routed on the state before the batch; rows that a node keeps are merged into
     it as one partial, the others fill buffers, and full buffers become nodes. The result does
-    not depend on the order or partitioning of the rows.
+    not depend on the order or partitioning of the rows. ``new_pointers`` is what the batch adds,
+    so a stream can append it without touching the pointers it has.
     """
     vectors = F.col("embedding").cast("array<double>")
     rows = cut(rows.where(F.size("embedding") == params.dim).withColumn("embedding", vectors)
@@ -77,8 +78,9 @@ def process_batch(state: State, rows: DataFrame, params: Params) -> State:
     marked = R.training_mark(F.col("mass"), F.col("is_trained"), F.col("last_training_mass"), params)
     after = cut(after.withColumn("needs_training", F.col("needs_training") | marked.isNotNull()))
     new_pointers = accepted.select("node_id", "source_id").unionByName(fresh_pointers)
-    pointers = provenance.pointer_insert(state["pointers"], new_pointers, after)
-    return {"nodes": after, "buffers": left, "pointers": pointers, "decisions": decisions}
+    new_pointers = provenance.known_pointers(new_pointers, after).distinct()
+    return {"nodes": after, "buffers": left, "new_pointers": new_pointers, "decisions": decisions,
+            "pointers": state["pointers"].unionByName(new_pointers).distinct()}
 
 
 def ingest(rows: DataFrame, params: Params, batches: int = 1, state: State | None = None) -> State:

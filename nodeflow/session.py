@@ -8,21 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FOLDERS: dict[str, str] = {}  # application id -> folder
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read, named by ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a folder of this machine.
     """
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if folder is None and current is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        folder = tempfile.mkdtemp(prefix="nodeflow-")
-    if current is None:
-        sc.setCheckpointDir(folder)
-    return folder or current
+    if sc.applicationId not in _FOLDERS:
+        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        current = sc.getCheckpointDir()
+        if folder is None and current is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+            folder = tempfile.mkdtemp(prefix="nodeflow-")
+        if current is None:
+            sc.setCheckpointDir(folder)
+        _FOLDERS[sc.applicationId] = folder or current
+    return _FOLDERS[sc.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:

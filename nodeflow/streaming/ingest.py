@@ -17,10 +17,13 @@ from nodeflow.plans.ingest import empty_state, process_batch
 STATE_TABLES = ("nodes", "buffers", "pointers")
 
 
-def _current(store: StateStore, spark: SparkSession) -> dict[str, DataFrame]:
+def current(spark: SparkSession, state_path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """Nodes and buffers of a version (the last by default) and the pointers up to it."""
+    store = StateStore(spark, state_path)
     if not store.versions():
         return empty_state(spark)
-    return {name: store.read(name) for name in STATE_TABLES}
+    return {"nodes": store.read("nodes", version), "buffers": store.read("buffers", version),
+            "pointers": store.read_all("pointers", version).distinct()}
 
 
 def stream_ingest(rows: DataFrame, state_path: str, checkpoint: str, params: Params) -> StreamingQuery:
@@ -34,7 +37,10 @@ def stream_ingest(rows: DataFrame, state_path: str, checkpoint: str, params: Par
         if store.committed(batch_id):
             return
         ranked = keyed_rank(batch, [], "row_id").drop("n")
-        store.write(batch_id, process_batch(_current(store, spark), ranked, params))
+        out = process_batch(current(spark, state_path), ranked, params)
+        store.write(batch_id, {
+            "nodes": out["nodes"], "buffers": out["buffers"], "pointers": out["new_pointers"],
+            "decisions": out["decisions"].select("row_id", "node_id", "decision", "score", "sim", "threshold")})
 
     return _start(rows, step, checkpoint)
 
@@ -98,14 +104,14 @@ def stream_holdback(rows: DataFrame, state_path: str, checkpoint: str) -> Stream
 
 def progress(spark: SparkSession, state_path: str) -> DataFrame:
     """Nodes, buffers and pointers after every batch."""
-    store = StateStore(spark, state_path)
-    out: DataFrame | None = None
-    for version in store.versions():
-        for name, count in (("nodes", F.count("*")), ("buffers", F.count_distinct("buffer_id")), ("pointers", F.count("*"))):
-            one = store.read(name, version).agg(count.alias("n")).select(
-                F.lit(version).alias("batch"), F.lit(name).alias("what"), "n")
-            out = one if out is None else out.unionByName(one)
-    return out.groupBy("batch").pivot("what", list(STATE_TABLES)).agg(F.first("n"))
+    rows: DataFrame | None = None
+    for version in StateStore(spark, state_path).versions():
+        state = current(spark, state_path, version)
+        sizes = {"nodes": F.count("*"), "buffers": F.count_distinct("buffer_id"), "pointers": F.count("*")}
+        for name, size in sizes.items():
+            one = state[name].agg(size.alias(name)).withColumn("batch", F.lit(version))
+            rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    return rows.groupBy("batch").agg(*[F.max(name).alias(name) for name in STATE_TABLES])
 
 
 def _start(rows: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

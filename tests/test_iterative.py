@@ -15,7 +15,7 @@ DIM = 5
 BASE = Params(dim=DIM, s_min=0.6, fusion_similarity=0.5, fusion_max_mass=99, fusion_max_variance=9.0,
               fusion_variance_increase=0.35, adoption_similarity=0.6)
 # tiny lists and heads force refills, several heads and the tiled join
-NARROW = replace(BASE, neighbour_list=2, leader_head_rows=20, leader_head_rows_max=40)
+NARROW = replace(BASE, neighbour_list=2, leader_list=2, leader_head_rows=20, leader_head_rows_max=40)
 TILED = replace(NARROW, broadcast_bytes=0, tile_rows=30, group_rows=30, max_pivots=5)
 
 
