@@ -18,7 +18,7 @@ ROWS_ONLY = set(QUERIES) - set(ORACLES)
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 100
-    assert ROWS_ONLY == SLOW | {"training_plan"}
+    assert ROWS_ONLY == SLOW
 
 
 def test_flagship(spark):
