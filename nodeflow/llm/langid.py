@@ -26,9 +26,9 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class LanguageParams:
     sizes: tuple[int, ...] = (1, 2, 3)
-    dims: int = 8192
+    dims: int = 4096
     clusters: int = 3
-    sample_rows: int = 4000  # bound of the training sample; languages share it evenly
+    sample_rows: int = 2000  # bound of the training sample; languages share it evenly
     languages_max: int = 500  # the most frequent ones are learned
     rounds: int = 8
     margin: float = 0.5  # rejected below this share of the smallest training cosine of the centroid
@@ -130,8 +130,9 @@ def fit(rows: DataFrame, params: LanguageParams = LanguageParams(), text: str =
     vectors = np.zeros((len(got), params.dims), np.float32)
     for at, (_, i, c) in enumerate(got):
         vectors[at, np.frombuffer(i, "<u4")] = np.frombuffer(c, "<f4")
-    idf = np.log((1 + len(got)) / (1 + (vectors > 0).sum(0))) + 1
-    vectors, names = _unit(vectors * idf).astype(np.float32), np.array([x for x, _, _ in got], object)
+    idf = (np.log((1 + len(got)) / (1 + (vectors > 0).sum(0))) + 1).astype(np.float32)
+    vectors *= idf
+    vectors, names = _unit(vectors), np.array([x for x, _, _ in got], object)
     labels, centres, floors = [], [], []
     for name in sorted(set(names)):
         own = vectors[names == name]
@@ -142,7 +143,7 @@ def fit(rows: DataFrame, params: LanguageParams = LanguageParams(), text: str =
             centres.append(c[k])
             floors.append(params.margin * float(closest[near == k].min()) if (near == k).any() else 0.0)
     stacked = np.stack(centres) if centres else np.zeros((0, params.dims), np.float32)
-    return LanguageModel(params, tuple(labels), stacked, np.array(floors), idf.astype(np.float32))
+    return LanguageModel(params, tuple(labels), stacked, np.array(floors), idf)
 
 
 def predict(rows: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
