@@ -109,8 +109,9 @@ def pack(rows: DataFrame, length: Column | None = None, params: PackingParams =
     before = Window.partitionBy("bucket").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("bucket").alias("_b"), F.col("_slice").alias("_s"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("bucket", "_slice").orderBy("_k1", "_k2")
+    # null-safe, so that no check for nulls measures the texts again below the join
     numbered = (placed.withColumn("_n", F.row_number().over(inside) - 1)
-                .join(offsets, (F.col("bucket") == F.col("_b")) & (F.col("_slice") == F.col("_s"))))
+                .join(offsets, F.col("bucket").eqNullSafe(F.col("_b")) & F.col("_slice").eqNullSafe(F.col("_s"))))
     rank = F.col("_n") + F.col("_offset")
     width = per[F.col("bucket")]
     return numbered.select(*kept.columns, "n_tokens", "bucket", F.coalesce(bound[F.col("bucket")], F.col("n_tokens")).alias("bucket_len"),
