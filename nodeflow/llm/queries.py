@@ -82,3 +82,15 @@ def _pipeline(spark, sf):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf)
+
+
+@query("op9_token_binary")
+def _token_binary(spark, sf):
+    from nodeflow.llm.huffman import read_documents, write_ids
+    from nodeflow.session import scratch_path
+    import public_tokenizers
+
+    target = scratch_path(spark, "token-table")
+    write_ids(table(spark, sf, "documents"), target, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    # ids come back as little-endian 32-bit integers, of which Spark's crc32 is taken
+    return read_documents(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
