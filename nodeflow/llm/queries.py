@@ -94,3 +94,10 @@ def _token_binary(spark, sf):
     write_ids(table(spark, sf, "documents"), target, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     # ids come back as little-endian 32-bit integers, of which Spark's crc32 is taken
     return read_documents(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op7_exact_topk")
+def _exact_topk(spark, sf):
+    from nodeflow.llm.topk import top_products
+
+    return top_products(table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
