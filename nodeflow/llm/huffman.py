@@ -148,7 +148,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             pre = json.load(f)["pre_tokenizer"] or {}
         first = (pre.get("pretokenizers") or [{}])[0]
-        self.by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "\\s\\p{L}" in str(first.get("pattern"))
+        self.by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "[^\\s" in first["pattern"].get("Regex", "")
         self.dtype = np.dtype("<u2" if max(self.vocabulary.get_vocab_size(), (end_id or 0) + 1) <= 65536 else "<u4")
         self._forget()
 
@@ -194,11 +194,12 @@ class Encoder:
 
         if len(self.words) > self.limit:
             self._forget()
-        split = re.compile(rb"(?<=[a-zA-Z])([.,])(?=[ \n]|$)")  # a full stop or comma after a letter is a pre-token of its own
+# a run of ASCII punctuation between a Latin letter and white space is a pre-token of its own
+        split = re.compile(rb"[!-&(-/:;=?@\[-`{}~](?:(?<=[a-zA-Z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-&(-/:;=?@\[-`{}~]*(?![^ \n])")
         at, ends = [], []
         for t in texts:
             if t:
-                at.extend(map(self.words.__getitem__, split.sub(rb" \1", t.encode()).split()))
+                at.extend(map(self.words.__getitem__, split.sub(rb" \g<0>", t.encode()).split()))
             ends.append(len(at))
         self._learn()
         starts, lens, ids = np.array(self.starts, np.int64), np.array(self.lens, np.int64), np.array(self.ids, np.int64)

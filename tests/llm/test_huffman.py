@@ -55,6 +55,7 @@ def test_round_trip(n):
 
 def test_words_give_the_ids_of_whole_texts():
     tok, enc = Tokenizer.from_file(WORDS), huffman.Encoder(WORDS, 2, 50)
+    assert enc.by_word
     texts = [r[1] for r in tricky_rows()] + ["Don't STOP., now,, a.b é É. x<|endoftext|>y <|EndOfText|> İ \x1cq\x85r\xa0s ẖ H̱, Σας ΟΔΟΣ. ﬁn", "a." * 9 + " b,\nc.\td. "]
     texts += [f"a{chr(c)}B{chr(c)}, {chr(c)}." for c in [*range(0x2100), *range(0xF900, 0xFFF0)]]
     for chars in (100, 10**7):
