@@ -101,3 +101,10 @@ def _exact_topk(spark, sf):
     from nodeflow.llm.topk import top_products
 
     return top_products(table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op4_substring_dedup")
+def _substring_dedup(spark, sf):
+    from nodeflow.llm.anchors import drop_repeats
+
+    return drop_repeats(table(spark, sf, "documents"))
