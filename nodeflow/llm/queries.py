@@ -108,3 +108,10 @@ def _substring_dedup(spark, sf):
     from nodeflow.llm.anchors import drop_repeats
 
     return drop_repeats(table(spark, sf, "documents"))
+
+
+@query("op3_suffix_array_dedup")
+def _suffix_array_dedup(spark, sf):
+    from nodeflow.llm.suffixes import drop_repeats
+
+    return drop_repeats(table(spark, sf, "documents"))

@@ -3,12 +3,12 @@
 import hashlib
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from nodeflow.llm import anchors
+from nodeflow.llm import anchors, suffixes
 from tests.llm.common import empty, tricky, tricky_rows
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -55,3 +55,39 @@ def test_words(spark, group_bytes):
     assert Counter((LOW if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == _words_model(rows)
     assert all(len(r["kept"].split()) == r["n_words"] - r["n_removed"] for r in got if r["kept"].isascii())
     assert anchors.drop_repeats(empty(spark)).count() == 0
+
+
+def test_suffix_array_equals_sorting():
+    rng = np.random.default_rng(0)
+    for n in [*range(0, 40), 300]:
+        for top in (1, 2, 5, 200):
+            t = rng.integers(1, top + 1, n)
+            assert suffixes.suffix_array(t).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+
+
+def _bytes_model(rows, width=50):
+    texts = [(LOW if r[0] is None else r[0], (r[1] or "").encode()) for r in rows]
+    least, out = {}, []
+    for d, t in texts:
+        for s in range(len(t) - width + 1):
+            k = t[s : s + width]
+            least[k] = min(least.get(k, d), d)
+    for d, t in texts:
+        gone = np.zeros(len(t), bool)
+        for s in range(len(t) - width + 1):
+            if least[t[s : s + width]] < d:
+                gone[s : s + width] = True
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        spans = int(gone[:1].sum() + (np.diff(gone.astype(int)) == 1).sum())
+        out.append((d, len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("group_bytes,piece", [(4_000_000, 1 << 22), (3000, 100)])
+def test_bytes(spark, group_bytes, piece, monkeypatch):
+    monkeypatch.setattr(suffixes, "PIECE", piece)
+    rows = _rows()
+    got = suffixes.drop_repeats(tricky(spark, rows), group_bytes=group_bytes, keep_bytes=True).collect()
+    assert Counter((LOW if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == _bytes_model(rows)
+    assert all(len(r["kept"]) == r["n_bytes"] - r["n_removed"] for r in got)
+    assert suffixes.drop_repeats(empty(spark)).count() == 0
