@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeflow.llm.base import NO_ID, cover, mixed, runs
+from nodeflow.llm.base import NO_ID, mixed, runs
 from nodeflow.llm.packed import ASK, HASH_BITS, REPLY, Hashes, grouped, joined, opened, packed, parted, repeated, sizes, unpacked
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -169,7 +169,7 @@ def _asked(keys, places, docs, bits, q):
         import zstandard
 
         body = b"".join(s for _, s in keys[at:end])
-        rows.append((part, q, joined(packed(np.array([len(s) for _, s in keys[at:end]], np.int64)), len(body).to_bytes(8, "little"), zstandard.ZstdCompressor(level=1).compress(body), packed(np.diff(least, prepend=0)))))
+        rows.append((part, q, joined(packed(np.array([len(s) for _, s in keys[at:end]], np.int64)), packed(np.diff(np.array([h for h, _ in keys[at:end]], np.int64), prepend=0)), zstandard.ZstdCompressor(level=1).compress(body), packed(np.diff(least, prepend=0)))))
         at = end
     return pd.DataFrame(rows, columns=["part", "q", "body"]).astype({"part": "int64", "q": "int64"})
 
@@ -178,34 +178,44 @@ def _earliest(key, pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     """Smallest document of each window of the strings asked about, where smaller than the string's own."""
     import zstandard
 
-    sent, every = [], {}
+    sent, every, others = [], {}, {}
     for q, body in zip(pdf["q"], pdf["body"]):
-        lens, _, data, least = parted(body)
+        lens, anchors, data, least = parted(body)
         lens, least = unpacked(lens), np.cumsum(unpacked(least))
         data, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(lens)
         mine = [data[e - n : e] for n, e in zip(lens.tolist(), ends.tolist())]
         sent.append((q, mine, least))
-        for s, d in zip(mine, least.tolist()):
-            if every.get(s, d) >= d:
+        for s, h, d in zip(mine, np.cumsum(unpacked(anchors)).tolist(), least.tolist()):
+            if every.setdefault(s, d) > d:
                 every[s] = d
-    strings = list(every)
-    label, places = classes(strings, window)
+            others.setdefault(h, set()).add(s)
+    # equal windows lie in strings of one anchor, so a string alone under its anchor meets no other
+    strings = list(dict.fromkeys(s for group in others.values() if len(group) > 1 for s in sorted(group)))
     n = np.array([len(s) - window + 1 for s in strings], np.int64)
     owner = np.repeat(np.array([every[s] for s in strings], np.int64), n)
-    least = np.full(int(label.max(initial=0)) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, label[places], owner)
-    smallest = least[label[places]]
+    smallest = owner
+    if strings:
+        label, places = classes(strings, window)
+        least = np.full(int(label.max(initial=0)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, label[places], owner)
+        smallest = least[label[places]]
     at = dict(zip(strings, zip((np.cumsum(n) - n).tolist(), n.tolist())))
     out = []
     for q, mine, own in sent:
         base, where, what = 0, [], []
         for s, d in zip(mine, own.tolist()):
-            a, k = at[s]
-            x = np.flatnonzero(smallest[a : a + k] < d)
-            where.append(base + x)
-            what.append(smallest[a + x])
+            if s in at:
+                a, k = at[s]
+                x = np.flatnonzero(smallest[a : a + k] < d)
+                where.append(base + x)
+                what.append(smallest[a + x])
+            else:
+                k = len(s) - window + 1
+                if every[s] < d:
+                    where.append(base + np.arange(k))
+                    what.append(np.full(k, every[s]))
             base += k
-        where, what = np.concatenate(where), np.concatenate(what)
+        where, what = np.concatenate([*where, np.zeros(0, np.int64)]), np.concatenate([*what, np.zeros(0, np.int64)])
         if len(where):
             out.append((q, joined(packed(np.diff(where, prepend=0)), packed(np.diff(what, prepend=0)))))
     return pd.DataFrame({"q": [q for q, _ in out], "part": key[0], "body": [b for _, b in out]}).astype({"q": "int64", "part": "int64"})
@@ -248,16 +258,20 @@ def drop_repeats(docs: DataFrame, window: int = 50, gram: int = 24, group_bytes:
         for p, body in zip(better["part"], better["body"]):
             where, what = (np.cumsum(unpacked(x)) for x in parted(body))
             least[before[np.searchsorted(part, p)] + where] = what
-        starts: list[list[np.ndarray]] = [[] for _ in g.docs]
-        for k, own in enumerate(places):
-            m = least[before[k] : before[k] + n[k]]
+        starts: list[list[tuple[int, int]]] = [[] for _ in g.docs]
+        low, high = (f.reduceat(least, before).tolist() if len(before) else [] for f in (np.minimum, np.maximum))
+        for own, a0, k, lo, hi in zip(places, before.tolist(), n.tolist(), low, high):
             for d, a in own:
-                x = np.flatnonzero(m < g.docs[d][0])
-                if len(x):
-                    starts[d].append(a + x)
+                doc = g.docs[d][0]
+                if hi < doc:
+                    starts[d].append((a, a + k))
+                elif lo < doc:
+                    starts[d].extend((a + int(x), a + int(y)) for x, y in zip(*runs(least[a0 : a0 + k] < doc)))
         rows = []
         for (doc, body), s in zip(g.docs, starts):
-            gone = cover(len(body), np.concatenate(s), window) if s else np.zeros(len(body), bool)
+            gone = np.zeros(len(body), bool)
+            for a, b in s:  # windows that start in [a, b)
+                gone[a : b - 1 + window] = True
             kept = np.frombuffer(body, np.uint8)[~gone].tobytes() if s else body
             rows.append((None if doc == NO_ID else doc, len(body), int(gone.sum()), len(runs(gone)[0]), hashlib.sha256(kept).hexdigest(), kept))
         out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
