@@ -111,6 +111,9 @@ def recent(table: DataFrame, key: str, order: list[Column], n: int) -> DataFrame
 
 
 def label_update(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels(node_id, new_label) overwrite the label of their node."""
+    """labels(node_id, new_label) overwrite the label of their node; of several the latest by ``at`` if
+    they carry it, then the larger. Null labels change nothing."""
+    newest = F.struct(*(["at"] if "at" in labels.columns else []), "new_label")
+    labels = labels.where("new_label IS NOT NULL").groupBy("node_id").agg(F.max(newest).alias("u")).select("node_id", F.col("u.new_label").alias("new_label"))
     return nodes.join(labels, "node_id", "left").withColumn(
         "label", F.coalesce("new_label", "label")).drop("new_label")

@@ -28,15 +28,22 @@ def sliced(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
 
 
 def keyed_rank(df: DataFrame, keys: list[str], order: str, *ties: str, slices: int | None = None) -> DataFrame:
-    """Add ``rank`` (from 1, by order then ties) and ``n`` (rows of the key)."""
+    """Add ``rank`` (from 1, by order then ties, null order values first) and ``n`` (rows of the key).
+
+    Every row stays: null keys form a group of their own.
+    """
     parts = sliced(df, order, slices)
     local = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(order, *ties))
     counts = parts.groupBy(*keys, "_slice").agg(F.count("*").alias("_c"))
     per_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     before = F.sum("_c").over(per_key.orderBy("_slice")) - F.col("_c")
-    offsets = counts.select(*keys, "_slice", before.alias("_before"), F.sum("_c").over(per_key).alias("n"))
-    return parts.withColumn("_local", local).join(offsets, [*keys, "_slice"]).withColumn(
-        "rank", F.col("_before") + F.col("_local")).drop("_slice", "_local", "_before")
+    on = [*keys, "_slice"]
+    offsets = counts.select(*[F.col(c).alias(f"_on_{c}") for c in on], before.alias("_before"), F.sum("_c").over(per_key).alias("n"))
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return parts.withColumn("_local", local).join(offsets, same).withColumn(
+        "rank", F.col("_before") + F.col("_local")).drop("_slice", "_local", "_before", *[f"_on_{c}" for c in on])
 
 
 def clamped_sum(df: DataFrame, keys: list[str], step: Column, order: str, *ties: str,

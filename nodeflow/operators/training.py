@@ -101,8 +101,10 @@ def training_outcomes(nodes: DataFrame, outcomes: DataFrame) -> DataFrame:
     """outcomes(node_id, outcome SUCCESS|FAILED|FALLBACK, at): final state of each node.
 
     SUCCESS clears the flag and remembers the mass; FAILED and FALLBACK fail the node, FALLBACK
-    also its inheritance. Failures add up, the last outcome decides the rest.
+    also its inheritance. Failures add up, the last outcome decides the rest. A node without a new
+    failure keeps the time of its last one.
     """
+    before = F.col("last_failure_time") if "last_failure_time" in nodes.columns else F.lit(None).cast("timestamp_ntz")
     folded = outcomes.groupBy("node_id").agg(
         F.max_by("outcome", F.struct("at", "outcome")).alias("outcome"),
         F.count_if(F.col("outcome") != "SUCCESS").alias("failures"),
@@ -116,7 +118,7 @@ def training_outcomes(nodes: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.when(won, F.col("mass")).otherwise(F.col("last_training_mass")).alias("last_training_mass"),
         F.when(F.col("outcome") == "FALLBACK", "FALLBACK").otherwise(F.col("inheritance_type")).alias("inheritance_type"),
         (F.col("total_failures") + F.coalesce("failures", F.lit(0))).alias("total_failures"),
-        F.col("failed_at").alias("last_failure_time"))
+        F.coalesce("failed_at", before).alias("last_failure_time"))
 
 
 def stale_cleanup(nodes: DataFrame) -> DataFrame:

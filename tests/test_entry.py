@@ -10,7 +10,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
 from check import compare, connect  # noqa: E402
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from nodeflow.queries import load  # noqa: E402
+
+QUERIES = {name: fn for name, fn in entry.queries().items() if name in load()[0]}
+ORACLES = {name: text for name, text in entry.oracle_sql().items() if name in QUERIES}
 # flows without SQL are tested against plain models in test_flows and test_iterative
 SLOW = {"process_batch", "fuse_report", "full_run", "stream_ingest", "stream_progress", "micro_consolidate"}
 ROWS_ONLY = set(QUERIES) - set(ORACLES)

@@ -146,3 +146,26 @@ def test_diagnosis_of_no_nodes(spark):
     empty = spark.createDataFrame([], "node_id string, centroid array<double>, mass bigint, variance double, origin_type string")
     assert fusion.fusion_matching(empty, P).count() == 0
     assert fusion.fusion_candidates(empty, P).count() == 0
+
+
+def test_nulls_and_repeats_lose_nothing(spark):
+    from nodeflow.operators.lineage import parent_update
+    from nodeflow.operators.provenance import label_update
+    from nodeflow.operators.ranking import keyed_rank
+    from nodeflow.operators.training import training_outcomes
+
+    rows = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), (None, 2.0), (None, None)], "k string, v double")
+    got = sorted((r["k"] or "", r["rank"], r["n"], r["v"]) for r in keyed_rank(rows, ["k"], "v").collect())
+    assert got == [("", 1, 2, None), ("", 2, 2, 2.0), ("a", 1, 3, None), ("a", 2, 3, 1.0), ("a", 3, 3, 3.0)]
+
+    nodes = spark.createDataFrame([("n", None, None, "ROOT", "old")], "node_id string, parent_node_id string, parent_similarity double, inheritance_type string, label string")
+    updates = spark.createDataFrame([("n", "p", 0.5), ("n", "q", 0.7)], "node_id string, parent string, similarity double")
+    changed, events = parent_update(nodes, updates)
+    assert [r["parent_node_id"] for r in changed.collect()] == ["q"] and events.count() == 1
+    labels = spark.createDataFrame([("n", "x"), ("n", "y"), ("n", None)], "node_id string, new_label string")
+    assert [r["label"] for r in label_update(nodes, labels).collect()] == ["y"]
+
+    trained = spark.sql("SELECT 'n' AS node_id, 'X' AS training_status, false AS is_trained, true AS needs_training, 5 AS mass, 1 AS last_training_mass, "
+                        "'ROOT' AS inheritance_type, 2 AS total_failures, TIMESTAMP_NTZ '2024-01-01' AS last_failure_time")
+    none = spark.createDataFrame([], "node_id string, outcome string, at timestamp_ntz")
+    assert training_outcomes(trained, none).first()["last_failure_time"].year == 2024
