@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARKER = "_committed"
+OWNER = "owner.txt"  # readable by Spark, which skips names with a leading underscore
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -44,6 +45,20 @@ class StateStore:
     def committed(self, version: int) -> bool:
         return self._fs.exists(self._path(f"{self._dir(version)}/{MARKER}"))
 
+    def claim(self, owner: str) -> None:
+        """Tie the state to the stream that writes it. Another stream, such as one restarted with a new
+        checkpoint, counts its batches from 0 again and would find them all done, so it is refused."""
+        path = self._path(f"{self.root}/{OWNER}")
+        if self._fs.exists(path):
+            known = self.spark.read.text(path.toString()).first()
+            if known is not None and known[0] != owner:
+                raise ValueError(f"{self.root} belongs to stream {known[0]}, not {owner}; use its checkpoint or a new folder")
+            if known is not None:
+                return
+        out = self._fs.create(path, True)
+        out.write(bytearray(owner.encode()))
+        out.close()
+
     def write(self, version: int, tables: dict[str, DataFrame]) -> None:
         if self.committed(version):
             return

@@ -34,6 +34,7 @@ def stream_ingest(rows: DataFrame, state_path: str, checkpoint: str, params: Par
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         store = StateStore(spark, state_path)
+        store.claim(_stream_id(spark, checkpoint))
         if store.committed(batch_id):
             return
         ranked = keyed_rank(batch, [], "row_id").drop("n")
@@ -52,7 +53,9 @@ def stream_node_stats(rows: DataFrame, state_path: str, checkpoint: str, params:
     combines before the shuffle, so a node with most of the rows is no hot spot.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
-        StateStore(batch.sparkSession, state_path).write(batch_id, {"stats": batch})
+        store = StateStore(batch.sparkSession, state_path)
+        store.claim(_stream_id(batch.sparkSession, checkpoint))
+        store.write(batch_id, {"stats": batch})
 
     return (node_stats(rows, params).writeStream.outputMode("complete").foreachBatch(step)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -72,15 +75,22 @@ def stream_dedupe(rows: DataFrame, keys: list[str], out: str, checkpoint: str, e
 def holdback_step(state: dict[str, DataFrame], batch: DataFrame) -> dict[str, DataFrame]:
     """batch(seq, node_id, kind START|END|ROW): rows of nodes in training wait until it ends.
 
-    The newest control of a node in the batch decides for the whole batch. Returns training
-    (nodes in training), held (waiting rows) and ready (rows that may go on, in seq order).
+    A row waits when it comes after a START and no END of its node follows; where batches are cut does
+    not matter as long as they follow ``seq``. Rows without a node never wait. Returns training (nodes in
+    training), held (waiting rows) and ready (rows that may go on).
     """
-    control = batch.where("kind <> 'ROW'").groupBy("node_id").agg(F.max_by("kind", "seq").alias("kind"))
-    started = control.where("kind = 'START'").select("node_id")
-    training = state["training"].join(control.select("node_id"), "node_id", "left_anti").unionByName(started)
-    rows = state["held"].unionByName(batch.where("kind = 'ROW'").select("seq", "node_id"))
-    return {"training": training, "held": rows.join(training, "node_id", "left_semi").select("seq", "node_id"),
-            "ready": rows.join(training, "node_id", "left_anti").select("seq", "node_id")}
+    ends = batch.where("kind = 'END'").groupBy("node_id").agg(F.max("seq").alias("_end"))
+    before = state["training"].join(ends, "node_id", "left_anti").select("node_id", F.lit(-2**63).cast("long").alias("since"))
+    starts = batch.where("kind = 'START'").join(ends, "node_id", "left").where("_end IS NULL OR seq > _end").select(
+        "node_id", F.col("seq").alias("since"))
+    training = before.unionByName(starts).groupBy("node_id").agg(F.min("since").alias("since"))
+    old = state["held"].select("seq", "node_id", F.lit(True).alias("_old"))
+    rows = old.unionByName(batch.where("kind = 'ROW'").select("seq", "node_id", F.lit(False).alias("_old")))
+    # what waited stays until an END, rows of this batch wait from the START on
+    kept = rows.join(ends, "node_id", "left").join(training, "node_id", "left").withColumn("_held", F.coalesce(
+        F.when(F.col("_old"), F.col("_end").isNull()).otherwise(F.col("seq") > F.col("since")), F.lit(False)))
+    return {"training": training.select("node_id"), "held": kept.where("_held").select("seq", "node_id"),
+            "ready": kept.where("NOT _held").select("seq", "node_id")}
 
 
 def stream_holdback(rows: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
@@ -88,6 +98,7 @@ def stream_holdback(rows: DataFrame, state_path: str, checkpoint: str) -> Stream
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         store = StateStore(spark, state_path)
+        store.claim(_stream_id(spark, checkpoint))
         if store.committed(batch_id):
             return
         if store.versions():
@@ -114,6 +125,11 @@ def progress(spark: SparkSession, state_path: str) -> DataFrame:
     return rows.groupBy("batch").agg(*[F.max(name).alias(name) for name in STATE_TABLES])
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a checkpoint keeps over restarts."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()[0]
+
+
 def _start(rows: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -183,3 +183,28 @@ def test_holdback_over_batches(spark):
         ready.append(sorted(r.seq for r in state["ready"].collect()))
     assert ready == [[3], [], [2, 4, 8]]
     assert sorted(r.seq for r in state["held"].collect()) == [6, 9]
+
+
+@pytest.mark.parametrize("cuts", [1, 2, 5])
+def test_holdback_does_not_depend_on_batches(spark, cuts):
+    kinds = "ROW START ROW END ROW START ROW START ROW ROW".split()
+    rows = [(i, "a", k) for i, k in enumerate(kinds)] + [(10, None, "ROW")]
+    state = {"training": spark.createDataFrame([], "node_id string"), "held": spark.createDataFrame([], "seq bigint, node_id string")}
+    ready, size = [], -(-len(rows) // cuts)
+    for at in range(0, len(rows), size):
+        state = SI.holdback_step(state, spark.createDataFrame(rows[at:at + size], "seq bigint, node_id string, kind string"))
+        ready += [r.seq for r in state["ready"].collect()]
+    assert sorted(ready) == [0, 2, 4, 10]
+    assert sorted(r.seq for r in state["held"].collect()) == [6, 8, 9]
+
+
+def test_state_refuses_a_stream_with_another_checkpoint(spark):
+    path, state, mark, other = (scratch_path(spark, n) for n in ("in", "state", "mark", "other"))
+    rows = spark.createDataFrame([(1, "a", "START"), (2, "a", "ROW")], "seq bigint, node_id string, kind string")
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    SI.stream_holdback(stream, state, mark).awaitTermination(120)
+    SI.stream_holdback(stream, state, mark).awaitTermination(120)  # the same stream goes on
+    assert [r.seq for r in StateStore(spark, state).read("held").collect()] == [2]
+    with pytest.raises(Exception, match="belongs to stream"):
+        SI.stream_holdback(stream, state, other).awaitTermination(120)
