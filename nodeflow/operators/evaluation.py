@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from nodeflow.operators.provenance import latest_by
-from nodeflow.operators.ranking import keyed_rank
+from nodeflow.operators.ranking import keyed_rank, sliced
 from nodeflow.params import Params
 from nodeflow.session import cut
 
@@ -52,38 +52,27 @@ def eval_summary(metrics: DataFrame, by: str = "metric_name", value: str = "metr
     base = metrics.where(F.col(value).isNotNull())
     stats = base.groupBy(by).agg(F.min(value).alias("min_value"), F.max(value).alias("max_value"),
                                  F.avg(value).alias("avg_value"), F.count("*").alias("n"))
-    return stats.join(upper_median(base, by, value), by).select(by, "n", "min_value", "max_value", "avg_value",
-                                                                "median_value")
+    medians = upper_median(base, by, value).withColumnRenamed(by, "_by")
+    return stats.join(medians, F.col(by).eqNullSafe(F.col("_by"))).select(
+        by, "n", "min_value", "max_value", "avg_value", "median_value")
 
 
-def upper_median(table: DataFrame, by: str, value: str, buckets: int = 4096, small: int = 100_000) -> DataFrame:
-    """sorted(values)[n // 2] per key, exact.
+def upper_median(table: DataFrame, by: str, value: str, slices: int | None = None) -> DataFrame:
+    """sorted(values)[n // 2] per key, exact; infinite values count, NaN is the largest, a null key is a key.
 
-    While a key has more than ``small`` rows its values fall in buckets between its minimum
-    and maximum and only the bucket that holds the middle is kept.
+    Equal values are counted first, so copies cannot pile up. The counts lie in slices of the
+    value; sums per slice name the one that holds the middle, and only that slice is ordered.
     """
-    rows = table.select(by, value)
-    want = rows.groupBy(by).agg(F.floor(F.count("*") / 2).alias("_want"))
-    while True:
-        edges = rows.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_n"))
-        largest = edges.agg(F.max(F.when(F.col("_hi") > F.col("_lo"), F.col("_n")))).first()[0] or 0
-        if largest <= small:
-            break
-        share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-        bucket = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(buckets - 1), F.floor(share * buckets))).otherwise(0)
-        placed = rows.join(edges, by).select(by, value, bucket.alias("_b"))
-        counts = placed.groupBy(by, "_b").agg(F.count("*").alias("_c"))
-        upto = F.sum("_c").over(W.partitionBy(by).orderBy("_b"))
-        middle = cut(counts.withColumn("_upto", upto).join(want, by)
-                     .where((F.col("_upto") > F.col("_want")) & (F.col("_upto") - F.col("_c") <= F.col("_want")))
-                     .select(by, "_b", (F.col("_want") - (F.col("_upto") - F.col("_c"))).alias("_want")))
-        rows = cut(placed.join(middle.select(by, "_b"), [by, "_b"]).select(by, value))
-        want = middle.select(by, "_want")
-    # equal values are one row here, so copies of a value cannot pile up in a window
-    counts = rows.groupBy(by, value).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(W.partitionBy(by).orderBy(value))
-    return counts.withColumn("_upto", upto).join(want, by).where("_upto > _want").groupBy(by).agg(
-        F.min(value).alias("median_value"))
+    counts = cut(table.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c")))
+    parts = sliced(counts, value, slices)
+    per_slice = parts.groupBy(by, "_slice").agg(F.sum("_c").alias("_s"))
+    upto = F.sum("_s").over(W.partitionBy(by).orderBy("_slice"))
+    want = F.floor(F.sum("_s").over(W.partitionBy(by)) / 2)
+    middle = per_slice.withColumns({"_upto": upto, "_want": want}).where("_upto > _want AND _upto - _s <= _want").select(
+        F.col(by).alias("_by"), F.col("_slice").alias("_at"), (F.col("_want") - F.col("_upto") + F.col("_s")).alias("_want"))
+    inside = parts.join(middle, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_slice") == F.col("_at")))
+    running = F.sum("_c").over(W.partitionBy(by).orderBy(value))
+    return inside.withColumn("_run", running).where("_run > _want").groupBy(by).agg(F.min(value).alias("median_value"))
 
 
 def top_adapters(metrics: DataFrame, n: int = 5) -> DataFrame:

@@ -136,7 +136,8 @@ def merge_map(matching: DataFrame) -> DataFrame:
 def apply_merges(nodes: DataFrame, mapping: DataFrame, params: Params) -> DataFrame:
     """Rewrite nodes through a merge map; parents follow the map, merged nodes become roots.
 
-    A merged node needs training when a part did, when a part was trained, or by its mass.
+    A merged node needs training when a part did, when a part was trained, or by its mass. Other
+    columns of the nodes stay; a merged node starts without label, quarantine and weights.
     """
     kept = nodes.join(mapping, nodes.node_id == mapping.old_id, "left_anti")
     moved = nodes.join(mapping, nodes.node_id == mapping.old_id).withColumn("node_id", F.col("new_id"))
@@ -150,9 +151,14 @@ def apply_merges(nodes: DataFrame, mapping: DataFrame, params: Params) -> DataFr
         F.lit(None).cast("string").alias("training_status"), F.lit(None).cast("string").alias("parent_node_id"),
         F.lit(None).cast("double").alias("parent_similarity"), F.lit("ROOT").alias("inheritance_type"))
     remap = mapping.select(F.col("old_id").alias("parent_node_id"), F.col("new_id").alias("_new_parent"))
-    rest = kept.join(remap, "parent_node_id", "left").withColumn(
-        "parent_node_id", F.coalesce("_new_parent", "parent_node_id"))
-    return rest.select(*fresh.columns).unionByName(fresh)
+    new = {"quarantine_count": 0, "forced_root": False, "has_weights": False}
+    types = {f.name: f.dataType for f in nodes.schema}
+    fresh = fresh.withColumns({c: F.lit(v).cast(types[c]) for c, v in new.items() if c in types})
+    # roots have no parent to look up; a key of their own keeps them out of one task
+    key = F.coalesce("parent_node_id", F.concat(F.lit("\0"), "node_id"))
+    rest = kept.withColumn("_key", key).join(remap.withColumnRenamed("parent_node_id", "_key"), "_key", "left").withColumn(
+        "parent_node_id", F.coalesce("_new_parent", "parent_node_id")).drop("_key", "_new_parent")
+    return rest.unionByName(fresh, allowMissingColumns=True)
 
 
 def reassign_pointers(pointers: DataFrame, mapping: DataFrame) -> DataFrame:

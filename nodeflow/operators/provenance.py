@@ -52,33 +52,31 @@ def _contained(ids: DataFrame, datasets: DataFrame) -> DataFrame:
         return F.when(F.length(low) >= n, F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))).otherwise(none)
 
     parts = F.flatten(F.array(*([cut_out(n) for n in lengths] or [none])))
-    exploded = ids.select("source_id").distinct().select("source_id", F.explode(F.array_distinct(parts)).alias("_part"))
-    return exploded.join(named, "_part").groupBy("source_id").agg(
-        F.min_by("dataset_name", "dataset_order").alias("_contained"))
+    exploded = ids.where("source_id IS NOT NULL").select("source_id").distinct().select(
+        "source_id", F.explode(F.array_distinct(parts)).alias("_part"))
+    first = F.struct(F.col("dataset_order").isNull(), "dataset_order", "dataset_name")
+    return exploded.join(named, "_part").groupBy("source_id").agg(F.min_by("dataset_name", first).alias("_contained"))
 
 
-def resolve_dataset(sources: DataFrame, datasets: DataFrame, sessions: DataFrame, literals: int = 1000) -> DataFrame:
+def resolve_dataset(sources: DataFrame, datasets: DataFrame, sessions: DataFrame) -> DataFrame:
     """sources(source_id), datasets(dataset_name, dataset_order), sessions(session_id, dataset_name) -> + dataset.
 
-    Order: known prefix, session, a dataset name contained in the id, the only dataset. Up to
-    ``literals`` names are looked for in place, without a shuffle; more are joined.
+    Order: known prefix, session, a dataset name contained in the id, the only dataset. Every source row
+    stays once. A repeated name counts once with its smallest order; equal orders go by name, null orders
+    come last, null names do not count; of several rows of a session the smallest name is taken.
     """
-    p = X.prefix(F.col("source_id"))
-    session = sessions.select(F.col("session_id").alias("_prefix"), F.col("dataset_name").alias("_session_dataset"))
-    keyed = sources.withColumn("_prefix", p).join(session, "_prefix", "left")
-    head = datasets.orderBy("dataset_order").limit(literals + 1).collect()
-    if len(head) <= literals:
-        names = [r.dataset_name for r in head]
-        known = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-        only = F.lit(names[0]) if len(names) == 1 else F.lit(None).cast("string")
-        inside = F.get(F.filter(known, lambda n: F.contains(F.lower("source_id"), F.lower(n))), F.lit(0))
-        found = keyed.withColumn("dataset", F.coalesce(
-            F.when(F.array_contains(known, F.col("_prefix")), F.col("_prefix")), "_session_dataset", inside, only))
-    else:
-        exact = datasets.select(F.col("dataset_name").alias("_prefix"), F.col("dataset_name").alias("_exact"))
-        found = keyed.join(exact, "_prefix", "left").join(_contained(sources, datasets), "source_id", "left").withColumn(
-            "dataset", F.coalesce("_exact", "_session_dataset", "_contained")).drop("_exact", "_contained")
-    return found.drop("_prefix", "_session_dataset")
+    known = datasets.where("dataset_name IS NOT NULL").groupBy("dataset_name").agg(F.min("dataset_order").alias("dataset_order"))
+    names = [r[0] for r in known.select("dataset_name").limit(2).collect()]
+    only = F.lit(names[0]) if len(names) == 1 else F.lit(None).cast("string")
+    session = sessions.groupBy("session_id").agg(F.min("dataset_name").alias("_session_dataset")).withColumnRenamed("session_id", "_prefix")
+    exact = known.select(F.col("dataset_name").alias("_prefix"), F.col("dataset_name").alias("_exact"))
+    by_prefix = exact.join(session, "_prefix", "full")
+    # ids without a prefix get a key of their own, so they do not meet in one task
+    key = F.coalesce(X.prefix(F.col("source_id")), F.concat(F.lit("\0"), "source_id"))
+    found = sources.withColumn("_prefix", key).join(by_prefix, "_prefix", "left").join(
+        _contained(sources, known), "source_id", "left").withColumn(
+        "dataset", F.coalesce("_exact", "_session_dataset", "_contained", only))
+    return found.select(*sources.columns, "dataset")
 
 
 def resolve_texts(pointers: DataFrame, texts: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ once; a slice's offset comes from the counts of the slices before it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ def sliced(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
     is_time = df.schema[order].dataType.typeName().startswith("timestamp")
     value = F.unix_micros(F.col(order).cast("timestamp")) if is_time else F.col(order)
     cuts = df.agg(F.percentile_approx(value.cast("double"), [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    inner = sorted(set(cuts))
+    inner = sorted({c for c in cuts if math.isfinite(c)})  # the outer slices hold infinite values, NaN comes last
     splits = [float("-inf"), *inner, float("inf")]
     if len(splits) < 3:
         return df.withColumn("_slice", F.lit(0))

@@ -14,9 +14,9 @@ from nodeflow.plans.training import training_plan
 
 def with_training_columns(nodes: DataFrame) -> DataFrame:
     """Columns the plan reads that fresh nodes do not have yet."""
-    return nodes.withColumns({
-        "has_weights": F.col("is_trained"), "forced_root": F.lit(False), "quarantine_count": F.lit(0),
-        "last_quarantine_exit": F.lit(None).cast("timestamp_ntz")})
+    fresh = {"has_weights": F.col("is_trained"), "forced_root": F.lit(False), "quarantine_count": F.lit(0),
+             "last_quarantine_exit": F.lit(None).cast("timestamp_ntz")}
+    return nodes.withColumns({c: F.coalesce(c, v) if c in nodes.columns else v for c, v in fresh.items()})
 
 
 def full_run(rows: DataFrame, params: Params, as_of: Column, batches: int = 1) -> dict[str, DataFrame]:

@@ -20,13 +20,17 @@ _BATCH = 8192
 def read_wide_csv(spark: SparkSession, path: str, params: Params, header: bool = True) -> DataFrame:
     """One vector per line, one number per column -> (row_id, embedding, valid).
 
-    A cell that is no number makes the row invalid; rows keep their number either way.
+    A cell that is no number makes the row invalid, and so do cells beyond or short of the
+    dimension; rows keep their number either way.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(params.dim)])
-    scan = spark.read.schema(schema).option("header", header).option("enforceSchema", True).csv(path)
+    schema = T.StructType([*[T.StructField(f"c{i}", T.StringType()) for i in range(params.dim)],
+                           T.StructField("_other_width", T.StringType())])
+    scan = spark.read.schema(schema).option("header", header).option("enforceSchema", True).option(
+        "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_other_width").csv(path)
     cells = F.array(*[F.expr(f"try_cast(c{i} AS FLOAT)") for i in range(params.dim)])
-    vectors = numbered(scan).select("row_id", cells.alias("embedding"))
-    return vectors.withColumn("valid", ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
+    vectors = numbered(scan).select("row_id", cells.alias("embedding"), F.col("_other_width").isNull().alias("_width"))
+    gaps = F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    return vectors.select("row_id", "embedding", (F.col("_width") & ~gaps).alias("valid"))
 
 
 def _array_file(handle) -> tuple[tuple[int, ...], np.dtype, bool]:

@@ -158,6 +158,16 @@ def test_merge_keeps_mass_parents_and_flags(spark):
         assert np.allclose(out[new].centroid, want)
 
 
+def test_merge_keeps_other_columns(spark):
+    rows, frame = node_frame(spark, points(60, 51, copies=10), 7)
+    frame = frame.withColumns({"label": F.lit("x"), "quarantine_count": F.lit(2)})
+    mapping = fusion.merge_map(fusion.fusion_matching(frame, BASE))
+    new = {r.new_id for r in mapping.collect()}
+    out = fusion.apply_merges(frame, mapping, BASE)
+    assert set(out.columns) >= {"label", "quarantine_count"} and new
+    assert all((r.label, r.quarantine_count) == ((None, 0) if r.node_id in new else ("x", 2)) for r in out.collect())
+
+
 def test_micro_nodes_fold_until_none_is_left(spark):
     m = points(80, 61, copies=30)
     rows, frame = node_frame(spark, m, 8)

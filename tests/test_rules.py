@@ -85,12 +85,17 @@ def test_epochs(spark):
     assert got == [c[1] for c in cases]
 
 
-@pytest.mark.parametrize("small", [100_000, 7])
-def test_upper_median(spark, small):
+@pytest.mark.parametrize("slices", [None, 7])
+def test_upper_median(spark, slices):
     rng = random.Random(9)
     rows = [("a", rng.uniform(-5, 5)) for _ in range(900)] + [("b", 1.5)] * 400 + [("c", float(i)) for i in range(10)]
+    inf, nan = float("inf"), float("nan")
+    odd = spark.createDataFrame([("i", inf)] * 60 + [("i", 1.0)] * 50 + [("n", nan)] * 3 + [("n", 2.0)] * 4 + [(None, -inf), (None, None)],
+                                "k string, v double")
+    medians = {r.k: r.median_value for r in evaluation.eval_summary(odd, "k", "v").collect()}
+    assert medians == {"i": inf, "n": 2.0, None: -inf}
     frame = spark.createDataFrame(rows, "k string, v double")
-    got = {r.k: r.median_value for r in evaluation.upper_median(frame, "k", "v", buckets=8, small=small).collect()}
+    got = {r.k: r.median_value for r in evaluation.upper_median(frame, "k", "v", slices).collect()}
     for k in "abc":
         vs = sorted(v for key, v in rows if key == k)
         assert got[k] == vs[len(vs) // 2]

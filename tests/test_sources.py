@@ -27,6 +27,12 @@ def test_wide_csv_keeps_numbers_and_marks_gaps(spark, tmp_path):
     assert V.read_wide_csv(spark, str(bare), P, header=False).count() == 2
 
 
+def test_wide_csv_of_another_width_is_invalid(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("u,v,w,x\n1,2,3,4\n1,2,3\n1,2\n1,2,3,\n")
+    got = V.read_wide_csv(spark, str(tmp_path), P).orderBy("row_id").collect()
+    assert [r.valid for r in got] == [False, True, False, False]
+
+
 def test_numpy_files(spark, tmp_path):
     a = np.random.default_rng(0).normal(size=(9000, 3)).astype(np.float32)
     np.save(tmp_path / "a.npy", a)
@@ -89,13 +95,16 @@ def test_source_ids(spark):
     assert got == ["arxiv:3", "s:4", "5"]
 
 
-@pytest.mark.parametrize("literals", [1000, 1], ids=["in place", "joined"])
-def test_dataset_names(spark, literals):
-    datasets = spark.createDataFrame([("News", 0), ("arxiv", 1), ("new", 2)], "dataset_name string, dataset_order int")
-    sessions = spark.createDataFrame([("s1", "arxiv"), ("news", "other")], "session_id string, dataset_name string")
+def test_dataset_names(spark):
+    # repeated names, a tie, null orders and names, a repeated session and a null id neither add rows nor change them
+    datasets = spark.createDataFrame([("News", 0), ("News", 7), ("arxiv", 1), ("new", 2), ("nex", 2), ("42", None), (None, 0)],
+                                     "dataset_name string, dataset_order int").where("dataset_name IS NULL OR dataset_name <> '42'")
+    sessions = spark.createDataFrame([("s1", "arxiv"), ("s1", "arxiv"), ("news", "other")], "session_id string, dataset_name string")
     ids = ["arxiv:1", "s1:2", "my-NEWS-7", "renewal:9", "42", "news:5", "zz:arxiv:3"]
+    rows = spark.createDataFrame([(i,) for i in [*ids, ids[0], None, None]], "source_id string")
+    assert provenance.resolve_dataset(rows, datasets, sessions).count() == len(ids) + 3
     frame = spark.createDataFrame([(i,) for i in ids], "source_id string")
-    got = {r.source_id: r.dataset for r in provenance.resolve_dataset(frame, datasets, sessions, literals).collect()}
+    got = {r.source_id: r.dataset for r in provenance.resolve_dataset(frame, datasets, sessions).collect()}
     assert got == {"arxiv:1": "arxiv", "s1:2": "arxiv", "my-NEWS-7": "News", "renewal:9": "new", "42": None,
                    "news:5": "other", "zz:arxiv:3": "arxiv"}
 
