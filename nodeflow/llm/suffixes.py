@@ -41,8 +41,12 @@ def _ranks(*columns: np.ndarray) -> np.ndarray:
     return np.unique(key, return_inverse=True)[1].reshape(-1)
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of a text of positive integers in ascending order (difference cover of period three)."""
+def suffix_array(text: np.ndarray, depth: int | None = None, step: int = 1) -> np.ndarray:
+    """Suffixes of a text of positive integers in ascending order (difference cover of period three).
+
+    With ``depth``, suffixes that agree in so many letters may come in any order: names that cover them
+    are not told apart by a further recursion. ``step`` is what a letter of the recursion covers.
+    """
     n = len(text)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
@@ -50,12 +54,14 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # a place past the end keeps the first kind apart
     sampled = np.concatenate((one, two))
     names = _ranks(s[sampled], s[sampled + 1], s[sampled + 2])
-    if int(names.max()) + 1 < len(names):
-        order = suffix_array(names + 1)
+    if int(names.max()) + 1 < len(names) and (depth is None or 3 * step < depth):
+        order = suffix_array(names + 1, depth, 3 * step)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
     else:
-        order, place = np.argsort(names), names
+        order = np.argsort(names)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
     rank = np.zeros(n + 3, np.int64)
     rank[sampled] = place + 1
     by_rank = sampled[order]
@@ -67,12 +73,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = s[zero] * m + rank[zero + 1]
     by = np.argsort(key, kind="stable")
     zero, key = zero[by], key[by]
-    # merge: how many sampled suffixes of each kind come before
+    # merge: how many sampled suffixes of each kind come before (never fewer than before a smaller one)
     ones, twos = by_rank[by_rank % 3 == 1], by_rank[by_rank % 3 == 2]
-    before = np.searchsorted(s[ones] * m + rank[ones + 1], key)
-    pairs = _ranks(np.concatenate((s[twos], s[zero])), np.concatenate((s[twos + 1], s[zero + 1])))
-    left = pairs[: len(twos)] * m + rank[twos + 2]
-    before = before + np.searchsorted(left, pairs[len(twos):] * m + rank[zero + 2])
+    before = np.maximum.accumulate(np.searchsorted(s[ones] * m + rank[ones + 1], key))
+    both, width = np.concatenate((twos, zero)), int(s.max()) + 1
+    pairs = s[both] * width + s[both + 1] if width * width * m < 2**63 else _ranks(s[both], s[both + 1])
+    pairs = pairs * m + rank[both + 2]
+    before = before + np.maximum.accumulate(np.searchsorted(pairs[: len(twos)], pairs[len(twos):]))
     out = np.empty(n, np.int64)
     at = np.arange(len(zero)) + before
     rest = np.ones(n, bool)
@@ -101,7 +108,7 @@ def classes(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.maximum(lens - window + 1, 0)
     places = np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     whole[places] = True
-    order = suffix_array(text)
+    order = suffix_array(text, window)
     order = order[whole[order]]
     eight = _words8(raw)
     same = np.ones(max(0, len(order) - 1), bool)
@@ -159,7 +166,7 @@ class _Group:
         return keys, [found[k] for k in keys]
 
 
-def _asked(keys, places, docs, bits, q):
+def _asked(keys, places, docs, bits, q, window):
     shift, at, rows = HASH_BITS - bits, 0, []
     while at < len(keys):
         part, end = keys[at][0] >> shift, at
@@ -171,6 +178,11 @@ def _asked(keys, places, docs, bits, q):
         body = b"".join(s for _, s in keys[at:end])
         rows.append((part, q, joined(packed(np.array([len(s) for _, s in keys[at:end]], np.int64)), packed(np.diff(np.array([h for h, _ in keys[at:end]], np.int64), prepend=0)), zstandard.ZstdCompressor(level=1).compress(body), packed(np.diff(least, prepend=0)))))
         at = end
+    if keys:  # what the group needs of its strings when the answers come: a part of its own brings it back
+        count = np.array([len(p) for p in places], np.int64)
+        d, a = np.array([x for p in places for x in p], np.int64).T
+        windows = np.array([len(s) for _, s in keys], np.int64) - window + 1
+        rows.append((-1 - q, q, joined(*map(packed, (np.array([k >> shift for k, _ in keys], np.int64), windows, count, d, a)))))
     return pd.DataFrame(rows, columns=["part", "q", "body"]).astype({"part": "int64", "q": "int64"})
 
 
@@ -178,6 +190,8 @@ def _earliest(key, pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     """Smallest document of each window of the strings asked about, where smaller than the string's own."""
     import zstandard
 
+    if key[0] < 0:
+        return pdf[["q", "part", "body"]]
     sent, every, others = [], {}, {}
     for q, body in zip(pdf["q"], pdf["body"]):
         lens, anchors, data, least = parted(body)
@@ -243,39 +257,45 @@ def drop_repeats(docs: DataFrame, window: int = 50, gram: int = 24, group_bytes:
     def tell(key, pdf, replies):
         g = _Group(pdf, window, gram, bits)
         keys, places = g.strings(replies)
-        return _asked(keys, places, g.docs, bits, key[0])
+        return _asked(keys, places, g.docs, bits, key[0], window)
 
     told = dealt.groupBy("q").cogroup(live.groupBy("q")).applyInPandas(tell, ASK).groupBy("part").applyInPandas(lambda key, pdf: _earliest(key, pdf, window), REPLY)
 
     def finish(key, pdf, replies):
-        g = _Group(pdf, window, gram, bits)
-        keys, places = g.strings(replies[replies["kind"] == 0])
-        better = replies[replies["kind"] == 1]
-        n = np.array([len(s) - window + 1 for _, s in keys], np.int64)
-        before = np.cumsum(n) - n
-        least = np.repeat(np.array([min(g.docs[d][0] for d, _ in p) for p in places], np.int64), n)
-        part = np.array([k for k, _ in keys], np.int64) >> (HASH_BITS - bits)
-        for p, body in zip(better["part"], better["body"]):
-            where, what = (np.cumsum(unpacked(x)) for x in parted(body))
-            least[before[np.searchsorted(part, p)] + where] = what
-        starts: list[list[tuple[int, int]]] = [[] for _ in g.docs]
-        low, high = (f.reduceat(least, before).tolist() if len(before) else [] for f in (np.minimum, np.maximum))
-        for own, a0, k, lo, hi in zip(places, before.tolist(), n.tolist(), low, high):
-            for d, a in own:
-                doc = g.docs[d][0]
-                if hi < doc:
-                    starts[d].append((a, a + k))
-                elif lo < doc:
-                    starts[d].extend((a + int(x), a + int(y)) for x, y in zip(*runs(least[a0 : a0 + k] < doc)))
+        docs = opened(pdf)
+        size = np.array([len(x) for _, x in docs], np.int64)
+        base = np.cumsum(size) - size
+        gone, touched = np.zeros(int(size.sum()), bool), set()
+        for body in replies.loc[replies["part"] < 0, "body"]:
+            part, n, count, d, a = (unpacked(x) for x in parted(body))
+            ids = np.array([i for i, _ in docs], np.int64)
+            before = np.cumsum(n) - n
+            least = np.repeat(np.minimum.reduceat(ids[d], np.cumsum(count) - count), n)
+            for p, better in zip(replies["part"], replies["body"]):
+                if p >= 0:
+                    where, what = (np.cumsum(unpacked(x)) for x in parted(better))
+                    least[before[np.searchsorted(part, p)] + where] = what
+            low, high = (f.reduceat(least, before) for f in (np.minimum, np.maximum))
+            k, own = np.repeat(np.arange(len(n)), count), ids[d]
+            at = base[d] + a
+            full = high[k] < own  # windows that start in [at, at + n)
+            starts, ends = [at[full]], [at[full] + n[k[full]]]
+            for i in np.flatnonzero(~full & (low[k] < own)).tolist():
+                first = before[k[i]]
+                x, y = runs(least[first : first + n[k[i]]] < own[i])
+                starts.append(at[i] + x)
+                ends.append(at[i] + y)
+                touched.add(int(d[i]))
+            touched.update(np.unique(d[full]).tolist())
+            for x, y in zip(np.concatenate(starts).tolist(), (np.concatenate(ends) - 1 + window).tolist()):
+                gone[x:y] = True
         rows = []
-        for (doc, body), s in zip(g.docs, starts):
-            gone = np.zeros(len(body), bool)
-            for a, b in s:  # windows that start in [a, b)
-                gone[a : b - 1 + window] = True
-            kept = np.frombuffer(body, np.uint8)[~gone].tobytes() if s else body
-            rows.append((None if doc == NO_ID else doc, len(body), int(gone.sum()), len(runs(gone)[0]), hashlib.sha256(kept).hexdigest(), kept))
+        for i, ((doc, body), at) in enumerate(zip(docs, base.tolist())):
+            lost = gone[at : at + len(body)]
+            kept = np.frombuffer(body, np.uint8)[~lost].tobytes() if i in touched else body
+            spans = len(runs(lost)[0]) if i in touched else 0
+            rows.append((None if doc == NO_ID else doc, len(body), len(body) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
         out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
         return out if keep_bytes else out.drop(columns="kept")
 
-    both = live.withColumn("kind", F.lit(0)).unionByName(told.withColumn("kind", F.lit(1)))
-    return dealt.groupBy("q").cogroup(both.groupBy("q")).applyInPandas(finish, RESULT + (", kept binary" if keep_bytes else ""))
+    return dealt.groupBy("q").cogroup(told.groupBy("q")).applyInPandas(finish, RESULT + (", kept binary" if keep_bytes else ""))

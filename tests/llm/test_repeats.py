@@ -91,3 +91,18 @@ def test_bytes(spark, group_bytes, piece, monkeypatch):
     assert Counter((LOW if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == _bytes_model(rows)
     assert all(len(r["kept"]) == r["n_bytes"] - r["n_removed"] for r in got)
     assert suffixes.drop_repeats(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("letters", [1, 2, 4])
+def test_window_classes_of_bounded_depth(letters):
+    rng = np.random.default_rng(letters)
+    for n, window in ((40, 8), (300, 12), (1500, 50), (4000, 50)):
+        strings = [bytes(rng.integers(97, 97 + letters, rng.integers(window, 3 * window)).tolist()) for _ in range(n // window + 1)]
+        strings = list(dict.fromkeys(strings + [s[:5] + s for s in strings[::2]] + [s + s for s in strings[::3]]))
+        label, places = suffixes.classes(strings, window)
+        text = b"\0".join(strings) + b"\0"
+        by_label, by_window = {}, {}
+        for p in places.tolist():
+            by_label.setdefault(int(label[p]), set()).add(text[p : p + window])
+            by_window.setdefault(text[p : p + window], set()).add(int(label[p]))
+        assert all(len(x) == 1 for x in by_label.values()) and all(len(x) == 1 for x in by_window.values())
