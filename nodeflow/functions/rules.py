@@ -107,3 +107,9 @@ def artifact_problems(fmt: Column, data: Column, checksum: Column, params: Param
         F.when(size > params.artifact_max_bytes, "TOO_LARGE"),
         F.when(~F.coalesce(F.sha2(data, 256) == checksum, F.lit(False)), "CHECKSUM"),
     ))
+
+
+def parent_key() -> Column:
+    """What a node looks its parent up by: roots get a key of their own that matches nothing, so that
+    they, the majority, do not meet in one task as nulls."""
+    return F.coalesce("parent_node_id", F.concat(F.lit("\0"), "node_id"))

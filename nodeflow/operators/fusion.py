@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nodeflow.functions.rules import parent_key
 from nodeflow.operators.nodestats import merge_signatures
 from nodeflow.operators.similarity import Spec, match
 from nodeflow.params import Params
@@ -154,9 +155,7 @@ def apply_merges(nodes: DataFrame, mapping: DataFrame, params: Params) -> DataFr
     new = {"quarantine_count": 0, "forced_root": False, "has_weights": False}
     types = {f.name: f.dataType for f in nodes.schema}
     fresh = fresh.withColumns({c: F.lit(v).cast(types[c]) for c, v in new.items() if c in types})
-    # roots have no parent to look up; a key of their own keeps them out of one task
-    key = F.coalesce("parent_node_id", F.concat(F.lit("\0"), "node_id"))
-    rest = kept.withColumn("_key", key).join(remap.withColumnRenamed("parent_node_id", "_key"), "_key", "left").withColumn(
+    rest = kept.withColumn("_key", parent_key()).join(remap.withColumnRenamed("parent_node_id", "_key"), "_key", "left").withColumn(
         "parent_node_id", F.coalesce("_new_parent", "parent_node_id")).drop("_key", "_new_parent")
     return rest.unionByName(fresh, allowMissingColumns=True)
 

@@ -52,8 +52,8 @@ def training_order(nodes: DataFrame, params: Params) -> DataFrame:
     1 titans (light first), 2 other roots, 3 children of trained parents, 4 waiting children
     (heavy first). The order is total, so the result can be range-partitioned.
     """
-    trained = nodes.where("is_trained").select(F.col("node_id").alias("parent_node_id"), F.lit(True).alias("_ready"))
-    pending = nodes.where("needs_training").join(trained, "parent_node_id", "left")
+    trained = nodes.where("is_trained").select(F.col("node_id").alias("_key"), F.lit(True).alias("_ready"))
+    pending = nodes.where("needs_training").withColumn("_key", R.parent_key()).join(trained, "_key", "left").drop("_key")
     tier = (
         F.when(F.col("parent_node_id").isNotNull(), F.when(F.col("_ready"), 3).otherwise(4))
         .when(is_titan_size(params), 1).otherwise(2)
