@@ -8,10 +8,11 @@ Two physical ways, same result:
 
 * the right side is counted first; up to ``Params.broadcast_bytes`` it is broadcast as one
   matrix and the left side is only scanned (no shuffle);
-* beyond that, right rows are placed in cells around pivots and cells are split into tiles
-  of bounded size. A left row visits only the cells whose range of angles can hold a
-  partner: for unit vectors, |angle(l,p) - angle(r,p)| <= angle(l,r). Rows that visit a hot
-  cell are salted, so every group handed to a task is bounded on both sides.
+* beyond that, both sides are cut into large tiles of bounded size that meet in groups. Where
+  the threshold allows it, right rows lie in cells around pivots and a left row visits only
+  the cells whose range of angles can hold a partner: for unit vectors,
+  |angle(l,p) - angle(r,p)| <= angle(l,r). Rows that visit a hot cell are salted. The visits
+  are counted first; if cells save too little, every pair of tiles meets once instead.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ from nodeflow.session import cut
 DECIMALS = 9  # similarities are compared after rounding, so a sum's order cannot flip a threshold
 _CHUNK = 2_000_000  # similarities held at once per task
 _EPS = 1e-6
+_SLICE = 8192  # left rows of a group that are taken to the kernel at once
+_COPY = 512  # similarities that cost about as much as sending one row to a task
+_PAYS = 0.7  # cells are used when they cost at most this share of all pairs of tiles
 
 
 @dataclass(frozen=True)
@@ -184,7 +188,9 @@ def _schema(left: DataFrame, right: DataFrame, spec: Spec) -> T.StructType:
 
 
 def _prepare(df: DataFrame, side: str, attrs: tuple[str, ...], dim: int) -> DataFrame:
-    vec = F.col(f"{side}vec").cast("array<double>")
+    vec = F.col(f"{side}vec")
+    if df.schema[f"{side}vec"].dataType not in (T.ArrayType(T.FloatType(), n) for n in (True, False)):
+        vec = vec.cast("array<double>")  # floats travel as they are; the kernel widens them
     return df.where(F.size(f"{side}vec") == dim).select(
         f"{side}id", vec.alias(f"{side}vec"), *dict.fromkeys(attrs), F.xxhash64(f"{side}id").alias(f"{side}hash"))
 
@@ -196,10 +202,12 @@ def match(left: DataFrame, right: DataFrame, spec: Spec, params: Params) -> Data
     schema = _schema(left, right, spec)
     # one job over the narrow columns: vectors are not computed for it
     lowest = F.min(spec.floor_attr) if spec.floor_attr else F.lit(spec.floor)
-    n_right, floor = right.agg(F.count("*"), lowest).first()
+    other = [F.octet_length(F.col(c).cast("string")) for c in right.columns if c not in ("rvec", "rhash")]
+    beside = sum((F.coalesce(n, F.lit(0)) for n in other), F.lit(8))
+    n_right, floor, beside = right.agg(F.count("*"), lowest, F.coalesce(F.sum(beside), F.lit(0))).first()
     if spec.floor_attr and floor is not None:
         spec = replace(spec, floor=floor)
-    if n_right * params.dim * 8 <= params.broadcast_bytes:
+    if n_right * params.dim * 8 + beside <= params.broadcast_bytes:
         return _broadcast(left, right, spec, schema)
     parts = _tiled(left, cut(right), n_right, spec, schema, params)
     if spec.counts:
@@ -228,8 +236,46 @@ def _broadcast(left: DataFrame, right: DataFrame, spec: Spec, schema: T.StructTy
 
 def _tiled(left: DataFrame, right: DataFrame, n_right: int, spec: Spec, schema: T.StructType,
            params: Params) -> DataFrame:
+    """Tiles of both sides meet in groups. The number of copies of a row is that of the tiles it visits."""
+    bound = max(1, params.tile_bytes // (8 * params.dim))
+    tile_rows, group_rows = min(params.tile_rows, bound), min(params.group_rows, bound)
+    dealt = None
+    if spec.floor > 0 or spec.floor_attr:
+        dealt = _by_cell(left, right, n_right, spec, params, tile_rows, group_rows)
+    queries, targets = dealt or _by_grid(left, right, n_right, tile_rows, group_rows)
+    keys = ["cell", "tile", "salt"]
+    kernel = _count if spec.counts else _best
+    arrow_schema = to_arrow_schema(schema)
+    empty = {f.name: [] for f in schema.fields}
+
+    def run(l_table: pa.Table, r_table: pa.Table) -> pa.Table:
+        if not l_table.num_rows or not r_table.num_rows:
+            return pa.table(empty, schema=arrow_schema)
+        side = _Side(*_side_parts(r_table, spec))
+        found = [b for at in range(0, l_table.num_rows, _SLICE)
+                 for b in kernel(l_table.slice(at, _SLICE).combine_chunks(), side, spec)]
+        return pa.Table.from_batches(found, schema=arrow_schema)
+
+    return queries.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _by_grid(left: DataFrame, right: DataFrame, n_right: int, tile_rows: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Every tile of the left side meets every tile of the right side once."""
+    tiles, salts = max(1, math.ceil(n_right / tile_rows)), max(1, math.ceil(left.count() / group_rows))
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    cell = F.lit(0).alias("cell")
+    return (left.select("*", cell, every(tiles).alias("tile"), F.pmod("lhash", F.lit(salts)).cast("int").alias("salt")),
+            right.select("*", cell, F.pmod("rhash", F.lit(tiles)).cast("int").alias("tile"), every(salts).alias("salt")))
+
+
+def _by_cell(left: DataFrame, right: DataFrame, n_right: int, spec: Spec, params: Params,
+             tile_rows: int, group_rows: int) -> tuple[DataFrame, DataFrame] | None:
+    """Rows meet in cells around pivots; None if the cells rule out too little to pay for themselves."""
     spark = left.sparkSession
-    n_pivots = max(1, min(params.max_pivots, math.ceil(n_right / params.tile_rows)))
+    n_pivots = max(1, min(params.max_pivots, math.ceil(16 * n_right / tile_rows)))
     heads = right.select("rvec", "rhash", "rid").orderBy("rhash", "rid").limit(n_pivots).toArrow()
     pivots = spark.sparkContext.broadcast(_unit(_matrix(heads.column("rvec")))[0])
 
@@ -243,10 +289,11 @@ def _tiled(left: DataFrame, right: DataFrame, n_right: int, spec: Spec, schema:
 
     placed = right.mapInArrow(place, T.StructType(
         right.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
-    # at most max_pivots rows come back here
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("lo"),
-                                       F.max("angle").alias("hi")).collect()
-    reach = math.acos(max(-1.0, min(1.0, spec.floor - 10.0 ** -DECIMALS))) + _EPS
+    # at most max_pivots rows come back here; each cell has a floor of its own
+    lowest = F.coalesce(F.min(spec.floor_attr), F.lit(spec.floor)) if spec.floor_attr else F.lit(spec.floor)
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"),
+                                       lowest.alias("floor")).collect()
+    reach = np.arccos(np.clip([c.floor - 10.0 ** -DECIMALS for c in cells], -1, 1)) + _EPS
     ids = np.array([c.cell for c in cells])
     low = np.array([c.lo for c in cells]) - reach
     high = np.array([c.hi for c in cells]) + reach
@@ -258,8 +305,8 @@ def _tiled(left: DataFrame, right: DataFrame, n_right: int, spec: Spec, schema:
     def visits(batches):
         for b in batches:
             if b.num_rows:
-                total = reachable(b).sum(axis=0)
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(ids, pa.int32()), "n": pa.array(total, pa.int64())})
+                total = np.append(reachable(b).sum(axis=0), b.num_rows)
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(np.append(ids, -1), pa.int32()), "n": pa.array(total, pa.int64())})
 
     def visit(batches):
         for b in batches:
@@ -271,12 +318,15 @@ def _tiled(left: DataFrame, right: DataFrame, n_right: int, spec: Spec, schema:
 
     load = {r.cell: r.n for r in left.mapInArrow(visits, "cell int, n bigint").groupBy("cell").agg(
         F.sum("n").alias("n")).collect()}
+    n_left = load.pop(-1, 0)
     # one small row per cell (at most max_pivots), made per side so that column ids stay apart
-    plan = [(int(c.cell), max(1, math.ceil(c.n / params.tile_rows)),
-             max(1, math.ceil(load.get(c.cell, 0) / params.group_rows))) for c in cells]
+    plan = [(int(c.cell), max(1, math.ceil(c.n / tile_rows)), max(1, math.ceil(load.get(c.cell, 0) / group_rows)))
+            for c in cells]
+    cost = sum(load.get(c.cell, 0) * (c.n + _COPY * tiles) + _COPY * c.n * salts for c, (_, tiles, salts) in zip(cells, plan))
+    if cost > _PAYS * (n_left * (n_right + _COPY * math.ceil(n_right / tile_rows)) + _COPY * n_right * math.ceil(n_left / group_rows)):
+        return None
     plan_left, plan_right = (spark.createDataFrame(plan, "cell int, tiles int, salts int") for _ in "lr")
     visiting = left.mapInArrow(visit, T.StructType(left.schema.fields + [T.StructField("cell", T.IntegerType())]))
-    keys = ["cell", "tile", "salt"]
     queries = visiting.join(F.broadcast(plan_left), "cell").select(
         *visiting.columns,
         F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"),
@@ -285,14 +335,4 @@ def _tiled(left: DataFrame, right: DataFrame, n_right: int, spec: Spec, schema:
         *placed.columns,
         F.pmod("rhash", "tiles").cast("int").alias("tile"),
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    kernel = _count if spec.counts else _best
-    arrow_schema = to_arrow_schema(schema)
-    empty = {f.name: [] for f in schema.fields}
-
-    def run(l_table: pa.Table, r_table: pa.Table) -> pa.Table:
-        if not l_table.num_rows or not r_table.num_rows:
-            return pa.table(empty, schema=arrow_schema)
-        return pa.Table.from_batches(list(kernel(l_table.combine_chunks(), _Side(*_side_parts(r_table, spec)), spec)),
-                                     schema=arrow_schema)
-
-    return queries.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(run, schema)
+    return queries, targets

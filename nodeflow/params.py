@@ -64,11 +64,11 @@ class Params:
     artifact_max_bytes: int = 50 * 1024 * 1024
     # physical limits of the similarity join (do not change results)
     broadcast_bytes: int = 128 * 1024 * 1024
-    tile_rows: int = 4096
-    group_rows: int = 16384
+    tile_rows: int = 100_000
+    group_rows: int = 100_000
+    tile_bytes: int = 128 * 1024 * 1024
     max_pivots: int = 512
     # physical limits of the iterative operators (do not change results)
     neighbour_list: int = 16
     leader_list: int = 64
     leader_head_rows: int = 4096
-    leader_head_rows_max: int = 65536

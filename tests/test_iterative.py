@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from nodeflow import Params
 from nodeflow.operators import fusion, parents
 from nodeflow.operators.buffers import leader_cluster
+from nodeflow.operators import leaders as leaders_module
 from nodeflow.operators.leaders import elect_leaders
 
 DIM = 5
 BASE = Params(dim=DIM, s_min=0.6, fusion_similarity=0.5, fusion_max_mass=99, fusion_max_variance=9.0,
               fusion_variance_increase=0.35, adoption_similarity=0.6)
 # tiny lists and heads force refills, several heads and the tiled join
-NARROW = replace(BASE, neighbour_list=2, leader_list=2, leader_head_rows=20, leader_head_rows_max=40)
+NARROW = replace(BASE, neighbour_list=2, leader_list=2, leader_head_rows=20)
 TILED = replace(NARROW, broadcast_bytes=0, tile_rows=30, group_rows=30, max_pivots=5)
 
 
@@ -46,6 +47,16 @@ def test_leaders_follow_the_sequential_order(spark, params):
     assert got == set(sequential_leaders(cos(m), params.s_min))
 
 
+def test_sparse_rows_need_few_heads(spark, monkeypatch):
+    """Rows without a neighbour: heads double, so their number grows with the logarithm."""
+    m = np.eye(256)
+    rows = spark.createDataFrame([(i, i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, rank long, vec array<double>")
+    heads, settle = [], leaders_module._settle
+    monkeypatch.setattr(leaders_module, "_settle", lambda head, *args: heads.append(head.count()) or settle(head, *args))
+    assert elect_leaders(rows, 0.5, replace(NARROW, dim=256, leader_head_rows=16)).count() == 256
+    assert sum(heads) == 256 and len(heads) <= 5
+
+
 def test_rows_join_the_most_similar_earlier_leader(spark):
     m = points(100, 11, copies=30)
     sim = cos(m)

@@ -1,15 +1,27 @@
-"""The similarity join against a plain NumPy model, on both physical paths."""
+"""The similarity join against a plain NumPy model, on all physical paths."""
 
 import numpy as np
 import pytest
 
 from nodeflow import Params
+from nodeflow.operators import fusion, routing, similarity
 from nodeflow.operators.similarity import Spec, match
 
 BROADCAST = Params(dim=6)
 TILED = Params(dim=6, broadcast_bytes=0, tile_rows=20, group_rows=25, max_pivots=7)
 
 
+EVERY_PATH = pytest.mark.parametrize("params, pays", [(BROADCAST, None), (TILED, 1e9), (TILED, -1.0)], ids=["broadcast", "cells", "grid"])
+
+
+@pytest.fixture(autouse=True)
+def forced_path(request, monkeypatch):
+    """Cells or the grid, whatever they cost."""
+    pays = getattr(request.node, "callspec", None) and request.node.callspec.params.get("pays")
+    if pays is not None:
+        monkeypatch.setattr(similarity, "_PAYS", pays)
+
+
 def vectors(n, seed, copies=0):
     rng = np.random.default_rng(seed)
     m = rng.normal(size=(n, 6))
@@ -29,8 +41,8 @@ def cosines(a, b):
     return np.round(a @ b.T, 9)
 
 
-@pytest.mark.parametrize("params", [BROADCAST, TILED], ids=["broadcast", "tiled"])
-def test_best_k(spark, params):
+@EVERY_PATH
+def test_best_k(spark, params, pays):
     a, b = vectors(90, 1), vectors(150, 2, copies=50)
     sim = cosines(a, b)
     for k in (1, 4):
@@ -43,8 +55,8 @@ def test_best_k(spark, params):
         assert len(got) == len(want) > 20
 
 
-@pytest.mark.parametrize("params", [BROADCAST, TILED], ids=["broadcast", "tiled"])
-def test_weighted_score_and_gate(spark, params):
+@EVERY_PATH
+def test_weighted_score_and_gate(spark, params, pays):
     a, b = vectors(40, 3), vectors(120, 4)
     sim = cosines(a, b)
     spec = Spec(floor=0.2, k=1, right_attrs=("rw",), carry=("rw",),
@@ -59,8 +71,8 @@ def test_weighted_score_and_gate(spark, params):
     assert got == want and len(want) > 20
 
 
-@pytest.mark.parametrize("params", [BROADCAST, TILED], ids=["broadcast", "tiled"])
-def test_self_pairs_and_counts(spark, params):
+@EVERY_PATH
+def test_self_pairs_and_counts(spark, params, pays):
     a = vectors(130, 5, copies=40)
     names = [f"n{i:04d}" for i in range(len(a))]
     sim = cosines(a, a)
@@ -83,3 +95,55 @@ def test_hot_cell_is_split_on_both_sides(spark):
     got = match(frame(spark, a, "l"), frame(spark, a, "r"), Spec(floor=0.5, k=3), params).count()
     sim = cosines(a, a)
     assert got == int(np.minimum((sim >= 0.5).sum(axis=1), 3).sum())
+
+
+def test_large_sides_are_copied_once_per_tile(spark, monkeypatch):
+    """64 dimensions, right side far beyond the broadcast: same results, copies bounded by the number of tiles."""
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(600, 64))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    left = spark.createDataFrame(rows, "row_id long, embedding array<double>").repartition(4)
+    nodes = spark.createDataFrame([(f"n{i:04d}", [float(x) for x in v], i % 20 + 1, 0.5) for i, v in enumerate(m[::-1])],
+                                  "node_id string, centroid array<double>, mass long, variance double")
+    near = Params(dim=64, s_min=0.25)
+    far = Params(dim=64, s_min=0.25, broadcast_bytes=1000, tile_rows=200, group_rows=300)
+    seen = []
+    dealt = similarity._by_grid
+
+    def counted(*args):
+        queries, targets = dealt(*args)
+        seen.append((queries.count(), targets.count()))
+        return queries, targets
+
+    monkeypatch.setattr(similarity, "_by_grid", counted)
+    for run in (lambda p: routing.route(left, nodes, p), lambda p: routing.topk(left, nodes, 3, p),
+                lambda p: fusion.adjacency(nodes, 0.3, p)):
+        want = sorted(map(str, run(near).collect()))
+        assert sorted(map(str, run(far).collect())) == want and want
+    assert seen and all(n_left <= 3 * 600 and n_right <= 2 * 600 for n_left, n_right in seen)
+
+
+def test_lone_low_threshold_leaves_other_cells_pruned(spark, monkeypatch):
+    """Cells have floors of their own: one node that accepts everything does not open the others."""
+    rng = np.random.default_rng(8)
+    centres = np.eye(64)[:20] * 10
+    m = np.concatenate([c + rng.normal(size=(20, 64)) * 0.1 for c in centres])
+    limits = [-0.9] + [0.8] * (len(m) - 1)
+    right = spark.createDataFrame([(i, [float(x) for x in v], t) for i, (v, t) in enumerate(zip(m, limits))], "rid long, rvec array<double>, t double")
+    left = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "lid long, lvec array<double>")
+    spec = Spec(floor_attr="t", k=1, right_attrs=("t",), keep=lambda sim, L, R: sim >= R["t"])
+    params = Params(dim=64, broadcast_bytes=0, tile_rows=40, group_rows=100)
+    copies = []
+    dealt = similarity._by_cell
+
+    def counted(*args):
+        out = dealt(*args)
+        copies.append(out[0].count() if out else None)
+        return out
+
+    monkeypatch.setattr(similarity, "_by_cell", counted)
+    got = {r.lid: r.rid for r in match(left, right, spec, params).collect()}
+    sim = cosines(m, m)
+    sim[sim < np.array(limits)[None, :]] = -2
+    assert got == {i: int(np.argmax(sim[i])) for i in range(len(m))}
+    assert copies[0] is not None and copies[0] < len(m) * 60
