@@ -155,34 +155,44 @@ class _Group:
         self.keys = Hashes([h for *_, h in self.spans], bits)
 
     def strings(self, replies: pd.DataFrame):
-        """Distinct strings around repeated anchors by (anchor, string), with all their places."""
-        live, at, found = self.keys.live(replies)[self.keys.inverse], 0, {}
+        """Distinct strings around repeated anchors in the order of their anchors, the anchors, how often each
+        string occurs, and the document and start of every occurrence in the order of the strings."""
+        live, at, index, which = self.keys.live(replies)[self.keys.inverse], 0, {}, []
+        place, docs, starts, anchors = index.setdefault, [], [], []
         for d, ((_, text), (first, last, h)) in enumerate(zip(self.docs, self.spans)):
             mine = np.flatnonzero(live[at : at + len(h)])
             at += len(h)
-            for k, a, b in zip(h[mine].tolist(), first[mine].tolist(), last[mine].tolist()):
-                found.setdefault((k, text[a : b + self.window]), []).append((d, a))
-        keys = sorted(found)
-        return keys, [found[k] for k in keys]
-
-
-def _asked(keys, places, docs, bits, q, window):
-    shift, at, rows = HASH_BITS - bits, 0, []
-    while at < len(keys):
-        part, end = keys[at][0] >> shift, at
-        while end < len(keys) and keys[end][0] >> shift == part:
-            end += 1
-        least = np.array([min(docs[d][0] for d, _ in p) for p in places[at:end]], np.int64)
+            a = first[mine]
+            which += [place(text[x:y], len(index)) for x, y in zip(a.tolist(), (last[mine] + self.window).tolist())]
+            docs.append(np.full(len(a), d))
+            starts.append(a)
+            anchors.append(h[mine])
+        if not which:
+            return [], *(np.zeros(0, np.int64) for _ in range(4))
+        which, docs, starts = np.array(which, np.int64), np.concatenate(docs), np.concatenate(starts)
+        anchor = np.zeros(len(index), np.int64)
+        anchor[which] = np.concatenate(anchors)  # a string has one anchor
+        order = np.argsort(anchor, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        by = np.argsort(rank[which], kind="stable")
+        known = list(index)
+        return [known[i] for i in order.tolist()], anchor[order], np.bincount(rank[which]), docs[by], starts[by]
+
+
+def _asked(strings, anchors, count, d, a, docs, bits, q, window):
+    rows = []
+    if strings:
         import zstandard
 
-        body = b"".join(s for _, s in keys[at:end])
-        rows.append((part, q, joined(packed(np.array([len(s) for _, s in keys[at:end]], np.int64)), packed(np.diff(np.array([h for h, _ in keys[at:end]], np.int64), prepend=0)), zstandard.ZstdCompressor(level=1).compress(body), packed(np.diff(least, prepend=0)))))
-        at = end
-    if keys:  # what the group needs of its strings when the answers come: a part of its own brings it back
-        count = np.array([len(p) for p in places], np.int64)
-        d, a = np.array([x for p in places for x in p], np.int64).T
-        windows = np.array([len(s) for _, s in keys], np.int64) - window + 1
-        rows.append((-1 - q, q, joined(*map(packed, (np.array([k >> shift for k, _ in keys], np.int64), windows, count, d, a)))))
+        press = zstandard.ZstdCompressor(level=1)
+        part, size = anchors >> (HASH_BITS - bits), np.fromiter(map(len, strings), np.int64, len(strings))
+        least = np.minimum.reduceat(np.array([i for i, _ in docs], np.int64)[d], np.cumsum(count) - count)
+        edge = np.flatnonzero(np.diff(part, prepend=-1))
+        for x, y in zip(edge.tolist(), np.append(edge[1:], len(part)).tolist()):
+            rows.append((int(part[x]), q, joined(packed(size[x:y]), packed(np.diff(anchors[x:y], prepend=0)), press.compress(b"".join(strings[x:y])), packed(np.diff(least[x:y], prepend=0)))))
+        # what the group needs of its strings when the answers come: a part of its own brings it back
+        rows.append((-1 - q, q, joined(*map(packed, (part, size - window + 1, count, d, a)))))
     return pd.DataFrame(rows, columns=["part", "q", "body"]).astype({"part": "int64", "q": "int64"})
 
 
@@ -192,46 +202,51 @@ def _earliest(key, pdf: pd.DataFrame, window: int) -> pd.DataFrame:
 
     if key[0] < 0:
         return pdf[["q", "part", "body"]]
-    sent, every, others = [], {}, {}
+    sent, index = [], {}
+    place = index.setdefault
     for q, body in zip(pdf["q"], pdf["body"]):
         lens, anchors, data, least = parted(body)
-        lens, least = unpacked(lens), np.cumsum(unpacked(least))
+        lens = unpacked(lens)
         data, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(lens)
-        mine = [data[e - n : e] for n, e in zip(lens.tolist(), ends.tolist())]
-        sent.append((q, mine, least))
-        for s, h, d in zip(mine, np.cumsum(unpacked(anchors)).tolist(), least.tolist()):
-            if every.setdefault(s, d) > d:
-                every[s] = d
-            others.setdefault(h, set()).add(s)
+        mine = [place(data[x:y], len(index)) for x, y in zip((ends - lens).tolist(), ends.tolist())]
+        sent.append((q, np.array(mine, np.int64), np.cumsum(unpacked(anchors)), np.cumsum(unpacked(least))))
+    strings = list(index)
+    windows = np.fromiter(map(len, strings), np.int64, len(strings)) - window + 1
+    every, anchor = np.full(len(strings), np.iinfo(np.int64).max), np.zeros(len(strings), np.int64)
+    for _, mine, h, own in sent:
+        np.minimum.at(every, mine, own)
+        anchor[mine] = h
     # equal windows lie in strings of one anchor, so a string alone under its anchor meets no other
-    strings = list(dict.fromkeys(s for group in others.values() if len(group) > 1 for s in sorted(group)))
-    n = np.array([len(s) - window + 1 for s in strings], np.int64)
-    owner = np.repeat(np.array([every[s] for s in strings], np.int64), n)
-    smallest = owner
-    if strings:
-        label, places = classes(strings, window)
+    _, inverse, times = np.unique(anchor, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times[inverse] > 1)
+    start = np.zeros(len(strings), np.int64)
+    smallest = np.zeros(0, np.int64)
+    meets = np.zeros(len(strings), bool)
+    if len(shared):
+        meets[shared] = True
+        n = windows[shared]
+        start[shared] = np.cumsum(n) - n
+        owner = np.repeat(every[shared], n)
+        label, places = classes([strings[i] for i in shared.tolist()], window)
         least = np.full(int(label.max(initial=0)) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, label[places], owner)
         smallest = least[label[places]]
-    at = dict(zip(strings, zip((np.cumsum(n) - n).tolist(), n.tolist())))
     out = []
-    for q, mine, own in sent:
-        base, where, what = 0, [], []
-        for s, d in zip(mine, own.tolist()):
-            if s in at:
-                a, k = at[s]
-                x = np.flatnonzero(smallest[a : a + k] < d)
-                where.append(base + x)
-                what.append(smallest[a + x])
-            else:
-                k = len(s) - window + 1
-                if every[s] < d:
-                    where.append(base + np.arange(k))
-                    what.append(np.full(k, every[s]))
-            base += k
-        where, what = np.concatenate([*where, np.zeros(0, np.int64)]), np.concatenate([*what, np.zeros(0, np.int64)])
+    for q, mine, _, own in sent:
+        base = np.cumsum(windows[mine]) - windows[mine]
+        where, what = [], []
+        for some in (meets[mine], ~meets[mine] & (every[mine] < own)):
+            i = np.flatnonzero(some)
+            n = windows[mine[i]]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            value = smallest[np.repeat(start[mine[i]], n) + inside] if meets[mine[i]].any() else np.repeat(every[mine[i]], n)
+            better = np.flatnonzero(value < np.repeat(own[i], n))
+            where.append((np.repeat(base[i], n) + inside)[better])
+            what.append(value[better])
+        where, what = np.concatenate(where), np.concatenate(what)
         if len(where):
-            out.append((q, joined(packed(np.diff(where, prepend=0)), packed(np.diff(what, prepend=0)))))
+            by = np.argsort(where)
+            out.append((q, joined(packed(np.diff(where[by], prepend=0)), packed(np.diff(what[by], prepend=0)))))
     return pd.DataFrame({"q": [q for q, _ in out], "part": key[0], "body": [b for _, b in out]}).astype({"q": "int64", "part": "int64"})
 
 
@@ -256,8 +271,7 @@ def drop_repeats(docs: DataFrame, window: int = 50, gram: int = 24, group_bytes:
 
     def tell(key, pdf, replies):
         g = _Group(pdf, window, gram, bits)
-        keys, places = g.strings(replies)
-        return _asked(keys, places, g.docs, bits, key[0], window)
+        return _asked(*g.strings(replies), g.docs, bits, key[0], window)
 
     told = dealt.groupBy("q").cogroup(live.groupBy("q")).applyInPandas(tell, ASK).groupBy("part").applyInPandas(lambda key, pdf: _earliest(key, pdf, window), REPLY)
 
