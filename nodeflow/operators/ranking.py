@@ -1,7 +1,7 @@
-"""Row numbers and ordered folds per key that stay spread when one key holds most rows.
+"""Row numbers and ordered folds per key that stay spread when one key, or one value, holds most rows.
 
-The order column is cut at quantiles, so rows of one key are numbered in many slices at
-once; a slice's offset comes from the counts of the slices before it.
+Rows are range-partitioned by key, order and ties together, so rows of one key are numbered in
+many slices at once; a slice's offset comes from the counts of the slices before it.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from nodeflow.session import cut
+
 
 def sliced(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
     """Add ``_slice``, non-decreasing in ``order`` (a number or a timestamp)."""
@@ -29,12 +31,18 @@ def sliced(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
     return made.drop("_slice_by").withColumn("_slice", F.col("_slice").cast("int"))
 
 
+def ranged(df: DataFrame, columns: list[str], slices: int | None = None) -> DataFrame:
+    """``df`` in ranges of the columns (nulls first), numbered by ``_slice``; written once, so the numbers stay."""
+    spread = df.repartitionByRange(slices, *columns) if slices else df.repartitionByRange(*columns)
+    return cut(spread.withColumn("_slice", F.spark_partition_id()))
+
+
 def keyed_rank(df: DataFrame, keys: list[str], order: str, *ties: str, slices: int | None = None) -> DataFrame:
     """Add ``rank`` (from 1, by order then ties, null order values first) and ``n`` (rows of the key).
 
     Every row stays: null keys form a group of their own.
     """
-    parts = sliced(df, order, slices)
+    parts = ranged(df, [*keys, order, *ties], slices)
     local = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(order, *ties))
     counts = parts.groupBy(*keys, "_slice").agg(F.count("*").alias("_c"))
     per_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
@@ -55,7 +63,7 @@ def clamped_sum(df: DataFrame, keys: list[str], step: Column, order: str, *ties:
     From a start x0 the end is max(x0 + total, total - lowest), ``lowest`` being the smallest
     running sum. Both parts combine over slices, so the fold needs no whole group.
     """
-    parts = sliced(df.withColumn("_step", step), order, slices)
+    parts = ranged(df.withColumn("_step", step), [*keys, order, *ties], slices)
     running = F.sum("_step").over(W.partitionBy(*keys, "_slice").orderBy(order, *ties).rowsBetween(
         W.unboundedPreceding, W.currentRow))
     per_slice = parts.withColumn("_run", running).groupBy(*keys, "_slice").agg(

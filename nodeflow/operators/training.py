@@ -134,3 +134,8 @@ def stale_cleanup(nodes: DataFrame) -> DataFrame:
 def rank_by_mass(nodes: DataFrame) -> DataFrame:
     """Total training order by mass, heavy first, as a dense rank column."""
     return keyed_rank(nodes.withColumn("_order", -F.col("mass")), [], "_order", "node_id").drop("_order", "n")
+
+
+def training_ranks(nodes: DataFrame, params: Params) -> DataFrame:
+    """Pending nodes with their place in the training order as ``rank`` (from 1)."""
+    return keyed_rank(training_order(nodes, params), [], "tier", "tier_key", "node_id").drop("n")

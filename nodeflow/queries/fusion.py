@@ -201,7 +201,9 @@ def re_evaluate(spark, sf):
 
 
 @query("progressive_adoption", f"""WITH RECURSIVE {NODES}, roots AS (
-  SELECT *, row_number() OVER (ORDER BY mass DESC, node_id) AS i FROM nodes WHERE parent_node_id IS NULL), near AS (
+  SELECT *, row_number() OVER (ORDER BY tier, CASE WHEN tier = 1 THEN mass ELSE -mass END, node_id) AS i
+  FROM (SELECT *, CASE WHEN mass >= {P.titan_min_mass} AND (variance IS NULL OR variance <= {P.titan_max_variance}) THEN 1 ELSE 2 END AS tier FROM nodes)
+  WHERE parent_node_id IS NULL AND needs_training), near AS (
   SELECT a.i AS i, b.i AS other, round(list_cosine_similarity(a.centroid, b.centroid), 9) AS sim
   FROM roots a JOIN roots b ON b.i < a.i
   WHERE round(list_cosine_similarity(a.centroid, b.centroid), 9) >= {P.adoption_similarity}), adj AS (
@@ -218,8 +220,9 @@ def re_evaluate(spark, sf):
 SELECT c.node_id, p.node_id AS parent_node_id, round(sim, 6) AS sim
 FROM ranked JOIN roots c ON c.i = ranked.i JOIN roots p ON p.i = ranked.other WHERE rn = 1""")
 def progressive_adoption(spark, sf):
-    from nodeflow.operators.training import rank_by_mass
-    return parents.progressive_adoption(rank_by_mass(nodes(spark, sf)), P).withColumn("sim", r6("sim"))
+    """Along the training order of the pending nodes."""
+    from nodeflow.operators.training import training_ranks
+    return parents.progressive_adoption(training_ranks(nodes(spark, sf), P), P).withColumn("sim", r6("sim"))
 
 
 BUFFERS = NODES + """, bcomp AS (

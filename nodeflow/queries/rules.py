@@ -307,6 +307,14 @@ def sanitize_orphans(spark, sf):
         "node_id", "sanitized", "parent_node_id", "parent_similarity", "inheritance_type", "old_parent")
 
 
+@query("sanitize_events", sql("""
+SELECT node_id, coalesce(inheritance_type, 'HERITAGE') AS from_type, 'ROOT' AS to_type, 'SANITIZATION' AS reason,
+       parent_node_id AS parent_id, CAST(NULL AS DOUBLE) AS similarity
+FROM parts WHERE parent_node_id IN (SELECT node_id FROM parts WHERE training_status = 'FAILED')""", PARTS))
+def sanitize_events(spark, sf):
+    return lineage.sanitize_events(lineage.sanitize_orphans(parts(spark, sf)))
+
+
 @query("children_of_failed", sql("""
 SELECT node_id, parent_node_id FROM parts WHERE parent_node_id IN (SELECT node_id FROM parts WHERE training_status = 'FAILED')""", PARTS))
 def children_of_failed(spark, sf):

@@ -11,8 +11,12 @@ from nodeflow.sources.rownum import numbered
 
 
 def read_csv_texts(spark: SparkSession, path: str) -> DataFrame:
-    """All-string CSV with a header; broken lines are left out, the text column goes by name."""
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "DROPMALFORMED"}
+    """All-string CSV with a header; broken lines are left out, the text column goes by name.
+
+    All files need the same header: one with other or reordered columns raises, as its fields would be
+    taken for others.
+    """
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "DROPMALFORMED", "enforceSchema": False}
     columns = spark.read.options(**options).csv(path).columns  # reads the header only
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     scan = spark.read.options(**options).schema(schema).csv(path)
@@ -54,9 +58,13 @@ def records_of(documents: DataFrame, document: str = "document") -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Whole JSON documents, one per file; many files are the parallel axis."""
-    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("document"))
-    return extract_records(records_of(files))
+    """Whole JSON documents, one per file; many files are the parallel axis.
+
+    A record without an id is named by its file and its place there, so ids of several files differ.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("document"), F.col("_metadata.file_name").alias("file"))
+    named = records_of(files).withColumn("idx", F.concat_ws(":", "file", "idx"))
+    return extract_records(named.drop("file"))
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Micro-batches, fusion, plan and streams."""
 
+import datetime
 from dataclasses import replace
 
 import numpy as np
@@ -208,3 +209,46 @@ def test_state_refuses_a_stream_with_another_checkpoint(spark):
     assert [r.seq for r in StateStore(spark, state).read("held").collect()] == [2]
     with pytest.raises(Exception, match="belongs to stream"):
         SI.stream_holdback(stream, state, other).awaitTermination(120)
+
+
+def test_deferred_training_links_every_step(spark):
+    """Each node shows one step: the plan's gate, late binding, adoption, failure, quarantine and a new parent."""
+    from nodeflow.plans.training import deferred_training
+
+    axis = lambda i, other=0.0: [1.0 if j == i else other for j in range(4)]
+    day = datetime.datetime(2024, 1, 31)
+    exit_at = day - datetime.timedelta(hours=5)
+    # name, vector, mass, trained, status, pending, parent, parent_similarity, quarantine_count, last exit
+    rows = [
+        ("titan", axis(0), 50, True, "COMPLETED", False, None, None, 0, None),
+        ("late", axis(0, 0.1), 14, False, None, True, None, None, 0, None),
+        ("dead", axis(3), 30, False, "FAILED", False, None, None, 0, None),
+        ("orphan", axis(3, 0.2), 13, False, None, True, "dead", 0.9, 0, None),
+        ("root", axis(1), 19, False, None, True, None, None, 0, None),
+        ("adoptee", axis(1, 0.1), 15, False, None, True, None, None, 0, None),
+        ("fails", axis(2), 18, False, None, True, None, None, 2, exit_at),
+        ("child", [0.9, 0.0, 0.3, 0.0], 12, False, None, False, "fails", 0.8, 0, None),
+    ]
+    schema = ("node_id string, centroid array<double>, mass long, is_trained boolean, training_status string, needs_training boolean, "
+              "parent_node_id string, parent_similarity double, quarantine_count int, last_quarantine_exit timestamp_ntz")
+    nodes = spark.createDataFrame(rows, schema).withColumns({
+        "variance": F.lit(0.1), "inheritance_type": F.when(F.col("parent_node_id").isNull(), "ROOT").otherwise("HERITAGE"),
+        "last_training_mass": F.lit(0).cast("long"), "has_weights": F.col("is_trained"), "forced_root": F.lit(False),
+        "total_failures": F.lit(0).cast("long"), "last_failure_time": F.lit(None).cast("timestamp_ntz")})
+    texts = [(n, f"s{i}", day, "  " if n == "late" and i < 3 else "x") for n, k in (("late", 13), ("root", 12), ("adoptee", 30)) for i in range(k)]
+    pointers = spark.createDataFrame(texts, "node_id string, source_id string, created timestamp_ntz, text string")
+    outcomes = spark.createDataFrame([("root", "SUCCESS", day, None, None), ("fails", "FAILED", day, "PARENT_FAILED", 0.1)],
+                                     "node_id string, outcome string, at timestamp_ntz, failure_type string, progress double")
+    out = deferred_training(nodes, pointers, outcomes, F.lit("2024-01-31").cast("timestamp_ntz"), Params(dim=4))
+    gates = {r.node_id: r.gate for r in out["plan"].collect()}
+    assert gates == {"late": "NO_TEXTS", "orphan": "NO_TEXTS", "root": "TRAIN", "adoptee": "TRAIN", "fails": gates["fails"]}
+    final = {r.node_id: r for r in out["nodes"].collect()}
+    assert len(final) == len(rows)
+    assert {n: r.parent_node_id for n, r in final.items()} == {
+        "titan": None, "late": "titan", "dead": None, "orphan": None, "root": None, "adoptee": "root", "fails": None, "child": "titan"}
+    assert final["root"].training_status == "COMPLETED" and final["root"].last_training_mass == 19
+    assert final["fails"].forced_root and final["fails"].quarantine_count == 3 and final["fails"].total_failures == 1
+    events = {(r.node_id, r.reason, r.parent_id) for r in out["events"].collect()}
+    assert events == {("late", "PROGRESSIVE_ADOPTION", "titan"), ("orphan", "SANITIZATION", "dead"), ("adoptee", "PROGRESSIVE_ADOPTION", "root"),
+                      ("fails", "FORCED_ROOT", None), ("child", "SANITIZATION", "fails"), ("child", "PROGRESSIVE_ADOPTION", "titan")}
+    assert [r.node_id for r in out["queue"].collect()] == ["child"]

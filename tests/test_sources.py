@@ -75,8 +75,17 @@ def test_json_documents(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps([{"id": "l1", "text": "one"}, {"text": "two"}]))
     (tmp_path / "w.json").write_text(json.dumps({"data": [{"doc_id": 5, "content": "three"}], "n": 1}, indent=1))
     (tmp_path / "o.json").write_text(json.dumps({"id": "o1", "title": "four"}))
+    (tmp_path / "m.json").write_text(json.dumps([{"text": "zero"}, {"text": "two again"}]))
     got = {(r.source_id, r.text) for r in S.read_json(spark, str(tmp_path)).collect()}
-    assert got == {("l1", "one"), ("1", "two"), ("5", "three"), ("o1", "four")}
+    assert got == {("l1", "one"), ("l.json:1", "two"), ("5", "three"), ("o1", "four"), ("m.json:0", "zero"), ("m.json:1", "two again")}
+
+
+def test_csv_files_with_another_header_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("title,text\nt1,one\n")
+    assert S.read_csv_texts(spark, str(tmp_path)).count() == 1
+    (tmp_path / "b.csv").write_text("text,title\ntwo,t2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        S.read_csv_texts(spark, str(tmp_path)).collect()
 
 
 def test_folder(spark, tmp_path):
