@@ -26,7 +26,7 @@ def current(spark: SparkSession, state_path: str, version: int | None = None) ->
             "pointers": store.read_all("pointers", version).distinct()}
 
 
-def stream_ingest(rows: DataFrame, state_path: str, checkpoint: str, params: Params) -> StreamingQuery:
+def stream_ingest(rows: DataFrame, state_path: str, checkpoint: str, params: Params, every: str | None = None) -> StreamingQuery:
     """Stream of (row_id, source_id, embedding, confidence) into a versioned state.
 
     The batch id is the version: a batch that is run again finds its version and leaves.
@@ -43,10 +43,10 @@ def stream_ingest(rows: DataFrame, state_path: str, checkpoint: str, params: Par
             "nodes": out["nodes"], "buffers": out["buffers"], "pointers": out["new_pointers"],
             "decisions": out["decisions"].select("row_id", "node_id", "decision", "score", "sim", "threshold")})
 
-    return _start(rows, step, checkpoint)
+    return _start(rows, step, checkpoint, every)
 
 
-def stream_node_stats(rows: DataFrame, state_path: str, checkpoint: str, params: Params) -> StreamingQuery:
+def stream_node_stats(rows: DataFrame, state_path: str, checkpoint: str, params: Params, every: str | None = None) -> StreamingQuery:
     """Running statistics per node of a stream (node_id, embedding).
 
     Spark's own aggregation state is used: it holds one mergeable moment per dimension and
@@ -58,18 +58,18 @@ def stream_node_stats(rows: DataFrame, state_path: str, checkpoint: str, params:
         store.write(batch_id, {"stats": batch})
 
     return (node_stats(rows, params).writeStream.outputMode("complete").foreachBatch(step)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start())
 
 
 def stream_dedupe(rows: DataFrame, keys: list[str], out: str, checkpoint: str, event_time: str | None = None,
-                  delay: str | None = None) -> StreamingQuery:
+                  delay: str | None = None, every: str | None = None) -> StreamingQuery:
     """Rows of a stream, each key once. With an event time the state is bounded by the watermark."""
     if event_time is not None:
         once = rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
     else:
         once = rows.dropDuplicates(keys)
     return (once.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start(out))
+            .trigger(**_trigger(every)).start(out))
 
 
 def holdback_step(state: dict[str, DataFrame], batch: DataFrame) -> dict[str, DataFrame]:
@@ -93,7 +93,7 @@ def holdback_step(state: dict[str, DataFrame], batch: DataFrame) -> dict[str, Da
             "ready": kept.where("NOT _held").select("seq", "node_id")}
 
 
-def stream_holdback(rows: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
+def stream_holdback(rows: DataFrame, state_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Waiting rows live in state tables, not in one key's memory, so any number may wait for a node."""
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -110,7 +110,7 @@ def stream_holdback(rows: DataFrame, state_path: str, checkpoint: str) -> Stream
         store.write(batch_id, holdback_step(state, batch))
         batch.unpersist()
 
-    return _start(rows, step, checkpoint)
+    return _start(rows, step, checkpoint, every)
 
 
 def progress(spark: SparkSession, state_path: str) -> DataFrame:
@@ -130,6 +130,10 @@ def _stream_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()[0]
 
 
-def _start(rows: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return (rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def _trigger(every: str | None) -> dict:
+    """Run on with a pause (such as "10 seconds") between batches, or take what is there and stop."""
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def _start(rows: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
