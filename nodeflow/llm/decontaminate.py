@@ -1,7 +1,7 @@
 """Benchmark passages inside documents.
 
-Every run of words that is as long as a benchmark item is a window. A window counts as a copy of the item
-when their word shingles, weighted by how often they occur, are similar enough (sum of minima over sum of
+Every run of words that is as long as a benchmark item is a window; a document with fewer words than the item
+is one window as a whole. A window counts as a copy of the item when their word shingles, weighted by how often they occur, are similar enough (sum of minima over sum of
 maxima). Windows get a SimHash fingerprint of their words; the fingerprints of the items are looked up in
 Hamming blocks: 64 bits are cut into four blocks, and of a pair at most ``radius`` = 11 bits apart one
 block differs in at most two bits, so a table of the balls of radius two around each item's blocks finds
@@ -111,7 +111,9 @@ def _of_width(docs: DataFrame, items: DataFrame, width: int, shingles: int, para
 
     placed = listed.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "n", "starts")
     at = docs.join(placed, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
-    cutouts = at.select("doc_id", "k1", "k2", "n", "wh", F.explode("starts").alias("start")).where(F.col("start") + F.col("n") <= F.size("wh"))
+    # a shorter document is one window from its first word; the starts above hold 0 whenever it has enough shingles
+    whole = (F.col("start") == 0) & (F.size("wh") < F.col("n"))
+    cutouts = at.select("doc_id", "k1", "k2", "n", "wh", F.explode("starts").alias("start")).where((F.col("start") + F.col("n") <= F.size("wh")) | whole)
     cutouts = cutouts.select("doc_id", "k1", "k2", "n", "start", F.slice("wh", F.col("start") + 1, F.col("n")).alias("ww"))
     printed = cutouts.withColumn("fp", _simhash(F.col("ww")))
     probes = printed.select("*", F.explode(_blocks(F.col("fp"))).alias("block"))

@@ -141,6 +141,27 @@ def test_decontamination_equals_all_windows(spark, sf):
     assert decontaminate.clean(tricky(spark), right.limit(0)).count() == len(tricky_rows())
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark, sf):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").limit(4).collect()] + [(900, "one two three four five six"), (901, "red " * 12)]
+    docs = [(100 * k + cut, " ".join(_normal(x)[lead : len(_normal(x)) - cut])) for k, (_, x) in enumerate(items) for lead in (0, 1) for cut in range(1, 9)]
+    docs += [(2000, "one two three four"), (2001, "red " * 10), (2002, "red " * 11), (2003, "one")]
+    want = set()
+    for d, t in docs:
+        w = _normal(t)
+        for i, x in items:
+            v = _normal(x)
+            grams = lambda q: Counter(tuple(q[k : k + 5]) for k in range(len(q) - 4))
+            best = []
+            for s in range(max(1, len(w) - len(v) + 1)):
+                a, b = grams(w[s : s + len(v)]), grams(v)
+                best.append((-sum((a & b).values()) / sum((a | b).values()), s))
+            if -min(best)[0] >= 0.8:
+                want.add((d, i, min(best)[1], -min(best)[0]))
+    assert {(1, items[0][0]), (2002, 901)} <= {(d, i) for d, i, *_ in want} and not {2000, 2001, 2003} & {d for d, *_ in want}
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in got.select("doc_id", "item_id", "start", "similarity").collect()} == want
+
+
 def test_every_fingerprint_in_the_radius_shares_an_entry():
     rng = np.random.default_rng(3)
     for _ in range(200):
