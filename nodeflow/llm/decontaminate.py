@@ -3,9 +3,10 @@
 Every run of words that is as long as a benchmark item is a window; a document with fewer words than the item
 is one window as a whole. A window counts as a copy of the item when their word shingles, weighted by how often they occur, are similar enough (sum of minima over sum of
 maxima). Windows get a SimHash fingerprint of their words; the fingerprints of the items are looked up in
-Hamming blocks: 64 bits are cut into four blocks, and of a pair at most ``radius`` = 11 bits apart one
-block differs in at most two bits, so a table of the balls of radius two around each item's blocks finds
-every such pair. Whole distances and then similarities are verified. Everything is DataFrame code.
+Hamming blocks: 64 bits are cut into four blocks, and of a pair at most ``RADIUS`` = 15 bits apart one
+block differs in at most three bits, so a table of the balls of radius three around each item's blocks finds
+every such pair. Pairs farther apart are found when one block is that near. All that are found are verified
+by their similarity, whatever their distance. Everything is DataFrame code.
 
 Windows without enough shingles of items of their length cannot reach the similarity and are never
 fingerprinted: with threshold t and m shingles a window needs at least t * m of them.
@@ -29,8 +30,8 @@ class DecontaminationParams:
     broadcast_shingles: int = 2_000_000  # item shingles up to which they are broadcast (16 bytes each)
 
 
-BLOCKS, BLOCK_BITS, BALL = 4, 16, 2
-RADIUS = BLOCKS * (BALL + 1) - 1
+BLOCKS, BLOCK_BITS, BALL = 4, 16, 3
+RADIUS = BLOCKS * (BALL + 1) - 1  # up to it every pair is found
 
 
 def _word_hashes(text: Column) -> Column:
@@ -118,12 +119,14 @@ def _of_width(docs: DataFrame, items: DataFrame, width: int, shingles: int, para
     printed = cutouts.withColumn("fp", _simhash(F.col("ww")))
     probes = printed.select("*", F.explode(_blocks(F.col("fp"))).alias("block"))
 
+    # the table holds fingerprints only; the shingles of an item join what it finds
     flips = [0] + [sum(1 << b for b in c) for k in range(1, BALL + 1) for c in combinations(range(BLOCK_BITS), k)]
-    balls = (items.withColumn("ifp", _simhash(F.col("iw"))).withColumn("ik", F.xxhash64("iw"))
-             .select("item_id", "ik", "n", "ish", "ifp", F.explode(_blocks(F.col("ifp"))).alias("block"))
-             .select("item_id", "ik", F.col("n").alias("bn"), "ish", "ifp", "block", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("flip"))
-             .select("item_id", "ik", "bn", "ish", "ifp", F.col("block").bitwiseXOR(F.col("flip")).alias("entry")))
-    near = probes.join(balls, (F.col("n") == F.col("bn")) & (F.col("block") == F.col("entry")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS))
+    items = items.withColumn("ik", F.xxhash64("iw"))
+    balls = (items.select("ik", "n", "iw").dropDuplicates(["ik"])
+             .select("ik", F.col("n").alias("bn"), F.explode(_blocks(_simhash(F.col("iw")))).alias("block"))
+             .select("ik", "bn", F.explode(F.transform(F.lit(flips).cast("array<long>"), lambda x: F.col("block").bitwiseXOR(x))).alias("entry")))
+    found = probes.join(balls, (F.col("n") == F.col("bn")) & (F.col("block") == F.col("entry"))).select("doc_id", "k1", "k2", "start", "ww", "ik")
+    near = found.join(items.select("item_id", "ik", "ish").distinct(), "ik")
     once = near.groupBy("doc_id", "k1", "k2", "item_id", "ik", "start").agg(F.first("ww").alias("ww"), F.first("ish").alias("ish"))
     once = once.withColumn("wsh", _shingles("ww", width))
     same = _common(F.col("wsh"), F.col("ish"))

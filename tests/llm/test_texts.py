@@ -169,6 +169,24 @@ def test_every_fingerprint_in_the_radius_shares_an_entry():
         assert min(np.bincount(flips // decontaminate.BLOCK_BITS, minlength=decontaminate.BLOCKS)) <= decontaminate.BALL
 
 
+def test_decontamination_finds_similar_windows_with_distant_fingerprints(spark, sf):
+    bits = lambda w: sum(1 << b for b in range(64) if 2 * sum(xxhash.xxh64_intdigest(x, 42) >> b & 1 for x in w) > len(w))
+    rng, docs, items, want = np.random.default_rng(7), [], [], set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        v = _normal(r["text"])
+        k = (len(v) - 4) // 10  # replaced words at one end, within similarity 0.8
+        items.append((r["item_id"], r["text"]))
+        for _ in range(60):
+            w = v[: len(v) - k] + [f"w{x}" for x in rng.integers(0, 10**6, k)]
+            grams = lambda q: Counter(tuple(q[i : i + 5]) for i in range(len(q) - 4))
+            if sum((grams(w) & grams(v)).values()) / sum((grams(w) | grams(v)).values()) >= 0.8 and (bits(w) ^ bits(v)).bit_count() > 11:
+                want.add((len(docs), r["item_id"]))
+                docs.append((len(docs), " ".join(w)))
+    assert len(want) >= 5
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert want <= {tuple(r) for r in got.select("doc_id", "item_id").collect()}
+
+
 def test_language_id(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = langid.held_out(F.col("doc_id"))
