@@ -26,9 +26,9 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class LanguageParams:
     sizes: tuple[int, ...] = (1, 2, 3)
-    dims: int = 4096
+    dims: int = 8192
     clusters: int = 3
-    sample_rows: int = 2000  # bound of the training sample; languages share it evenly
+    sample_rows: int = 4000  # bound of the training sample; languages share it evenly
     languages_max: int = 500  # the most frequent ones are learned
     rounds: int = 8
     margin: float = 0.5  # rejected below this share of the smallest training cosine of the centroid
@@ -91,16 +91,69 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(size == 0, 1, size)
 
 
-def _clusters(vectors: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means, started from far-apart rows."""
-    picked = [int(np.argmax(vectors @ _unit(vectors.mean(0, keepdims=True))[0]))]
-    while len(picked) < min(k, len(vectors)):
-        picked.append(int(np.argmin((vectors @ vectors[picked].T).max(1))))
-    centres = vectors[picked]
+Sparse = list[tuple[np.ndarray, np.ndarray]]  # places and weights of each row
+
+
+def _pieces(rows: Sparse, dims: int, step: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows as dense pieces, each with the number of its first row; only one piece is held at a time."""
+    for at in range(0, len(rows), step):
+        part = np.zeros((min(step, len(rows) - at), dims), np.float32)
+        for k, (i, w) in enumerate(rows[at : at + step]):
+            part[k, i] = w
+        yield at, part
+
+
+def _cosines(rows: Sparse, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([part @ centres.T for _, part in _pieces(rows, centres.shape[1])])
+
+
+def _sums(rows: Sparse, near: np.ndarray, k: int, dims: int) -> np.ndarray:
+    total = np.zeros((k, dims), np.float32)
+    for at, part in _pieces(rows, dims):
+        total += (near[at : at + len(part)] == np.arange(k)[:, None]).astype(np.float32) @ part
+    return total
+
+
+def _clusters(rows: Sparse, k: int, rounds: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means, started from far-apart rows: unit centres and the cosine of each row to each."""
+    middle = _unit(_sums(rows, np.zeros(len(rows), int), 1, dims))
+    picked = [int(np.argmax(_cosines(rows, middle)))]
+    dense = lambda r: next(_pieces([rows[r]], dims))[1]
+    nearest = _cosines(rows, dense(picked[0]))[:, 0]
+    while len(picked) < min(k, len(rows)):
+        picked.append(int(np.argmin(nearest)))
+        nearest = np.maximum(nearest, _cosines(rows, dense(picked[-1]))[:, 0])
+    centres = np.concatenate([dense(r) for r in picked])
     for _ in range(rounds):
-        near = np.argmax(vectors @ centres.T, axis=1)
-        centres = _unit(np.stack([vectors[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))]))
-    return centres, np.argmax(vectors @ centres.T, axis=1)
+        near = np.argmax(_cosines(rows, centres), axis=1)
+        some = np.isin(np.arange(len(centres)), near)[:, None]
+        centres = np.where(some, _unit(_sums(rows, near, len(centres), dims)), centres)
+    return centres, _cosines(rows, centres)
+
+
+def _learn(got: list[tuple[str, bytes, bytes]], params: LanguageParams) -> LanguageModel:
+    """The model of labelled rows of n-gram counts (places, counts), which stay sparse."""
+    got = sorted(got)
+    known = np.zeros(params.dims, np.int64)
+    for _, i, _ in got:
+        known[np.frombuffer(i, "<u4")] += 1
+    idf = (np.log((1 + len(got)) / (1 + known)) + 1).astype(np.float32)
+    labels, centres, floors = [], [], []
+    for name in sorted({x for x, _, _ in got}):
+        own: Sparse = []
+        for x, i, c in got:
+            if x == name:
+                at = np.frombuffer(i, "<u4")
+                w = np.frombuffer(c, "<f4") * idf[at]
+                own.append((at, w / np.linalg.norm(w)))
+        c, cosines = _clusters(own, params.clusters, params.rounds, params.dims)
+        near, closest = np.argmax(cosines, axis=1), cosines.max(axis=1)
+        for k in range(len(c)):
+            labels.append(name)
+            centres.append(c[k])
+            floors.append(params.margin * float(closest[near == k].min()) if (near == k).any() else 0.0)
+    stacked = np.stack(centres) if centres else np.zeros((0, params.dims), np.float32)
+    return LanguageModel(params, tuple(labels), stacked, np.array(floors), idf)
 
 
 def fit(rows: DataFrame, params: LanguageParams = LanguageParams(), text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -126,24 +179,7 @@ def fit(rows: DataFrame, params: LanguageParams = LanguageParams(), text: str =
             yield pd.DataFrame({"l": [x for x, _ in out], "i": [i.astype("<u4").tobytes() for i in nz],
                                 "c": [c[i].astype("<f4").tobytes() for (_, c), i in zip(out, nz)]})
 
-    got = sorted((r["l"], r["i"], r["c"]) for r in sample.mapInPandas(features, "l string, i binary, c binary").collect())
-    vectors = np.zeros((len(got), params.dims), np.float32)
-    for at, (_, i, c) in enumerate(got):
-        vectors[at, np.frombuffer(i, "<u4")] = np.frombuffer(c, "<f4")
-    idf = (np.log((1 + len(got)) / (1 + (vectors > 0).sum(0))) + 1).astype(np.float32)
-    vectors *= idf
-    vectors, names = _unit(vectors), np.array([x for x, _, _ in got], object)
-    labels, centres, floors = [], [], []
-    for name in sorted(set(names)):
-        own = vectors[names == name]
-        c, near = _clusters(own, params.clusters, params.rounds)
-        closest = np.einsum("ij,ij->i", own, c[near])
-        for k in range(len(c)):
-            labels.append(name)
-            centres.append(c[k])
-            floors.append(params.margin * float(closest[near == k].min()) if (near == k).any() else 0.0)
-    stacked = np.stack(centres) if centres else np.zeros((0, params.dims), np.float32)
-    return LanguageModel(params, tuple(labels), stacked, np.array(floors), idf)
+    return _learn([(r["l"], bytes(r["i"]), bytes(r["c"])) for r in sample.mapInPandas(features, "l string, i binary, c binary").collect()], params)
 
 
 def predict(rows: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

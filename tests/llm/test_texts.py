@@ -204,6 +204,23 @@ def test_language_id(spark, sf):
     assert {r["lang_pred"] for r in langid.predict(tricky(spark), none).collect()} == {"und"} and langid.predict(empty(spark), model).count() == 0
 
 
+def test_language_model_stays_sparse():
+    import tracemalloc
+
+    params, rng, rows = langid.LanguageParams(), np.random.default_rng(2), []
+    assert params.sample_rows == 4000 and params.dims == 8192
+    for k in range(params.sample_rows):
+        at = np.unique(rng.integers(2000 * (k % 3), 2000 * (k % 3) + 2000, 100)).astype("<u4")
+        rows.append(("en", at.tobytes(), np.ones(len(at), "<f4").tobytes()))
+    tracemalloc.start()
+    model = langid._learn(rows, params)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < params.sample_rows * params.dims * 4 / 4  # bytes; the dense rows alone are four times that
+    found = {tuple(np.unique(np.flatnonzero(c) // 2000)) for c in model.centroids}
+    assert found == {(0,), (1,), (2,)} and np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5)
+
+
 def test_ngrams_do_not_depend_on_pieces():
     text, letters = "Zwölf Boxkämpfer 𝔞𝔟 jagen 12 Viktor\nquer ☃ über den Sylter Deich " * 9, langid._letters()
     whole = langid.ngram_counts(text, letters, (1, 2, 3), 512)
