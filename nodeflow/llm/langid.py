@@ -6,7 +6,7 @@ with the largest cosine. A centroid rejects texts that lie farther from it than
 by a margin; texts without a letter are rejected too.
 
 Only the model is fitted on a bounded sample (``sample_rows`` labelled rows in expectation, spread evenly
-over the languages, chosen by a hash of the row); prediction covers every row and whole texts.
+over the languages, chosen by a hash among distinct texts); prediction covers every row and whole texts.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ class LanguageParams:
     dims: int = 8192
     clusters: int = 3
     sample_rows: int = 4000  # bound of the training sample; languages share it evenly
-    languages_max: int = 500  # the most frequent ones are learned
+    languages_max: int = 500  # those with the most distinct texts are learned
     rounds: int = 8
     margin: float = 0.5  # rejected below this share of the smallest training cosine of the centroid
 
@@ -160,16 +160,21 @@ def fit(rows: DataFrame, params: LanguageParams = LanguageParams(), text: str =
     """Learn from rows with a non-null language and a text with a letter.
 
     No such rows give a model that rejects everything. The sample is drawn by a hash of text and language
-    against the count of the language, so repeated texts count once and retries draw the same rows.
+    against the number of distinct texts with a letter of the language, so repeated texts count once and
+    retries draw the same rows. Every language keeps at least the text with its smallest hash. Of more than
+    ``languages_max`` languages those with the fewest distinct texts are not learned.
     """
-    labelled = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
-    counts = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(params.languages_max).collect()
+    labelled = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL").where(F.col("t").rlike(r"\p{L}"))
+    labelled = labelled.withColumn("h", F.xxhash64("l", "t"))
+    counts = labelled.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("texts"), F.min("h").alias("first")).orderBy(F.desc("texts"), "l").limit(params.languages_max).collect()
     if not counts:
         return LanguageModel(params, (), np.zeros((0, params.dims), np.float32), np.zeros(0), np.ones(params.dims))
     each = max(1, params.sample_rows // len(counts))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, each / r["count"]))])
-    place = F.pmod(F.xxhash64("l", "t"), F.lit(1 << 30)) / F.lit(1 << 30)
-    sample = labelled.where(place < F.coalesce(share[F.col("l")], F.lit(0.0))).dropDuplicates(["l", "t"])
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, each / r["texts"]))])
+    first = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], r["first"])])
+    place = F.pmod("h", F.lit(1 << 30)) / F.lit(1 << 30)
+    drawn = (place < F.coalesce(share[F.col("l")], F.lit(0.0))) | (F.col("h") == F.coalesce(first[F.col("l")], F.col("h") + 1))
+    sample = labelled.where(drawn).dropDuplicates(["l", "t"])
 
     def features(batches):
         table = _letters()

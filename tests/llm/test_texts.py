@@ -204,6 +204,18 @@ def test_language_id(spark, sf):
     assert {r["lang_pred"] for r in langid.predict(tricky(spark), none).collect()} == {"und"} and langid.predict(empty(spark), model).count() == 0
 
 
+def test_languages_of_many_copies_are_learned(spark):
+    rows = spark.range(4 * 4000).select((F.col("id") % 4).alias("k"), F.floor(F.col("id") / 4).alias("n"))
+    number = F.when(F.col("k") == 3, F.col("n") % 5).otherwise(F.col("n"))  # 800 copies of each text of the last language
+    word = F.translate(F.concat_ws(" ", *[F.substring(F.md5(F.concat_ws("-", "k", number, F.lit(j))), 1, 6) for j in range(9)]), "0123456789", "ghijklmnop")
+    docs = rows.select(F.when(F.col("k") == 3, F.translate(word, "abcdefghijklmnop", "αβγδεζηθικλμνξοπ")).otherwise(word).alias("text"), F.concat(F.lit("l"), "k").alias("lang"))
+    alone = spark.createDataFrame([("слово", "l4"), ("123", "l4"), ("456", "l5")], "text string, lang string")
+    model = langid.fit(docs.unionByName(alone), langid.LanguageParams(sample_rows=100))
+    assert set(model.labels) == {"l0", "l1", "l2", "l3", "l4"}
+    judged = langid.predict(docs.where("lang = 'l3'"), model)
+    assert judged.where("lang_pred = lang").count() == 4000
+
+
 def test_language_model_stays_sparse():
     import tracemalloc
 
