@@ -2,8 +2,10 @@
 
 Every text becomes a unit vector of hashed n-gram weights (count times inverse document frequency).
 Each language is split into a few spherical k-means clusters. A text gets the language of the centroid
-with the largest cosine. A centroid rejects texts that lie farther from it than its own training texts
-by a margin; texts without a letter are rejected too.
+with the largest cosine. A fifth of the sample is left out of the fit; a language rejects texts that lie
+farther from it, by a margin, than nearly all of its left-out texts cut to a like length. Clusters of one
+row are dropped. Texts shorter than the first cut say too little to be rejected;
+those without a letter are rejected.
 
 Only the model is fitted on a bounded sample (``sample_rows`` labelled rows in expectation, spread evenly
 over the languages, chosen by a hash among distinct texts); prediction covers every row and whole texts.
@@ -12,6 +14,8 @@ over the languages, chosen by a hash among distinct texts); prediction covers ev
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass
 from typing import Iterator
 
@@ -31,7 +35,11 @@ class LanguageParams:
     sample_rows: int = 4000  # bound of the training sample; languages share it evenly
     languages_max: int = 500  # those with the most distinct texts are learned
     rounds: int = 8
-    margin: float = 0.5  # rejected below this share of the smallest training cosine of the centroid
+    margin: float = 0.5  # rejected below this share of the smallest training cosine of the centroid, where few rows are left out
+    cuts: tuple[int, ...] = (8, 32, 128, 512, 2048)  # characters of a text from which each floor holds
+    low: float = 0.1  # quantile of the left-out cosines
+    slack: float = 0.5  # rejected below this share of that quantile
+    left_min: int = 20  # left-out texts that a floor of its own takes
 
 
 def _letters() -> np.ndarray:
@@ -78,7 +86,7 @@ class LanguageModel:
     params: LanguageParams
     labels: tuple[str, ...]  # of each centroid
     centroids: np.ndarray  # centroid x dims, unit rows
-    floors: np.ndarray  # smallest accepted cosine of each centroid
+    floors: np.ndarray  # smallest accepted cosine of each centroid, by the length of the text
     idf: np.ndarray
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
@@ -131,8 +139,9 @@ def _clusters(rows: Sparse, k: int, rounds: int, dims: int) -> tuple[np.ndarray,
     return centres, _cosines(rows, centres)
 
 
-def _learn(got: list[tuple[str, bytes, bytes]], params: LanguageParams) -> LanguageModel:
-    """The model of labelled rows of n-gram counts (places, counts), which stay sparse."""
+def _learn(got: list[tuple[str, bytes, bytes]], params: LanguageParams, left: list[tuple[str, bytes, bytes, int]] = []) -> LanguageModel:
+    """The model of labelled rows of n-gram counts (places, counts), which stay sparse. ``left`` are rows left
+    out of the fit, each with the place of its length in ``cuts``."""
     got = sorted(got)
     known = np.zeros(params.dims, np.int64)
     for _, i, _ in got:
@@ -140,18 +149,27 @@ def _learn(got: list[tuple[str, bytes, bytes]], params: LanguageParams) -> Langu
     idf = (np.log((1 + len(got)) / (1 + known)) + 1).astype(np.float32)
     labels, centres, floors = [], [], []
     for name in sorted({x for x, _, _ in got}):
-        own: Sparse = []
-        for x, i, c in got:
-            if x == name:
-                at = np.frombuffer(i, "<u4")
-                w = np.frombuffer(c, "<f4") * idf[at]
-                own.append((at, w / np.linalg.norm(w)))
+        def weighted(i, c):
+            at = np.frombuffer(i, "<u4")
+            w = np.frombuffer(c, "<f4") * idf[at]
+            return at, w / np.linalg.norm(w)
+
+        own = [weighted(i, c) for x, i, c in got if x == name]
         c, cosines = _clusters(own, params.clusters, params.rounds, params.dims)
+        sizes = np.bincount(np.argmax(cosines, axis=1), minlength=len(c))
+        if (sizes > 1).any():
+            c, cosines = c[sizes > 1], cosines[:, sizes > 1]
         near, closest = np.argmax(cosines, axis=1), cosines.max(axis=1)
+        floor = {}
+        for k in range(len(params.cuts)):
+            apart = [weighted(i, n) for x, i, n, at in left if x == name and at == k]
+            if len(apart) >= params.left_min:
+                floor[k] = params.slack * float(np.quantile(_cosines(apart, c).max(axis=1), params.low, method="lower"))
         for k in range(len(c)):
             labels.append(name)
             centres.append(c[k])
-            floors.append(params.margin * float(closest[near == k].min()) if (near == k).any() else 0.0)
+            widest = params.margin * float(closest[near == k].min()) if (near == k).any() else 0.0
+            floors.append([0.0 if floor else widest, *[floor.get(j, widest) for j in range(len(params.cuts))]])
     stacked = np.stack(centres) if centres else np.zeros((0, params.dims), np.float32)
     return LanguageModel(params, tuple(labels), stacked, np.array(floors), idf)
 
@@ -168,7 +186,7 @@ def fit(rows: DataFrame, params: LanguageParams = LanguageParams(), text: str =
     labelled = labelled.withColumn("h", F.xxhash64("l", "t"))
     counts = labelled.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("texts"), F.min("h").alias("first")).orderBy(F.desc("texts"), "l").limit(params.languages_max).collect()
     if not counts:
-        return LanguageModel(params, (), np.zeros((0, params.dims), np.float32), np.zeros(0), np.ones(params.dims))
+        return LanguageModel(params, (), np.zeros((0, params.dims), np.float32), np.zeros((0, len(params.cuts) + 1)), np.ones(params.dims))
     each = max(1, params.sample_rows // len(counts))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, each / r["texts"]))])
     first = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], r["first"])])
@@ -179,12 +197,26 @@ def fit(rows: DataFrame, params: LanguageParams = LanguageParams(), text: str =
     def features(batches):
         table = _letters()
         for pdf in batches:
-            out = [(x, c) for x, t in zip(pdf["l"], pdf["t"]) if (c := ngram_counts(t, table, params.sizes, params.dims)) is not None]
-            nz = [np.flatnonzero(c) for _, c in out]
-            yield pd.DataFrame({"l": [x for x, _ in out], "i": [i.astype("<u4").tobytes() for i in nz],
-                                "c": [c[i].astype("<f4").tobytes() for (_, c), i in zip(out, nz)]})
+            out = []
+            for x, t, h in zip(pdf["l"], pdf["t"], pdf["h"]):
+                apart = (h >> 30) % 5 == 0
+                heads = [(k, t[:n]) for k, n in enumerate(params.cuts) if len(t) >= n] if apart else []
+                out += [(x, at, c) for at, piece in [(-1 - apart, t), *heads] if (c := ngram_counts(piece, table, params.sizes, params.dims)) is not None]
+            nz = [np.flatnonzero(c) for *_, c in out]
+            yield pd.DataFrame({"l": [x for x, *_ in out], "at": [at for _, at, _ in out], "i": [i.astype("<u4").tobytes() for i in nz],
+                                "c": [c[i].astype("<f4").tobytes() for (*_, c), i in zip(out, nz)]})
+
+    got = [(r["l"], bytes(r["i"]), bytes(r["c"]), r["at"]) for r in sample.mapInPandas(features, "l string, at int, i binary, c binary").collect()]
+    return _split(got, params)
+
 
-    return _learn([(r["l"], bytes(r["i"]), bytes(r["c"])) for r in sample.mapInPandas(features, "l string, i binary, c binary").collect()], params)
+def _split(got: list[tuple[str, bytes, bytes, int]], params: LanguageParams) -> LanguageModel:
+    """Fit on the rows of place -1; those of place -2 and the heads of their texts are left out, but languages
+    with too few of them are fitted on all rows."""
+    apart = Counter(x for x, *_, at in got if at == -2)
+    spared = {x for x, n in apart.items() if n >= params.left_min}
+    fitted = [(x, i, c) for x, i, c, at in got if at == -1 or at == -2 and x not in spared]
+    return _learn(fitted, params, [r for r in got if r[3] >= 0 and r[0] in spared])
 
 
 def predict(rows: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -210,7 +242,7 @@ def predict(rows: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
                     continue
                 s = m.scores(c.astype(np.float32))
                 best = int(np.argmax(s))
-                out.append((m.labels[best], float(s[best]), bool(s[best] < m.floors[best])))
+                out.append((m.labels[best], float(s[best]), bool(s[best] < m.floors[best, bisect_right(m.params.cuts, len(t))])))
             yield pd.DataFrame(out, columns=list(new))
 
     return kept.withColumn("_judged", judge(F.col(text))).select(*kept.columns, *[F.col(f"_judged.{c}").alias(c) for c in new])

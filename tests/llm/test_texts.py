@@ -204,6 +204,22 @@ def test_language_id(spark, sf):
     assert {r["lang_pred"] for r in langid.predict(tricky(spark), none).collect()} == {"und"} and langid.predict(empty(spark), model).count() == 0
 
 
+def test_unlearned_languages_and_random_letters_are_rejected(spark, sf):
+    docs = spark.read.parquet(f"{os.path.dirname(sf)}/sf0.1/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    rng = np.random.default_rng(4)
+    word = lambda n, letters: "".join(rng.choice(list(letters), n))
+    strangers = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        word(300, "abcdefghijklmnopqrstuvwxyz"), " ".join(word(n, "abcdefghijklmnopqrstuvwxyz") for n in rng.integers(2, 10, 60)), word(300, "0123456789abcdef")]
+    got = langid.predict(spark.createDataFrame([(x,) for x in strangers], "text string"), model)
+    assert [r["text"][:20] for r in got.where("NOT rejected").collect()] == []
+    clean = langid.predict(docs.where(langid.held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")), model)
+    assert clean.where("rejected").count() <= 0.001 * clean.count() and clean.count() > 2000
+
+
 def test_languages_of_many_copies_are_learned(spark):
     rows = spark.range(4 * 4000).select((F.col("id") % 4).alias("k"), F.floor(F.col("id") / 4).alias("n"))
     number = F.when(F.col("k") == 3, F.col("n") % 5).otherwise(F.col("n"))  # 800 copies of each text of the last language
