@@ -20,18 +20,20 @@ def hash128(*columns: Column | str) -> list[Column]:
     return [F.xxhash64(F.lit(1), *known).alias("k1"), F.xxhash64(F.lit(2), *known).alias("k2")]
 
 
-def words(text: Column) -> Column:
-    """Array of the runs of characters that are no ASCII white space; none for a null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda w: w != "")
-
-
-def word_hashes(text: str | None, seed: int = 0) -> np.ndarray:
-    """XXH64 of each word, in order."""
-    import xxhash
-
-    found = text.encode().split() if text else []
-    h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w, seed) for w in found), np.uint64, len(found))
+def look_up(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: Column, hot: int = 1000) -> DataFrame:
+    """``rows`` with the row of ``table`` (one per key) under ``found``; null where the key is unknown.
+
+    The ``hot`` keys with the largest ``weight`` (rows they meet) are broadcast. Each other key meets less than
+    1 / hot of all rows, so the rest is joined by key, and rows that are served already are dealt by ``spread``.
+    """
+    found = [F.col(c) for c in table.columns if c not in (key, weight)]
+    most = table.orderBy(F.desc(weight), key).limit(hot).select(F.col(key).alias("_hot_key"), F.struct(*found).alias("_hot"))
+    most = rows.join(F.broadcast(most), F.col(key) == F.col("_hot_key"), "left")
+    served = F.col("_hot_key").isNotNull() | F.col(key).isNull()
+    dealt = most.withColumn("_salt", F.when(served, 1 + F.pmod(F.xxhash64(spread), F.lit(100_000))).otherwise(F.lit(0).cast("long")))
+    rest = table.select(F.col(key).alias("_cold_key"), F.lit(0).cast("long").alias("_cold_salt"), F.struct(*found).alias("_cold"))
+    both = dealt.join(rest, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
+    return both.select(*rows.columns, F.coalesce("_hot", "_cold").alias("found"))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -115,3 +115,42 @@ def _suffix_array_dedup(spark, sf):
     from nodeflow.llm.suffixes import drop_repeats
 
     return drop_repeats(table(spark, sf, "documents"))
+
+
+def _strength_sql(children: str) -> str:
+    """Pseudo-labels of a level's prior, from its children (n, k, m)."""
+    return f"""(SELECT 1 / least(0.5, greatest(1e-3, CASE WHEN coalesce(sum(n * (n - 1) * m * (1 - m)), 0) = 0 THEN 1e-3
+      ELSE sum(power(k - n * m, 2) - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)) END)) - 1 FROM {children} WHERE n > 1)"""
+
+
+_URL = "regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', {})"
+
+
+@query("op13_url_filters", f"""
+WITH u AS (SELECT page_id, translate({_URL.format(1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {_URL.format(2)} AS path FROM pages),
+l AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+h AS (SELECT host, regexp_replace(host, '^.*@|:[0-9]*$|\\.$', '', 'g') AS name, count(bad) AS n, coalesce(sum(bad), 0) AS k
+      FROM u LEFT JOIN l ON page_id = doc_id GROUP BY host),
+d AS (SELECT host, n, k, CASE WHEN ip THEN name ELSE array_to_string(p[greatest(1, len(p) - 1):], '.') END AS domain, CASE WHEN ip THEN 'ip' ELSE p[-1] END AS suffix
+      FROM (SELECT *, string_split(name, '.') AS p, regexp_matches(name, '^[0-9]+(\\.[0-9]+){{3}}$|^\\[') AS ip FROM h)),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 0.5) / (sum(n) + 1) FROM d) AS m FROM d GROUP BY suffix),
+s1 AS (SELECT suffix, (q * m + k) / (q + n) AS mean FROM s0, {_strength_sql("s0")} AS x(q)),
+d0 AS (SELECT domain, sum(n) AS n, sum(k) AS k, any_value(mean) AS m FROM d JOIN s1 USING (suffix) GROUP BY domain),
+d1 AS (SELECT domain, (q * m + k) / (q + n) AS mean FROM d0, {_strength_sql("d0")} AS x(q)),
+h0 AS (SELECT host, n, k, mean AS m FROM d JOIN d1 USING (domain)),
+ab AS (SELECT host, q * m + k AS a, q * (1 - m) + n - k AS b FROM h0, {_strength_sql("h0")} AS x(q)),
+e AS (SELECT *, 1.6448536269514715 AS z, power(a / (a + b), a) / a AS t, power(b / (a + b), b) / b AS v FROM ab),
+e2 AS (SELECT *, CASE WHEN a >= 1 AND b >= 1 THEN 2 / (1 / (2 * a - 1) + 1 / (2 * b - 1)) END AS hh, (z * z - 3) / 6 AS lam FROM e),
+bound AS (SELECT host, CASE WHEN a < 1 OR b < 1 THEN CASE WHEN 0.05 < t / (t + v) THEN power(a * (t + v) * 0.05, 1 / a) ELSE 1 - power(b * (t + v) * 0.95, 1 / b) END
+            ELSE a / (a + b * exp(2 * (z * sqrt(hh + lam) / hh - (1 / (2 * b - 1) - 1 / (2 * a - 1)) * (lam + 5.0 / 6 - 2 / (3 * hh))))) END AS low FROM e2),
+r(action, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit AS (SELECT u.host, u.path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS action
+        FROM (SELECT DISTINCT host, path FROM u) u JOIN r ON (u.host = rh OR ends_with(u.host, '.' || rh)) AND starts_with(u.path, rp) GROUP BY u.host, u.path)
+SELECT page_id, u.host, u.path, rule, coalesce(action, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM u JOIN bound ON u.host = bound.host LEFT JOIN fit ON u.host = fit.host AND u.path = fit.path""")
+def _url_filters(spark, sf):
+    from nodeflow.llm.urlfilter import Rule, judge
+
+    rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+    outcomes = table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return judge(table(spark, sf, "pages"), outcomes, rules)
