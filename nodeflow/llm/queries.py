@@ -154,3 +154,18 @@ def _url_filters(spark, sf):
     rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
     outcomes = table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return judge(table(spark, sf, "pages"), outcomes, rules)
+
+
+@query("op12_merkle_manifest")
+def _merkle(spark, sf):
+    from nodeflow.llm import merkle
+    from nodeflow.session import scratch_path
+
+    docs = table(spark, sf, "documents")
+    fields = [merkle.lower_ascii(F.col(c)) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf_digest(*fields))
+    proofs = merkle.manifest(docs, scratch_path(spark, "manifest"), carry={"tampered": tampered})
+    claimed = F.coalesce("tampered", "leaf")
+    judged = proofs.select("*", merkle.proof_digest(F.col("steps")).alias("proof"), merkle.folded_root(claimed, F.col("steps")).alias("folded"))
+    names = {"leaf": "leaf", "subroot": "subroot", "root": "root", "proof": "proof_sha256", "folded": "folded_root"}
+    return judged.select("doc_id", *[F.lower(F.hex(c)).alias(n) for c, n in names.items()], (F.col("folded") == F.col("root")).alias("verified"))
