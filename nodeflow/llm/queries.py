@@ -169,3 +169,38 @@ def _merkle(spark, sf):
     judged = proofs.select("*", merkle.proof_digest(F.col("steps")).alias("proof"), merkle.folded_root(claimed, F.col("steps")).alias("folded"))
     names = {"leaf": "leaf", "subroot": "subroot", "root": "root", "proof": "proof_sha256", "folded": "folded_root"}
     return judged.select("doc_id", *[F.lower(F.hex(c)).alias(n) for c, n in names.items()], (F.col("folded") == F.col("root")).alias("verified"))
+
+
+# DuckDB has no crc32: its table by recursion, then one step per digit
+_CRC = """RECURSIVE bits(i, step, v) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL
+  SELECT i, step + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE step < 8),
+crc(t) AS (SELECT list(v ORDER BY i) FROM bits WHERE step = 8)"""
+
+
+def _crc32_sql(number: str) -> str:
+    codes = f"list_transform(string_split({number}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])))"
+
+
+@query("op11_conversation_trie", f"""
+WITH {_CRC},
+c AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), said := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, ({_crc32_sql("conv_id")} % 9)::BIGINT AS h FROM c, crc),
+p AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h], []), h.turns[h + 1:]) AS path FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 5),
+steps AS (SELECT conv_id, unnest(range(len(path) + 1)) AS depth, path FROM p),
+nodes AS (SELECT path[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+            coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(steps.path) = depth), '') AS ends,
+            coalesce(strlen(any_value(steps.path)[depth].said), 0) AS bytes FROM steps GROUP BY path[1:depth], depth),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+spread AS (SELECT unnest(range(depth + 1)) AS d, path, n_children, (n_convs - 1) * bytes AS saved FROM full_nodes),
+below AS (SELECT path[1:d] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM spread GROUP BY 1)
+SELECT f.conv_id, f.depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_nodes f JOIN below b ON f.path = b.path LEFT JOIN nodes up ON f.depth > 0 AND up.path = f.path[1:f.depth - 1]""")
+def _conversation_trie(spark, sf):
+    from nodeflow.llm import trie
+
+    convs = trie.conversations(table(spark, sf, "conversations"))
+    base, shared = F.col("conv_id") - F.col("conv_id") % 5, F.crc32(F.col("conv_id").cast("string")) % 9
+    return trie.prefix_trie(trie.rebased(convs, base, shared, shared_max=8))
