@@ -39,6 +39,9 @@ def compare(spark_df, con, text):
         return f"columns {sorted(got_raw.columns)} != {sorted(want_raw.columns)}", len(got_raw)
     types = {c: (str(got_raw[c].dtype), str(want_raw[c].dtype)) for c in got_raw.columns
              if got_raw[c].dtype.kind != want_raw[c].dtype.kind}
+    for c, kinds in types.items():
+        if set(kinds) == {"float64", "Int64"}:  # the same integers with nulls
+            got_raw[c], want_raw[c] = got_raw[c].astype("float64"), want_raw[c].astype("float64")
     got, want = canonical(got_raw), canonical(want_raw)
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}", len(got)
