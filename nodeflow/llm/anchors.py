@@ -16,17 +16,60 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeflow.llm.base import NO_ID, cover, runs, windows
+from nodeflow.llm.base import NO_ID, cover, mixed, runs, windows
 from nodeflow.llm.packed import ASK, HASH_BITS, REPLY, Hashes, grouped, joined, opened, packed, parted, repeated, sizes, unpacked
 
 RESULT = "doc_id long, n_words long, n_removed long, n_runs long, kept_sha256 string"
 
 
-def _hashed(words: list[bytes]) -> np.ndarray:
+LONG = 256  # bytes from which a word is hashed by itself
+
+
+def _eights(b: np.ndarray) -> np.ndarray:
+    """The eight bytes at every place as one integer; zeros follow the end."""
+    x = np.concatenate((b, np.zeros(8, np.uint8))).astype(np.uint64)
+    for k, shift in ((1, 8), (2, 16), (4, 32)):
+        x[:-k] |= x[k:] << np.uint64(shift)
+    return x[: len(b)]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one after the other, and the number of words of each text.
+
+    A word is hashed from its length and its bytes, eight at a time, for all words at once.
+    """
     import xxhash
 
-    h = xxhash.xxh64_intdigest
-    return np.fromiter(map(h, words), np.uint64, len(words))
+    raw = b" ".join(texts)
+    b = np.frombuffer(raw, np.uint8)
+    space = np.concatenate(([True], (b == 32) | ((b >= 9) & (b <= 13)), [True]))
+    edge = np.diff(space.astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sizes = ends - starts
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
+    with np.errstate(over="ignore"):
+        h = mixed(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        eight, at, left = _eights(b), np.flatnonzero(sizes <= LONG), None
+        step = 0
+        while len(at):
+            left = sizes[at] - step
+            bits = (np.uint64(8) * np.minimum(left, 8).astype(np.uint64)) % np.uint64(64)
+            mask = np.where(left >= 8, np.uint64(2**64 - 1), (np.uint64(1) << bits) - np.uint64(1))
+            h[at] = mixed(h[at] ^ (eight[starts[at] + step] & mask))
+            at, step = at[left > 8], step + 8
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        h[k] = xxhash.xxh64_intdigest(raw[starts[k] : ends[k]])
+    return h, counts
+
+
+def _windows_at(values: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """As ``windows``, for some starts only."""
+    total, factor = np.zeros(len(starts), np.uint64), 1
+    for k in range(width):
+        total += values[starts + k] * np.uint64(factor)
+        factor = factor * 0x9E3779B97F4A7C15 % 2**64
+    return mixed(total)
 
 
 class _Group:
@@ -34,8 +77,12 @@ class _Group:
 
     def __init__(self, pdf: pd.DataFrame, block: int, bits: int):
         self.docs = opened(pdf)
-        self.hashes = [_hashed(text.split()) for _, text in self.docs]
-        self.rolling = [windows(h, block) >> np.uint64(64 - HASH_BITS) for h in self.hashes]
+        self.flat, counts = word_hashes([text for _, text in self.docs])
+        self.ends = np.cumsum(counts)
+        self.begins = self.ends - counts
+        with np.errstate(over="ignore"):
+            every = windows(self.flat, block) >> np.uint64(64 - HASH_BITS)
+        self.rolling = [every[a : max(a, e - block + 1)] for a, e in zip(self.begins.tolist(), self.ends.tolist())]
         self.keys = Hashes(self.rolling, bits)
         self.block, self.bits = block, bits
 
@@ -43,29 +90,40 @@ class _Group:
         indexed = np.concatenate([np.arange(len(r)) % self.block == 0 for r in self.rolling]) if self.rolling else np.zeros(0, bool)
         return (self.keys.counts > 1) | (np.bincount(self.keys.inverse, indexed, len(self.keys.keys)) > 0).astype(np.int64) << 1
 
-    def candidates(self, replies: pd.DataFrame):
-        """For each document the starts of the windows that hold a hit, and their hashes."""
-        hit, at = self.keys.live(replies)[self.keys.inverse], 0
-        for (doc, _), h, r in zip(self.docs, self.hashes, self.rolling):
+    def candidates(self, replies: pd.DataFrame) -> list[np.ndarray]:
+        """For each document the starts of the windows that hold a hit."""
+        hit, at, out = self.keys.live(replies)[self.keys.inverse], 0, []
+        for size, r in zip((self.ends - self.begins).tolist(), self.rolling):
             mine = hit[at : at + len(r)]
             at += len(r)
-            n = len(h) - 2 * self.block + 1
+            n = size - 2 * self.block + 1
             if n <= 0 or not mine.any():
-                yield np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+                out.append(np.zeros(0, np.int64))
                 continue
             seen = np.concatenate(([0], np.cumsum(mine)))
-            starts = np.flatnonzero(seen[self.block + 1 : self.block + 1 + n] > seen[:n])
-            with np.errstate(over="ignore"):
-                yield starts, windows(h, 2 * self.block)[starts], windows(h ^ np.uint64(0x5851F42D4C957F2D), 2 * self.block)[starts]
+            out.append(np.flatnonzero(seen[self.block + 1 : self.block + 1 + n] > seen[:n]))
+        return out
 
     def found(self, replies: pd.DataFrame):
-        each = list(self.candidates(replies))
-        first, second = (np.concatenate([x[k] for x in each]) if each else np.zeros(0, np.uint64) for k in (1, 2))
-        pairs, inverse = np.unique(np.stack((first, second), 1), axis=0, return_inverse=True) if len(first) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
-        owner = np.repeat(np.array([d for d, _ in self.docs], np.int64), [len(x[0]) for x in each])
+        """Starts by document, distinct windows (two hashes, ascending), the window of each start, and the
+        smallest document of each window."""
+        each = self.candidates(replies)
+        lens = [len(x) for x in each]
+        starts = np.concatenate(each) + np.repeat(self.begins, lens) if each else np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            first = _windows_at(self.flat, starts, 2 * self.block)
+            second = _windows_at(self.flat ^ np.uint64(0x5851F42D4C957F2D), starts, 2 * self.block)
+        order = np.lexsort((second, first))
+        first, second = first[order], second[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        pairs = np.stack((first[new], second[new]), 1)
+        owner = np.repeat(np.array([d for d, _ in self.docs], np.int64), lens)
         least = np.full(len(pairs), np.iinfo(np.int64).max)
-        np.minimum.at(least, inverse.reshape(-1), owner)
-        return each, pairs, inverse.reshape(-1), least
+        np.minimum.at(least, inverse, owner)
+        return each, pairs, inverse, least
 
 
 def _runs_of(part: np.ndarray):
@@ -130,16 +188,16 @@ def drop_repeats(docs: DataFrame, window: int = 20, group_bytes: int = 4_000_000
                 places, docs_ = (np.cumsum(unpacked(b)) for b in parted(body))
                 least[at[part] + places] = docs_
         rows, end = [], 0
-        for (doc, text_), (starts, _, _) in zip(g.docs, each):
+        for (doc, text_), starts, n_words in zip(g.docs, each, (g.ends - g.begins).tolist()):
             mine = inverse[end : end + len(starts)]
             end += len(starts)
             later = np.ones(len(starts), bool)
             later[np.unique(mine, return_index=True)[1]] = False  # first start of each window in the document
             words = text_.split()
-            gone = cover(len(words), starts[later | (least[mine] < doc)], window)
+            gone = cover(n_words, starts[later | (least[mine] < doc)], window)
             kept = [w for w, x in zip(words, gone.tolist()) if not x] if gone.any() else words
             body = b" ".join(kept)
-            rows.append((None if doc == NO_ID else doc, len(words), int(gone.sum()), len(runs(gone)[0]), hashlib.sha256(body).hexdigest(), body.decode("utf-8", "replace")))
+            rows.append((None if doc == NO_ID else doc, n_words, int(gone.sum()), len(runs(gone)[0]), hashlib.sha256(body).hexdigest(), body.decode("utf-8", "replace")))
         out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "n_runs", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
         return out if keep_text else out.drop(columns="kept")
 

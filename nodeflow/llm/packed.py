@@ -50,11 +50,20 @@ def parted(b: bytes) -> list[bytes]:
     return out
 
 
+PART_BYTES = 64_000_000  # of text whose hashes meet in one part
+PARTS = 256  # up to which there are as many parts as groups
+
+
 def sizes(docs: DataFrame, text: str, group_bytes: int) -> tuple[int, int]:
-    """Number of groups, and bits that number the parts of the hash space."""
+    """Number of groups, and bits that number the parts of the hash space.
+
+    An exchange moves groups x parts packed rows, so beyond ``PARTS`` the parts follow the bytes: 30 GB in
+    groups of 4 MB are 7,500 x 512 rows.
+    """
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    return groups, min(30, max(1, int(groups - 1).bit_length()))
+    parts = max(min(groups, PARTS), -(-total // PART_BYTES))
+    return groups, min(30, max(1, int(parts - 1).bit_length()))
 
 
 def grouped(docs: DataFrame, groups: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

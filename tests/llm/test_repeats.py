@@ -106,3 +106,35 @@ def test_window_classes_of_bounded_depth(letters):
             by_label.setdefault(int(label[p]), set()).add(text[p : p + window])
             by_window.setdefault(text[p : p + window], set()).add(int(label[p]))
         assert all(len(x) == 1 for x in by_label.values()) and all(len(x) == 1 for x in by_window.values())
+
+
+def test_word_hashes():
+    r = random.Random(3)
+    words = [bytes(r.choice(b"ab\0\xff") for _ in range(r.choice([1, 2, 7, 8, 9, 16, 17, 255, 256, 257, 600]))) for _ in range(3000)] + [b"x" * 5000]
+    texts = [b"", b" ", b"\t\n", *[b" ".join(r.choices(words, k=r.randint(0, 40))) + r.choice([b"", b"\x0b", b" \r\n"]) for _ in range(200)], b" ".join(words)]
+    h, counts = anchors.word_hashes(texts)
+    every = [w for t in texts for w in t.split()]
+    assert counts.tolist() == [len(t.split()) for t in texts] and len(h) == len(every)
+    assert len({(w, x) for w, x in zip(every, h.tolist())}) == len(set(every)) == len(set(h.tolist()))
+    assert [len(x) for x in anchors.word_hashes([])] == [0, 0]
+
+
+def test_parts_follow_the_bytes(spark):
+    from nodeflow.llm import packed
+
+    for total, most in ((10**6, 2**8), (30 * 10**9, 2**9), (10**12, 2**14)):
+        groups, bits = packed.sizes(_Sized(total), "text", 4_000_000)
+        assert groups == max(1, -(-total // 4_000_000)) and 2**bits <= most
+
+
+class _Sized:
+    """Stands for a table of so many bytes."""
+
+    def __init__(self, total):
+        self.total = total
+
+    def agg(self, *_):
+        return self
+
+    def first(self):
+        return (self.total,)
