@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nodeflow.session import cut
+
 SPACES = " \\t\\n\\x0B\\f\\r"  # fixed values: 0x20 and 0x09-0x0D, as in a Java pattern
 NO_ID = -(2**63)  # stands for a null doc_id in packed arrays; sorts before every id
 
@@ -38,6 +40,12 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: Co
     return both.select(*rows.columns, F.coalesce("_hot", "_cold").alias("found"))
 
 
+def sized(df: DataFrame, row_bytes: Column, limit: int = 64_000_000) -> DataFrame:
+    """``df``, written once and measured, with a hint: broadcast up to ``limit`` bytes, never beyond."""
+    df = cut(df)
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= limit else df.hint("merge")
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
