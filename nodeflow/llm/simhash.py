@@ -137,14 +137,13 @@ def near_duplicates(rows: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def keep_one(rows: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each component: the one with the smallest doc_id (nulls last, ties by a hash of the text;
-    of fully equal rows any one). All columns stay."""
+    then by a hash of all columns). All columns stay."""
     found = near_duplicates(rows, text, doc_id)
     picked = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("p"))
     keys = picked.select(F.col("p.k1").alias("_p1"), F.col("p.k2").alias("_p2"))
     k1, k2 = hash128(doc_id, text)
-    own = rows.select("*", k1.alias("_k1"), k2.alias("_k2"))
+    # a row travels as one column, so its names cannot clash; of rows equal in id and text the smallest stays
+    known = [f.name for f in rows.schema if f.dataType.typeName() != "map"]  # maps have no hash
+    own = rows.select(k1.alias("_k1"), k2.alias("_k2"), F.xxhash64(*known).alias("_h"), F.struct("*").alias("_row"))
     kept = own.join(keys, (F.col("_k1") == F.col("_p1")) & (F.col("_k2") == F.col("_p2")))
-    from pyspark.sql import Window
-
-    one = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1", "_k2"))
-    return kept.withColumn("_one", one).where("_one = 1").select(*rows.columns)
+    return kept.groupBy("_k1", "_k2").agg(F.min_by("_row", "_h").alias("_row")).select("_row.*")
