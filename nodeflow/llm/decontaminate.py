@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeflow.llm.base import hash128
+from nodeflow.llm.base import hash128, sized
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,7 @@ class DecontaminationParams:
     shingle: int = 5
     similarity: float = 0.8
     broadcast_shingles: int = 2_000_000  # item shingles up to which they are broadcast (16 bytes each)
+    broadcast_balls: int = 1_000_000  # entries of the items' balls up to which they are broadcast (about 140 bytes each)
 
 
 BLOCKS, BLOCK_BITS, BALL = 4, 16, 3
@@ -80,10 +81,10 @@ def matches(docs: DataFrame, items: DataFrame, params: DecontaminationParams = D
     """
     known = items.select(F.col(item_id).alias("item_id"), _word_hashes(F.col(item_text)).alias("iw")).where(F.size("iw") > 0)
     known = known.withColumn("n", F.size("iw")).withColumn("w", F.least("n", F.lit(params.shingle)))
-    sizes = known.groupBy("w").agg(F.sum(F.col("n") - F.col("w") + 1).alias("shingles")).collect()
+    sizes = known.groupBy("w").agg(F.sum(F.col("n") - F.col("w") + 1).alias("shingles"), F.count("*").alias("items")).collect()
     k1, k2 = hash128(doc_id, text)
     hashed = docs.select(F.col(doc_id).alias("doc_id"), k1, k2, _word_hashes(F.col(text)).alias("wh"))
-    found = [_of_width(hashed, known.where(F.col("w") == r["w"]).drop("w"), r["w"], r["shingles"], params) for r in sizes]
+    found = [_of_width(hashed, known.where(F.col("w") == r["w"]).drop("w"), r["w"], r["shingles"], r["items"], params) for r in sizes]
     empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, similarity double, k1 long, k2 long")
     if not found:
         return empty
@@ -93,7 +94,7 @@ def matches(docs: DataFrame, items: DataFrame, params: DecontaminationParams = D
     return out
 
 
-def _of_width(docs: DataFrame, items: DataFrame, width: int, shingles: int, params: DecontaminationParams) -> DataFrame:
+def _of_width(docs: DataFrame, items: DataFrame, width: int, shingles: int, n_items: int, params: DecontaminationParams) -> DataFrame:
     items = items.withColumn("ish", _shingles("iw", width))
     wanted = items.select("n", F.explode("ish").alias("h")).distinct()
     if shingles <= params.broadcast_shingles:
@@ -110,7 +111,9 @@ def _of_width(docs: DataFrame, items: DataFrame, width: int, shingles: int, para
                          lambda x: F.sequence(F.greatest(x["p"] - F.least(x["room"], F.col("m") - F.col("need")), F.lit(0)), x["p"]))
     listed = listed.select("k1", "k2", "n", F.array_distinct(F.flatten(starts)).alias("starts")).where(F.size("starts") > 0)
 
+    # few documents hold enough: the others need not move to meet them
     placed = listed.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "n", "starts")
+    placed = sized(placed, 64 + 4 * F.size("starts"))
     at = docs.join(placed, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
     # a shorter document is one window from its first word; the starts above hold 0 whenever it has enough shingles
     whole = (F.col("start") == 0) & (F.size("wh") < F.col("n"))
@@ -125,6 +128,8 @@ def _of_width(docs: DataFrame, items: DataFrame, width: int, shingles: int, para
     balls = (items.select("ik", "n", "iw").dropDuplicates(["ik"])
              .select("ik", F.col("n").alias("bn"), F.explode(_blocks(_simhash(F.col("iw")))).alias("block"))
              .select("ik", "bn", F.explode(F.transform(F.lit(flips).cast("array<long>"), lambda x: F.col("block").bitwiseXOR(x))).alias("entry")))
+    entries = n_items * BLOCKS * len(flips)
+    balls = F.broadcast(balls) if entries <= params.broadcast_balls else balls.hint("merge")
     found = probes.join(balls, (F.col("n") == F.col("bn")) & (F.col("block") == F.col("entry"))).select("doc_id", "k1", "k2", "start", "ww", "ik")
     near = found.join(items.select("item_id", "ik", "ish").distinct(), "ik")
     once = near.groupBy("doc_id", "k1", "k2", "item_id", "ik", "start").agg(F.first("ww").alias("ww"), F.first("ish").alias("ish"))
@@ -139,7 +144,7 @@ def _of_width(docs: DataFrame, items: DataFrame, width: int, shingles: int, para
 def clean(docs: DataFrame, items: DataFrame, params: DecontaminationParams = DecontaminationParams(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that copy no item; all columns stay."""
     bad = matches(docs, items, params, text, doc_id).select(F.col("k1").alias("_b1"), F.col("k2").alias("_b2")).distinct()
+    bad = sized(bad, F.lit(64))
     k1, k2 = hash128(doc_id, text)
-    keyed = docs.select("*", k1.alias("_k1"), k2.alias("_k2"))
-    return keyed.join(bad, (F.col("_k1") == F.col("_b1")) & (F.col("_k2") == F.col("_b2")), "left_anti").select(*docs.columns)
-
+    keyed = docs.select(F.struct("*").alias("_row"), k1.alias("_k1"), k2.alias("_k2"))
+    return keyed.join(bad, (F.col("_k1") == F.col("_b1")) & (F.col("_k2") == F.col("_b2")), "left_anti").select("_row.*")

@@ -1,11 +1,13 @@
 """Operators on texts against plain models."""
 
 import os
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -296,3 +298,39 @@ def test_packing(spark):
 
 def test_vocabulary_path_is_outside_the_repository():
     assert not os.path.realpath(BYTES).startswith(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+CLASHING = ("d1", "d2", "k1", "_k1", "_p1", "_p2", "_row", "b1", "_b1", "_d1", "_h", "n", "line", "_n", "found", "w", "starts", "row", "bucket")
+
+
+def _clashing(spark):
+    return tricky(spark).select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)])
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_columns_that_clash(spark, broadcast):
+    docs, items = _clashing(spark), spark.createDataFrame([(1, tricky_rows()[9][1])], "item_id long, text string")
+    lines = linededup.LineParams(min_sites=2, broadcast_lines=broadcast)
+    for out in (linededup.drop_boilerplate(docs, lines), simhash.keep_one(docs), decontaminate.clean(docs, items)):
+        assert set(docs.columns) <= set(out.columns) and {tuple(r) for r in out.select(*CLASHING).collect()} == {tuple(range(len(CLASHING)))}
+    again = linededup.drop_boilerplate(docs, linededup.LineParams(min_sites=2)).select("doc_id", "text", "n_removed").collect()
+    assert sorted(map(str, linededup.drop_boilerplate(docs, lines).select("doc_id", "text", "n_removed").collect())) == sorted(map(str, again))
+
+
+def test_of_equal_texts_a_fixed_row_stays(spark):
+    rows = [(1, "a b c d", f"s{k}") for k in range(20)] + [(None, "x y z", "s")] * 3
+    kept = [sorted(map(str, simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)).collect())) for n in (1, 5)]
+    assert kept[0] == kept[1] and len(kept[0]) == 2
+
+
+def test_items_beyond_the_broadcast(spark):
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(900)]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.randint(12, 30)))) for k in range(40)]
+    docs = [(k, " ".join([*r.choices(words, k=20), t, *r.choices(words, k=9)]) if k % 2 else " ".join(r.choices(words, k=50))) for k, t in items]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    small = decontaminate.matches(docs, items, decontaminate.DecontaminationParams(broadcast_balls=0, broadcast_shingles=0))
+    plan = small._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    found = {(x["doc_id"], x["item_id"]) for x in small.collect()}
+    assert found == {(x["doc_id"], x["item_id"]) for x in decontaminate.matches(docs, items).collect()} == {(k, k) for k in range(1, 40, 2)}
