@@ -39,15 +39,18 @@ def src_wide_vectors(spark, sf):
 
 
 @query("src_numpy_matrix", """
-SELECT round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[64] AS DOUBLE), 6) AS last,
+SELECT 'm' || vec_id // 200 || '.npy' AS file, row_number() OVER (PARTITION BY vec_id // 200 ORDER BY vec_id) - 1 AS row_idx,
+       round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[64] AS DOUBLE), 6) AS last,
        round(list_sum(CAST(embedding AS DOUBLE[])), 5) AS total
 FROM embeddings""")
 def src_numpy_matrix(spark, sf):
+    """Files of 200 rows, each read in ranges of 64 rows."""
     path = scratch_path(spark, "numpy")
-    SV.write_numpy(table(spark, sf, "embeddings"), path, rows_per_file=200)
+    named = table(spark, sf, "embeddings").withColumn("name", F.concat(F.lit("m"), F.floor(F.col("vec_id") / 200)))
+    SV.write_numpy(named, path, name="name", order="vec_id")
     total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x)
-    return SV.read_numpy(spark, path).select(
-        r6(F.get("embedding", F.lit(0)).cast("double")).alias("first"),
+    return SV.read_numpy(spark, path, range_bytes=64 * 64 * 4).select(
+        F.substring_index("file", "/", -1).alias("file"), "row_idx", r6(F.get("embedding", F.lit(0)).cast("double")).alias("first"),
         r6(F.get("embedding", F.lit(63)).cast("double")).alias("last"), F.round(total, 5).alias("total"))
 
 

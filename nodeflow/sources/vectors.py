@@ -1,21 +1,15 @@
-"""Readers of vectors: wide CSV, NPY / NPZ, Parquet."""
+"""Readers of vectors: wide CSV, NPY / NPZ."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nodeflow.params import Params
+from nodeflow.sources.matrices import RANGE_BYTES, Matrices
 from nodeflow.sources.rownum import numbered
 
-_BATCH = 8192
-
 
 def read_wide_csv(spark: SparkSession, path: str, params: Params, header: bool = True) -> DataFrame:
     """One vector per line, one number per column -> (row_id, embedding, valid).
@@ -33,47 +27,14 @@ def read_wide_csv(spark: SparkSession, path: str, params: Params, header: bool =
     return vectors.select("row_id", "embedding", (F.col("_width") & ~gaps).alias("valid"))
 
 
-def _array_file(handle) -> tuple[tuple[int, ...], np.dtype, bool]:
-    version = np.lib.format.read_magic(handle)
-    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
-    shape, fortran, dtype = read(handle)
-    return shape, dtype, fortran
-
-
-def _slices(content: bytes, name: str):
-    """Yield (first row, matrix part) of an NPY, or of the right member of an NPZ, part by part."""
-    if name.endswith(".npz"):
-        archive = zipfile.ZipFile(io.BytesIO(content))
-        members = archive.namelist()
-        handle = archive.open("embeddings.npy" if "embeddings.npy" in members else members[0])
-    else:
-        handle = io.BytesIO(content)
-    shape, dtype, fortran = _array_file(handle)
-    rows, dim = (1, shape[0]) if len(shape) == 1 else shape
-    if fortran:
-        yield 0, np.frombuffer(handle.read(), dtype).reshape((rows, dim), order="F")
-        return
-    for at in range(0, rows, _BATCH):
-        n = min(_BATCH, rows - at)
-        yield at, np.frombuffer(handle.read(n * dim * dtype.itemsize), dtype).reshape(n, dim)
-
+def read_numpy(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Matrix files -> (file, row_idx, embedding).
 
-def read_numpy(spark: SparkSession, path: str) -> DataFrame:
-    """Matrix files -> (file, row_idx, embedding); files are read in parallel."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                for at, part in _slices(content.as_py(), name):
-                    n, dim = part.shape
-                    flat = pa.array(part.astype(np.float32).ravel())
-                    offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * n), pa.array(np.arange(at, at + n, dtype=np.int64)),
-                         pa.ListArray.from_arrays(offsets, flat)], ["file", "row_idx", "embedding"])
-
-    return files.mapInArrow(run, "file string, row_idx bigint, embedding array<float>")
+    A file is read in ranges of rows of about ``range_bytes`` by as many tasks. Only a compressed member of
+    an NPZ is read by one task. Of an NPZ the member ``embeddings`` counts, else the first.
+    """
+    spark.dataSource.register(Matrices)
+    return spark.read.format(Matrices.name()).option("range_bytes", range_bytes).load(path)
 
 
 def validated(vectors: DataFrame, params: Params, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -86,19 +47,15 @@ def validated(vectors: DataFrame, params: Params, strict: bool = False) -> tuple
     return vectors.where(ok), vectors.where(~ok)
 
 
-def write_numpy(vectors: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
-    """Sink: matrix files in NPY format from (embedding), at most ``rows_per_file`` rows each."""
+def write_numpy(vectors: DataFrame, path: str, rows_per_file: int = 100_000, name: str | None = None, order: str | None = None) -> None:
+    """Sink: matrix files in NPY format from (embedding), at most ``rows_per_file`` rows each.
 
-    def run(batches):
-        for batch in batches:
-            column = batch.column("embedding")
-            for at in range(0, batch.num_rows, rows_per_file):
-                part = column.slice(at, rows_per_file)
-                matrix = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
-                out = io.BytesIO()
-                np.save(out, matrix)
-                yield pa.RecordBatch.from_pydict({"content": pa.array([out.getvalue()], pa.binary())})
-
-    files = vectors.select("embedding").mapInArrow(run, "content binary")
-    # one record per file; the line end after it lies behind the matrix and is never read
-    files.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    With the column ``name`` each of its values is a file, its rows sorted by ``order``; a value with more
+    rows goes on in ``name-1.npy`` and so on. Without it a task writes files of its own.
+    """
+    vectors.sparkSession.dataSource.register(Matrices)
+    rows = vectors.select(F.col(name).cast("string") if name else F.concat(F.lit("part-"), F.lpad(F.spark_partition_id().cast("string"), 6, "0")).alias("name"),
+                          F.col("embedding").cast("array<float>"), *([F.col(order).alias("_order")] if order else []))
+    if name:
+        rows = rows.toDF("name", *rows.columns[1:]).repartition("name").sortWithinPartitions("name", *(["_order"] if order else []))
+    rows.select("name", "embedding").write.format(Matrices.name()).option("rows_per_file", rows_per_file).mode("append").save(path)

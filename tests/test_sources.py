@@ -44,6 +44,42 @@ def test_numpy_files(spark, tmp_path):
     assert np.array_equal(np.stack(by["a.npy"].embedding.to_numpy()), a)
 
 
+def test_one_matrix_is_read_by_many_tasks(spark, tmp_path):
+    a = np.random.default_rng(1).normal(size=(1000, 6))
+    kinds = {"c.npy": a, "f.npy": np.asfortranarray(a), "big.npy": a.astype(">f4"), "whole.npy": (a * 9).astype(np.int16), "none.npy": a[:0], "line.npy": a[0]}
+    for name, m in kinds.items():
+        np.save(tmp_path / name, m)
+    np.savez(tmp_path / "stored.npz", x=a[:3], embeddings=a)
+    np.savez_compressed(tmp_path / "packed.npz", embeddings=np.asfortranarray(a), y=a[:2])
+    (tmp_path / "_SUCCESS").write_text("")
+    for file, m in [*kinds.items(), ("stored.npz", a), ("packed.npz", a)]:
+        step = 100 * 6 * m.itemsize
+        got = V.read_numpy(spark, str(tmp_path / file), range_bytes=step)
+        tasks = got.rdd.getNumPartitions()
+        rows = got.toPandas().sort_values("row_idx")
+        want = m.reshape(-1, 6).astype(np.float32)
+        assert len(rows) == len(want) and rows.row_idx.tolist() == list(range(len(want)))
+        assert not len(want) or np.array_equal(np.stack(rows.embedding.to_numpy()), want)
+        assert tasks == {"packed.npz": 1, "line.npy": 1}.get(file, tasks) and (tasks == 10 or file in ("packed.npz", "line.npy", "none.npy")), (file, tasks)
+    assert V.read_numpy(spark, f"file:{tmp_path}").count() == 6 * 1000 + 1
+    with pytest.raises(Exception, match="dimensions"):
+        np.save(tmp_path / "cube.npy", np.zeros((2, 2, 2)))
+        V.read_numpy(spark, str(tmp_path / "cube.npy")).count()
+
+
+def test_matrices_round_trip(spark, tmp_path):
+    rows = [(f"n{k % 3}", k, [float(k), 0.5, -1.0]) for k in range(50)]
+    df = spark.createDataFrame(rows, "name string, k long, embedding array<float>").repartition(4)
+    V.write_numpy(df, str(tmp_path / "a"), rows_per_file=10, name="name", order="k")
+    names = sorted(p.name for p in (tmp_path / "a").iterdir())
+    assert names == sorted(f"n{k}{s}.npy" for k in range(3) for s in ("", "-1"))
+    assert np.load(tmp_path / "a" / "n1-1.npy")[:, 0].tolist() == [float(k) for k in range(50) if k % 3 == 1][10:]
+    V.write_numpy(df, str(tmp_path / "b"))
+    assert V.read_numpy(spark, str(tmp_path / "b")).count() == 50
+    V.write_numpy(df.limit(0), str(tmp_path / "c"))
+    assert V.read_numpy(spark, str(tmp_path / "c")).count() == 0
+
+
 def test_validation(spark):
     rows = spark.createDataFrame([([1.0, 2.0, 3.0],), ([1.0],), ([1.0, None, 3.0],), (None,), ([1.0, float("nan"), 2.0],)],
                                  "embedding array<double>")
