@@ -71,7 +71,7 @@ SELECT 'a' || doc_id, {CLEAN}, 'list' FROM documents WHERE {CLEAN} <> ''
 UNION ALL
 SELECT 'w' || doc_id, {CLEAN}, 'wrapped' FROM documents WHERE {CLEAN} <> ''""")
 def src_json_records(spark, sf):
-    """JSON lines written and read back, and whole documents: a list, or an object around a list."""
+    """JSON lines written and read back, and files of 500 records: lists, or objects around a list."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     path = scratch_path(spark, "json")
     docs.withColumnRenamed("doc_id", "paper_id").write.json(path)
@@ -79,13 +79,14 @@ def src_json_records(spark, sf):
 
     def records(letter, field):
         one = F.struct(F.concat(F.lit(letter), F.col("doc_id")).alias("id"), F.col("text").alias(field))
-        return F.array(one)
-
-    listed = docs.select(F.to_json(records("a", "abstract")).alias("document"), F.lit("list").alias("layout"))
-    wrapped = docs.select(F.to_json(F.struct(records("w", "content").alias("papers"))).alias("document"),
-                          F.lit("wrapped").alias("layout"))
-    whole = S.extract_records(S.records_of(listed.unionByName(wrapped)))
-    return lines.unionByName(whole)
+        return docs.groupBy(F.floor(F.col("doc_id") / 500).alias("file")).agg(F.sort_array(F.collect_list(one)).alias("records"))
+
+    folder = scratch_path(spark, "documents")
+    listed = records("a", "abstract").select(F.to_json("records").alias("value"))
+    wrapped = records("w", "content").select(F.to_json(F.struct(F.col("records").alias("papers"))).alias("value"))
+    listed.unionByName(wrapped).write.option("maxRecordsPerFile", 1).text(folder)
+    whole = S.read_json(spark, folder)
+    return lines.unionByName(whole.withColumn("layout", F.when(F.col("source_id").startswith("a"), "list").otherwise("wrapped")))
 
 
 @query("json_text_extract", f"""

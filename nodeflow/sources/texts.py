@@ -4,23 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from nodeflow.functions import texts as X
+from nodeflow.sources.records import csv_records, header_of, json_list_elements
 from nodeflow.sources.rownum import numbered
 
 
 def read_csv_texts(spark: SparkSession, path: str) -> DataFrame:
     """All-string CSV with a header; broken lines are left out, the text column goes by name.
 
-    All files need the same header: one with other or reordered columns raises, as its fields would be
-    taken for others.
+    A file is read by as many tasks as it has splits, also where values hold line ends. All files need the
+    same header: one with other or reordered columns raises, as its fields would be taken for others.
     """
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "DROPMALFORMED", "enforceSchema": False}
-    columns = spark.read.options(**options).csv(path).columns  # reads the header only
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    scan = spark.read.options(**options).schema(schema).csv(path)
-    return normalised(numbered(scan, "source_id"), "source_id", X.csv_text_field(columns))
+    options = {"quote": '"', "escape": '"'}
+    columns = spark.read.options(header=True, multiLine=True, **options).csv(path).columns  # reads the header only
+    schema = ", ".join(f"c{k} string" for k in range(len(columns))) + ", _bad string"
+    text = f"r.c{columns.index(X.csv_text_field(columns))}"
+
+    def kept(records: DataFrame) -> DataFrame:
+        wrong = F.raise_error(F.concat(F.lit("another CSV header in "), F.col("file"))).cast("boolean")
+        is_row = F.when(F.col("first"), F.when(header_of(F.col("record"), columns, options), F.lit(False)).otherwise(wrong)).otherwise(True)
+        parsed = F.from_csv("record", schema, {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        return records.where(is_row).select("file", "at", parsed.alias("r")).where("r._bad IS NULL").select("file", "at", F.col(text).alias("text"))
+
+    return normalised(csv_records(spark, path, kept, "source_id"), "source_id", "text")
 
 
 def normalised(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -58,13 +65,21 @@ def records_of(documents: DataFrame, document: str = "document") -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Whole JSON documents, one per file; many files are the parallel axis.
+    """JSON documents, one per file. A list is read by as many tasks as its file has splits; a document with an
+    object around its list, or of a single record, by one task.
 
-    A record without an id is named by its file and its place there, so ids of several files differ.
+    A record without an id is named by its file and its place there, so ids of several files differ. Of a
+    list that breaks off, the records before the break are read.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("document"), F.col("_metadata.file_name").alias("file"))
+    elements, others = json_list_elements(spark, path)
+    place = F.concat_ws(":", F.url_decode(F.replace(F.substring_index("file", "/", -1), F.lit("+"), F.lit("%2B"))), F.col("idx").cast("string"))
+    listed = extract_records(elements.select("record", place.alias("idx")))
+    rest = [r["file"] for r in others.collect()]  # names only, as the reader needs them
+    if not rest:
+        return listed
+    files = spark.read.text(rest, wholetext=True).select(F.col("value").alias("document"), F.col("_metadata.file_name").alias("file"))
     named = records_of(files).withColumn("idx", F.concat_ws(":", "file", "idx"))
-    return extract_records(named.drop("file"))
+    return listed.unionByName(extract_records(named.drop("file")))
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:

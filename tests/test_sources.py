@@ -1,6 +1,7 @@
 """Readers and text rules on small files with known content."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -159,3 +160,72 @@ def test_the_only_dataset_takes_what_is_left(spark):
     sessions = spark.createDataFrame([], "session_id string, dataset_name string")
     frame = spark.createDataFrame([("42",), ("x:1",)], "source_id string")
     assert {r.dataset for r in provenance.resolve_dataset(frame, datasets, sessions).collect()} == {"one"}
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def _csv_by_one_task(spark, path):
+    """The reader that gives a file to one task."""
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "DROPMALFORMED"}
+    rows = spark.read.options(**options).csv(path).select("text").collect()
+    return {str(k): r.text.strip() for k, r in enumerate(rows) if (r.text or "").strip()}
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_is_cut_at_the_same_places(spark, tmp_path, small_splits, end):
+    r = random.Random(len(end))
+    values = ['plain', '"two' + end + 'lines"', '"a ""quoted"" b"', '""', '', 'x"y', ' "z"', '"' + ('long, ' + end) * 60 + '"', '"é,日本"', '"tail"x', '"""', "5\\"]
+    lines = ["id,text,rest"] + [",".join([str(k), r.choice(values[:-2]), r.choice(values[:6])][: r.choice([3, 3, 3, 3, 2])]) + r.choice(["", "", "", "," if k % 9 == 0 else ""]) for k in range(400)]
+    lines.insert(7, "")
+    f = tmp_path / "a.csv"
+    f.write_text(end.join(lines) + end, newline="")
+    got = {x.source_id: x.text for x in S.read_csv_texts(spark, str(f)).collect()}
+    assert got == _csv_by_one_task(spark, str(f)) and len(got) > 200
+    from nodeflow.sources import records
+    assert records._scan(spark, str(f), "\n").rdd.getNumPartitions() > 50
+
+
+@pytest.mark.parametrize("text", ["", "text\n", "text", "text\na", 'text\n"open\nfor ever\n', '\n\ntext\n\n"a"\n', 'text\n"' + "\n" * 500 + 'x"\nlast'])
+def test_odd_csv_files(spark, tmp_path, small_splits, text):
+    f = tmp_path / "a.csv"
+    f.write_text(text)
+    if text:
+        assert {x.source_id: x.text for x in S.read_csv_texts(spark, str(f)).collect()} == _csv_by_one_task(spark, str(f))
+
+
+def test_csv_of_several_files(spark, tmp_path, small_splits):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("a,text\n" + "".join(f'{i},"f{k}\n{i}"\n' for i in range(40)))
+    got = {x.source_id: x.text for x in S.read_csv_texts(spark, str(tmp_path)).collect()}
+    assert got == {str(40 * k + i): f"f{k}\n{i}" for k in range(3) for i in range(40)}
+    (tmp_path / "z.csv").write_text("text,a\nx,y\n")
+    with pytest.raises(Exception, match="another CSV header"):
+        S.read_csv_texts(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_json_lists_are_cut_at_the_same_places(spark, tmp_path, small_splits, indent):
+    r = random.Random(indent)
+    says = ["a", "br}ack{et", "[x], [y", 'quo"te', "back\\\\slash\\", "\\", "é日本", "comma, comma", "long " * 90, "\n\t"]
+    listed = [r.choice([{"text": r.choice(says) + str(k)}, {"id": f"k{k}", "abstract": [r.choice(says), {"deep": [1, {"x": "}"}]}]}, "text", 7, None, ["a", {"text": "inner"}], {}, {"text": r.choice(says)}]) for k in range(300)]
+    (tmp_path / "list.json").write_text(json.dumps(listed, indent=indent, ensure_ascii=bool(indent)), encoding="utf-8")
+    (tmp_path / "wrapped.json").write_text(json.dumps({"meta": [1], "papers": listed[:20]}))
+    (tmp_path / "one.json").write_text(json.dumps({"id": "single", "text": "one"}))
+    (tmp_path / "empty.json").write_text(" [ ] ")
+    (tmp_path / "blank.json").write_text("")
+    whole = spark.read.text(str(tmp_path), wholetext=True).select(F.col("value").alias("document"), F.col("_metadata.file_name").alias("file"))
+    want = S.extract_records(S.records_of(whole).withColumn("idx", F.concat_ws(":", "file", "idx")).drop("file")).collect()
+    got = S.read_json(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 80
+    from nodeflow.sources import records
+    assert records._scan(spark, str(tmp_path / "list.json"), "}").rdd.getNumPartitions() > 50
+
+
+def test_a_list_that_breaks_off_keeps_its_records(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "1", "text": "x"}, {"id": "2", "text": "y"}, {"id": "3", "te')
+    assert {x.source_id: x.text for x in S.read_json(spark, str(tmp_path)).collect()} == {"1": "x", "2": "y"}
