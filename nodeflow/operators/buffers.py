@@ -48,13 +48,11 @@ def fill_buffers(rows: DataFrame, buffers: DataFrame, params: Params) -> DataFra
     return placed.unionByName(fresh.select("row_id", name.alias("buffer_id"), "sim"))
 
 
-def promote(members: DataFrame, params: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """members(buffer_id, source_id, embedding) -> (new nodes, their pointers, members that stay).
+def promote(members: DataFrame, full: DataFrame, params: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members(buffer_id, source_id, embedding), full(buffer_id) -> (new nodes, their pointers, members that stay).
 
     A promoted buffer lends its name to the node, so a repeated batch gives the same ids.
     """
-    sizes = members.groupBy("buffer_id").count()
-    full = sizes.where(F.col("count") >= params.buffer_threshold).select("buffer_id")
     name = F.concat(F.lit("kn_"), F.substring_index("buffer_id", "_", -1)).alias("node_id")
     ready = members.join(full, "buffer_id", "left_semi").select(name, "source_id", "embedding")
     return (node_signatures(ready, params), ready.select("node_id", "source_id").distinct(),

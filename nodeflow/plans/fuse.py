@@ -60,4 +60,4 @@ def fuse(state: State, params: Params) -> tuple[State, DataFrame]:
     for row in rows[1:]:
         report = report.unionByName(row, allowMissingColumns=True)
     report = report.agg(*[F.max(name).alias(name) for name in figures])
-    return {"nodes": final, "buffers": left, "pointers": pointers, "metadata": metadata}, report
+    return {**({"refused": state["refused"]} if "refused" in state else {}), "nodes": final, "buffers": left, "pointers": pointers, "metadata": metadata}, report

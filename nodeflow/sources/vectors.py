@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,14 +37,19 @@ def read_numpy(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -
     return spark.read.format(Matrices.name()).option("range_bytes", range_bytes).load(path)
 
 
+def refusal(embedding: Column, dim: int) -> Column:
+    """Why a vector is refused: MISSING, WRONG_SIZE or GAP (a null or NaN element); null if it is not."""
+    gap = F.exists(embedding, lambda x: x.isNull() | F.isnan(x))
+    return F.when(embedding.isNull(), "MISSING").when(F.size(embedding) != dim, "WRONG_SIZE").when(gap, "GAP")
+
+
 def validated(vectors: DataFrame, params: Params, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows of the right size without gaps, rows that are not); strict fails on the first bad row."""
-    ok = F.coalesce((F.size("embedding") == params.dim)
-                    & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+    bad = refusal(F.col("embedding"), params.dim)
     if strict:
-        checked = F.when(ok, F.col("embedding")).otherwise(F.raise_error(F.lit("vector of wrong size or with gaps")))
+        checked = F.when(bad.isNull(), F.col("embedding")).otherwise(F.raise_error(F.lit("vector of wrong size or with gaps")))
         return vectors.withColumn("embedding", checked), vectors.where(F.lit(False))
-    return vectors.where(ok), vectors.where(~ok)
+    return vectors.where(bad.isNull()), vectors.where(bad.isNotNull())
 
 
 def write_numpy(vectors: DataFrame, path: str, rows_per_file: int = 100_000, name: str | None = None, order: str | None = None) -> None:

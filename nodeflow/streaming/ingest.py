@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,23 +13,27 @@ from nodeflow.operators.ranking import keyed_rank
 from nodeflow.operators.state import StateStore
 from nodeflow.params import Params
 from nodeflow.plans.ingest import empty_state, process_batch
+from nodeflow.session import cut
 
-STATE_TABLES = ("nodes", "buffers", "pointers")
+LOGS = {"nodes": ["node_id"], "buffers": ["buffer_id", "row_id"], "pointers": ["node_id", "source_id"]}
+NOTES = "version bigint, rows bigint, refused bigint, nodes bigint, buffers bigint, waiting bigint, pointers bigint"
 
 
 def current(spark: SparkSession, state_path: str, version: int | None = None) -> dict[str, DataFrame]:
-    """Nodes and buffers of a version (the last by default) and the pointers up to it."""
+    """Nodes, buffers and pointers as of a version (the last by default)."""
     store = StateStore(spark, state_path)
     if not store.versions():
         return empty_state(spark)
-    return {"nodes": store.read("nodes", version), "buffers": store.read("buffers", version),
-            "pointers": store.read_all("pointers", version).distinct()}
+    return {name: store.read_log(name, keys, version) for name, keys in LOGS.items()}
 
 
-def stream_ingest(rows: DataFrame, state_path: str, checkpoint: str, params: Params, every: str | None = None) -> StreamingQuery:
-    """Stream of (row_id, source_id, embedding, confidence) into a versioned state.
+def stream_ingest(rows: DataFrame, state_path: str, checkpoint: str, params: Params, every: str | None = None,
+                  compact_every: int = 20, retain: int = 20) -> StreamingQuery:
+    """Stream of (row_id, source_id, embedding, confidence) into a logged state.
 
-    The batch id is the version: a batch that is run again finds its version and leaves.
+    The batch id is the version: a batch that is run again finds its version and leaves. A batch writes the
+    rows it touches, its decisions and its refused rows. Every ``compact_every`` versions the log is folded;
+    the last ``retain`` versions stay readable.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -38,29 +42,56 @@ def stream_ingest(rows: DataFrame, state_path: str, checkpoint: str, params: Par
         if store.committed(batch_id):
             return
         ranked = keyed_rank(batch, [], "row_id").drop("n")
+        before = store.last_commit()
         out = process_batch(current(spark, state_path), ranked, params)
-        store.write(batch_id, {
-            "nodes": out["nodes"], "buffers": out["buffers"], "pointers": out["new_pointers"],
-            "decisions": out["decisions"].select("row_id", "node_id", "decision", "score", "sim", "threshold")})
+        pointers, added = _new_pointers(store, out["new_pointers"])
+
+        def notes() -> dict:
+            return {**out["counts"], "pointers": before.get("pointers", 0) + added.get["added"]}
+
+        store.write(batch_id, {"refused": out["refused"], "decisions": out["decisions"].select(
+            "row_id", "node_id", "decision", "score", "sim", "threshold")},
+            {"nodes": (out["changed_nodes"], LOGS["nodes"]), "buffers": (out["changed_buffers"], LOGS["buffers"]),
+             "pointers": (pointers, LOGS["pointers"])}, notes)
+        if (batch_id + 1) % compact_every == 0:
+            store.compact(LOGS, retain)
 
     return _start(rows, step, checkpoint, every)
 
 
-def stream_node_stats(rows: DataFrame, state_path: str, checkpoint: str, params: Params, every: str | None = None) -> StreamingQuery:
-    """Running statistics per node of a stream (node_id, embedding).
+def _new_pointers(store: StateStore, pointers: DataFrame) -> tuple[DataFrame, Observation]:
+    """Pointers the state does not have, and their number once they are written. Only the buckets of the
+    batch's nodes are read."""
+    pointers, added = cut(pointers), Observation()
+    buckets = [r[0] for r in pointers.select(store.bucket_of(F.col("node_id"))).distinct().collect()]  # at most store.buckets
+    known = store.read_log("pointers", LOGS["pointers"], buckets=buckets)
+    fresh = pointers if known is None else pointers.join(known, LOGS["pointers"], "left_anti")
+    return fresh.observe(added, F.count(F.lit(1)).alias("added")), added
+
+
+def stream_node_stats(rows: DataFrame, state_path: str, checkpoint: str, params: Params, every: str | None = None,
+                      compact_every: int = 20, retain: int = 20) -> StreamingQuery:
+    """Running statistics per node of a stream (node_id, embedding); read them with ``current_stats``.
 
     Spark's own aggregation state is used: it holds one mergeable moment per dimension and
-    combines before the shuffle, so a node with most of the rows is no hot spot.
+    combines before the shuffle, so a node with most of the rows is no hot spot. A batch writes the nodes
+    it changed.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         store = StateStore(batch.sparkSession, state_path)
         store.claim(_stream_id(batch.sparkSession, checkpoint))
-        store.write(batch_id, {"stats": batch})
+        store.write(batch_id, changes={"stats": (batch, ["node_id"])})
+        if (batch_id + 1) % compact_every == 0:
+            store.compact({"stats": ["node_id"]}, retain)
 
-    return (node_stats(rows, params).writeStream.outputMode("complete").foreachBatch(step)
+    return (node_stats(rows, params).writeStream.outputMode("update").foreachBatch(step)
             .option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start())
 
 
+def current_stats(spark: SparkSession, state_path: str, version: int | None = None) -> DataFrame | None:
+    return StateStore(spark, state_path).read_log("stats", ["node_id"], version)
+
+
 def stream_dedupe(rows: DataFrame, keys: list[str], out: str, checkpoint: str, event_time: str | None = None,
                   delay: str | None = None, every: str | None = None) -> StreamingQuery:
     """Rows of a stream, each key once. With an event time the state is bounded by the watermark."""
@@ -114,15 +145,9 @@ def stream_holdback(rows: DataFrame, state_path: str, checkpoint: str, every: st
 
 
 def progress(spark: SparkSession, state_path: str) -> DataFrame:
-    """Nodes, buffers and pointers after every batch."""
-    rows: DataFrame | None = None
-    for version in StateStore(spark, state_path).versions():
-        state = current(spark, state_path, version)
-        sizes = {"nodes": F.count("*"), "buffers": F.count_distinct("buffer_id"), "pointers": F.count("*")}
-        for name, size in sizes.items():
-            one = state[name].agg(size.alias(name)).withColumn("batch", F.lit(version))
-            rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
-    return rows.groupBy("batch").agg(*[F.max(name).alias(name) for name in STATE_TABLES])
+    """What every batch noted: its rows and refused rows, and the nodes, buffers, waiting rows and pointers
+    after it. One small row per batch is read, none of the state."""
+    return StateStore(spark, state_path).commits(NOTES).withColumnRenamed("version", "batch")
 
 
 def _stream_id(spark: SparkSession, checkpoint: str) -> str:

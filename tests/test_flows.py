@@ -165,7 +165,7 @@ def test_half_written_version_does_not_count(spark):
     root = scratch_path(spark, "state")
     store = StateStore(spark, root)
     store.write(3, {"t": spark.range(5)})
-    spark.range(9).write.parquet(f"{root}/version=4/t")
+    spark.range(9).write.parquet(f"{root}/data/version=4/t")
     assert store.versions() == [3] and store.read("t").count() == 5
     store.write(4, {"t": spark.range(7)})
     assert store.read("t").count() == 7 and store.read("t", 3).count() == 5
@@ -186,6 +186,182 @@ def test_holdback_over_batches(spark):
     assert sorted(r.seq for r in state["held"].collect()) == [6, 9]
 
 
+def _log(spark, versions, compact_at=(), retain=100):
+    """A log written from [(key, value or None)] per version; None deletes."""
+    store, model, seen = StateStore(spark, scratch_path(spark, "log"), buckets=4), {}, []
+    for v, rows in enumerate(versions):
+        rows = [(k, x, x is None) for k, x in rows]
+        store.write(v, changes={"t": (spark.createDataFrame(rows, "k string, x int, deleted boolean"), ["k"])})
+        model = {k: x for k, x in {**model, **{k: x for k, x, _ in rows}}.items() if x is not None}
+        seen.append(dict(model))
+        if v in compact_at:
+            store.compact({"t": ["k"]}, retain)
+    return store, seen
+
+
+def _table(store, until=None, buckets=None):
+    return {r.k: r.x for r in store.read_log("t", ["k"], until, buckets).collect()}
+
+
+LOGGED = [[("a", 1), ("b", 2), ("c", 3)], [("a", 4), ("b", None)], [], [("b", 5), ("d", 6), ("c", None)], [("a", None), ("e", 7)], [("e", 8)]]
+
+
+def test_log_reads_the_newest_rows(spark):
+    store, seen = _log(spark, LOGGED)
+    assert [_table(store, v) for v in range(6)] == seen and _table(store) == seen[-1]
+    some = {r.b for r in spark.createDataFrame([("b",), ("d",)], "k string").select(store.bucket_of(F.col("k")).alias("b")).collect()}
+    part = _table(store, buckets=sorted(some))
+    assert {"b", "d"} <= set(part) and part.items() <= seen[-1].items()
+    # a version writes what it touches
+    assert [spark.read.parquet(f"{store.root}/log/t/version-{v}").count() for v in range(6)] == [len(r) for r in LOGGED]
+
+
+def test_compaction_changes_no_read(spark):
+    store, seen = _log(spark, LOGGED, compact_at=(1, 4))
+    assert [_table(store, v) for v in range(6)] == seen
+    # half of a compaction does not count
+    store._append("t", "base", 5, spark.createDataFrame([("z", 9, False)], "k string, x int, deleted boolean"), ["k"])
+    assert _table(store) == seen[-1]
+    store.compact({"t": ["k"]})
+    assert _table(store) == seen[-1]
+    assert spark.read.parquet(f"{store.root}/log/t/base-5").count() == len(seen[-1])
+
+
+def test_retention_removes_what_no_read_needs(spark):
+    store, seen = _log(spark, LOGGED, compact_at=(1, 3, 5), retain=2)
+    assert [_table(store, v) for v in (3, 4, 5)] == seen[3:]
+    left = store._names("log/t")
+    assert "version-0" not in left and "version-3" not in left and "base-1" not in left and "base-3" in left and "version-4" in left
+    with pytest.raises(Exception):
+        _table(store, 0)
+    assert store.versions() == list(range(6))  # the notes stay
+
+
+def test_refused_rows_are_counted_and_kept(spark):
+    rows = batch(60, 5)
+    bad = [(900, "x", None, None), (901, None, [1.0, 2.0], 0.5), (902, "y", [1.0, None, 0.0, 1.0], None), (903, "z", [float("nan"), 1.0, 0.0, 1.0], None), (904, "w", [], None)]
+    mixed = spark.createDataFrame([*rows[:30], *bad, *rows[30:]], SCHEMA).withColumn("rank", F.col("row_id"))
+    out = process_batch(empty_state(spark), mixed, P)
+    clean = process_batch(empty_state(spark), spark.createDataFrame(rows, SCHEMA).withColumn("rank", F.col("row_id")), P)
+    assert {(r.row_id, r.source_id, r.reason) for r in out["refused"].collect()} == {
+        (900, "x", "MISSING"), (901, "901", "WRONG_SIZE"), (902, "y", "GAP"), (903, "z", "GAP"), (904, "w", "WRONG_SIZE")}
+    assert facts(out) == facts(clean) and clean["refused"].count() == 0
+    assert out["counts"] == {**clean["counts"], "rows": 65, "refused": 5} and clean["counts"]["rows"] == 60
+    assert out["counts"]["nodes"] == out["nodes"].count() and out["counts"]["waiting"] == out["buffers"].count()
+    assert out["counts"]["buffers"] == out["buffers"].select("buffer_id").distinct().count()
+    assert ingest(mixed.drop("rank"), P, batches=3)["refused"].count() == 5
+
+
+def test_a_batch_writes_only_what_it_touches(spark):
+    state = empty_state(spark)
+    for i in range(3):
+        before = {r.node_id: r for r in state["nodes"].collect()}
+        held = {(r.buffer_id, r.row_id) for r in state["buffers"].collect()}
+        state = process_batch(state, spark.createDataFrame(batch(40, 300 + i, start=40 * i), SCHEMA).withColumn("rank", F.col("row_id")), P)
+        after = {r.node_id: r for r in state["nodes"].collect()}
+        assert {r.node_id for r in state["changed_nodes"].collect()} == {k for k, r in after.items() if before.get(k) != r}
+        now = {(r.buffer_id, r.row_id) for r in state["buffers"].collect()}
+        changes = state["changed_buffers"].collect()
+        assert {(r.buffer_id, r.row_id) for r in changes if r.deleted} == held - now
+        assert {(r.buffer_id, r.row_id) for r in changes if not r.deleted} == now - held
+
+
+def _held_back(spark, batches):
+    from nodeflow.streaming import holdback as H
+
+    path, out, mark = (scratch_path(spark, n) for n in ("in", "out", "mark"))
+    schema = "seq bigint, node_id string, kind string"
+    settings = {"spark.sql.streaming.stateStore.providerClass": H.STATE_STORE, "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for part in (batches[:1], batches[1:]):  # a restart after the first batch
+            for rows in part:
+                spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+            if part:
+                stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+                q = H.holdback(stream).writeStream.format("parquet").option("checkpointLocation", mark).trigger(availableNow=True).start(out)
+                q.awaitTermination(120)
+                assert q.exception() is None and not q.isActive
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return {r.seq: r.released for r in spark.read.schema(H.READY).parquet(out).collect()}
+
+
+@pytest.mark.parametrize("cuts", [1, 2, 5])
+def test_stateful_holdback_equals_the_table_form(spark, cuts):
+    r = np.random.default_rng(cuts)
+    rows = [(i, ["a", "b", "c", None][r.integers(4)], ["ROW", "ROW", "ROW", "START", "END"][r.integers(5)]) for i in range(200)]
+    size = -(-len(rows) // cuts)
+    parts = [rows[at:at + size] for at in range(0, len(rows), size)]
+    state = {"training": spark.createDataFrame([], "node_id string"), "held": spark.createDataFrame([], "seq bigint, node_id string")}
+    ready = []
+    for part in parts:
+        state = SI.holdback_step(state, spark.createDataFrame(part, "seq bigint, node_id string, kind string"))
+        ready += [x.seq for x in state["ready"].collect()]
+    got = _held_back(spark, parts)
+    assert sorted(got) == sorted(ready) and state["held"].count() > 0
+
+
+class _Handle:
+    """The states and timers of one node, in plain Python."""
+
+    class Cell:
+        def __init__(self):
+            self.values = []
+
+        exists = lambda self: bool(self.values)
+        clear = lambda self: self.values.clear()
+        appendList = lambda self, x: self.values.extend(x)
+
+        def update(self, x):
+            self.values = [x]
+
+    class Value(Cell):
+        def get(self):
+            return self.values[0]
+
+    class Many(Cell):
+        def get(self):
+            return iter(self.values)
+
+    def __init__(self):
+        self.timers = set()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    def getValueState(self, *_):
+        return self.Value()
+
+    def getListState(self, *_):
+        return self.Many()
+
+
+def test_a_training_without_an_end_is_ended_by_its_timer():
+    import pandas as pd
+    from nodeflow.streaming.holdback import HoldBack
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentProcessingTimeInMs = lambda: ms
+
+    def sent(frames):
+        return [(int(s), w) for f in frames for s, w in zip(f["seq"], f["released"])]
+
+    def rows(*pairs):
+        return iter([pd.DataFrame(pairs[:1], columns=["seq", "kind"]), pd.DataFrame(pairs[1:], columns=["seq", "kind"])])
+
+    handle, node = _Handle(), HoldBack(limit_ms=50)
+    node.init(handle)
+    assert sent(node.handleInputRows(("a",), rows((0, "ROW"), (1, "START"), (2, "ROW")), Now(100))) == [(0, "AT_ONCE")] and handle.timers == {150}
+    assert sent(node.handleInputRows(("a",), rows((3, "ROW"), (4, "START")), Now(120))) == [] and handle.timers == {150}
+    handle.timers.clear()  # a timer leaves when it fires
+    assert sent(node.handleExpiredTimer(("a",), Now(160), None)) == [(2, "LIMIT"), (3, "LIMIT")] and not node.held.exists()
+    assert sent(node.handleInputRows(("a",), rows((5, "ROW"), (6, "START")), Now(200))) == [(5, "AT_ONCE")] and handle.timers == {250}
+    assert sent(node.handleInputRows(("a",), rows((7, "ROW"), (8, "END")), Now(210))) == [(7, "AT_ONCE")] and not handle.timers
+
+
 @pytest.mark.parametrize("cuts", [1, 2, 5])
 def test_holdback_does_not_depend_on_batches(spark, cuts):
     kinds = "ROW START ROW END ROW START ROW START ROW ROW".split()
