@@ -15,7 +15,7 @@ from nodeflow.queries import load  # noqa: E402
 QUERIES = {name: fn for name, fn in entry.queries().items() if name in load()[0]}
 ORACLES = {name: text for name, text in entry.oracle_sql().items() if name in QUERIES}
 # flows without SQL are tested against plain models in test_flows and test_iterative
-SLOW = {"deferred_training", "process_batch", "fuse_report", "full_run", "stream_ingest", "stream_progress", "micro_consolidate"}
+SLOW = {"deferred_training", "process_batch", "fuse_report", "full_run", "stream_ingest", "micro_consolidate"}
 ROWS_ONLY = set(QUERIES) - set(ORACLES)
 
 
