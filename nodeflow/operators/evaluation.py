@@ -23,18 +23,27 @@ def validation_split(texts: DataFrame, params: Params, key: str, order: str, *ti
     return keyed_rank(texts, [key], order, *ties).where(keep).drop("rank", "n")
 
 
-def perplexity_rollup(losses: DataFrame, params: Params, key: str, order: str, *ties: str) -> DataFrame:
-    """losses(key, order, loss): mean over batches of the batch means, and its exponential."""
+def perplexity_rollup(losses: DataFrame, params: Params, key: str, order: str, *ties: str, asked: DataFrame | None = None) -> DataFrame:
+    """losses(key, order, loss): mean over batches of the batch means, and its exponential.
+
+    With ``asked(key)`` the result has one row for each of its keys; a key without batches has infinite values.
+    """
     batch = F.floor((F.col("rank") - 1) / params.eval_batch_size)
     per_batch = keyed_rank(losses, [key], order, *ties).groupBy(key, batch.alias("_batch")).agg(
         F.avg("loss").alias("_loss"))
-    return per_batch.groupBy(key).agg(
+    out = per_batch.groupBy(key).agg(
         F.avg("_loss").alias("validation_loss"), F.exp(F.avg("_loss")).alias("perplexity"),
         F.count("*").alias("n_batches"))
+    if asked is None:
+        return out
+    keys = asked.select(F.col(key).alias("_asked")).distinct()
+    return keys.join(out, F.col("_asked").eqNullSafe(F.col(key)), "left").select(
+        F.col("_asked").alias(key), without_batches(F.col("validation_loss")).alias("validation_loss"),
+        without_batches(F.col("perplexity")).alias("perplexity"), F.coalesce("n_batches", F.lit(0)).alias("n_batches"))
 
 
-def without_batches(perplexity: Column) -> Column:
-    return F.coalesce(perplexity, F.lit(float("inf")))
+def without_batches(value: Column) -> Column:
+    return F.coalesce(value, F.lit(float("inf")))
 
 
 def confidence(step_scores: Column) -> Column:

@@ -37,15 +37,21 @@ def node_status_view(nodes: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def consolidation_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
-    """before(domain, node_id), after(domain, node_id, mass, variance) -> consolidation and hub ratio per domain."""
+    """before(domain, node_id), after(domain, node_id, mass, variance) -> consolidation and hub ratio per domain.
+
+    ``variance_change`` is the relative change of the mean variance against the first domain in order; null where
+    that one has none.
+    """
     old = before.groupBy("domain").agg(F.count("*").alias("initial_nodes"))
     new = after.groupBy("domain").agg(
         F.count("*").alias("final_nodes"), F.max("mass").alias("max_mass"), F.avg("mass").alias("avg_mass"),
         F.avg(F.coalesce("variance", F.lit(0.0))).alias("avg_variance"))
+    baseline = new.agg(F.min_by("avg_variance", "domain")).scalar()
     return old.join(new, "domain").select(
         "domain", "initial_nodes", "final_nodes",
         ((F.col("initial_nodes") - F.col("final_nodes")) / F.col("initial_nodes")).alias("consolidation"),
-        "max_mass", (F.col("max_mass") / F.col("avg_mass")).alias("hub_ratio"), "avg_variance")
+        "max_mass", (F.col("max_mass") / F.col("avg_mass")).alias("hub_ratio"), "avg_variance",
+        F.try_divide(F.col("avg_variance") - baseline, baseline).alias("variance_change"))
 
 
 def dataset_stats(rows: DataFrame) -> DataFrame:

@@ -31,6 +31,18 @@ def perplexity_rollup(spark, sf):
     return out.withColumns({c: r6(c) for c in ("validation_loss", "perplexity")})
 
 
+@query("perplexity_asked", sql("""
+SELECT DISTINCT 'kn_' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS node_id,
+       coalesce(round(validation_loss, 6), CAST('inf' AS DOUBLE)) AS validation_loss,
+       coalesce(round(perplexity, 6), CAST('inf' AS DOUBLE)) AS perplexity, CAST(coalesce(n_batches, 0) AS BIGINT) AS n_batches
+FROM customer LEFT JOIN rollup_ ON node_id = 'kn_' || lpad(CAST(c_custkey AS VARCHAR), 12, '0')""", ROLLUP))
+def perplexity_asked(spark, sf):
+    """Customers are the nodes asked for; those without events have no batches."""
+    asked = table(spark, sf, "customer").select(node_name(F.col("c_custkey")).alias("node_id"))
+    out = E.perplexity_rollup(losses(spark, sf), P, "node_id", "ts", "event_id", asked=asked)
+    return out.withColumns({c: F.when(F.col(c) < float("inf"), r6(c)).otherwise(F.col(c)) for c in ("validation_loss", "perplexity")})
+
+
 @query("top_adapters", sql("""
 SELECT node_id, round(perplexity, 6) AS perplexity FROM rollup_ ORDER BY perplexity, node_id LIMIT 5""", ROLLUP))
 def top_adapters(spark, sf):
@@ -109,7 +121,8 @@ def forgetting_drift(spark, sf):
   SELECT key % 10 % 2 AS domain, count(*) AS initial_nodes FROM nodes GROUP BY ALL)
 SELECT CAST(i.domain AS BIGINT) AS domain, CAST(initial_nodes AS BIGINT) AS initial_nodes, CAST(final_nodes AS BIGINT) AS final_nodes,
        round((initial_nodes - final_nodes) / initial_nodes, 6) AS consolidation, CAST(max_mass AS BIGINT) AS max_mass,
-       round(max_mass / avg_mass, 6) AS hub_ratio, round(avg_variance, 6) AS avg_variance
+       round(max_mass / avg_mass, 6) AS hub_ratio, round(avg_variance, 6) AS avg_variance,
+       round(avg_variance / (SELECT arg_min(avg_variance, domain) FROM f) - 1, 6) + 0.0 AS variance_change
 FROM i JOIN f ON i.domain = f.domain"""))
 def consolidation_metrics(spark, sf):
     """Two neighbouring batches of a label folded into one node; even and odd labels are two domains."""
@@ -118,4 +131,4 @@ def consolidation_metrics(spark, sf):
     merged = nodestats.merge_signatures(before.withColumn("node_id", node_name(group)), P)
     after = merged.withColumn("domain", key_of(F.col("node_id")) % 10 % 2)
     out = reports.consolidation_metrics(before, after)
-    return out.withColumns({c: r6(c) for c in ("consolidation", "hub_ratio", "avg_variance")})
+    return out.withColumns({c: r6(c) for c in ("consolidation", "hub_ratio", "avg_variance", "variance_change")})

@@ -357,7 +357,8 @@ def lineage_events(spark, sf):
     return e.select(node_name(F.col("user_id")).alias("node_id"), "event_id", F.col("ts").alias("event_time"),
                     old.alias("from_type"), F.lit("HERITAGE").alias("to_type"),
                     F.when(F.col("event_type") != "view", F.upper("event_type")).alias("reason"),
-                    node_name(F.col("event_id") % 7).alias("parent_id"), (F.col("value") / 300).alias("similarity"))
+                    node_name(F.col("event_id") % 7).alias("parent_id"), (F.col("value") / 300).alias("similarity"),
+                    F.when(F.col("event_id") % 4 == 0, F.to_json(F.struct("event_id"))).when(F.col("event_id") % 4 == 1, "{").alias("metadata"))
 
 
 LINEAGE = """ev AS (
@@ -371,10 +372,16 @@ LINEAGE = """ev AS (
 @query("lineage_history", sql("""
 SELECT node_id, row_number() OVER (PARTITION BY node_id ORDER BY ts, event_id) AS entry_no,
        count(*) OVER (PARTITION BY node_id) AS change_count, ts AS event_time,
-       '{"from":"' || from_type || '","to":"HERITAGE","reason":"' || reason || '","parent_id":"' || parent_id || '"}' AS entry,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS entry_timestamp, from_type AS entry_from, 'HERITAGE' AS entry_to, reason AS entry_reason,
+       parent_id AS entry_parent_id, round(similarity, 6) AS entry_similarity,
+       CASE WHEN event_id % 4 = 0 THEN '{"event_id":' || event_id || '}' ELSE '{}' END AS entry_metadata,
        round(similarity, 6) AS similarity FROM ev""", LINEAGE))
 def lineage_history(spark, sf):
-    return lineage.lineage_history(lineage_events(spark, sf)).withColumn("similarity", r6("similarity"))
+    """The fields are read back from the JSON entries."""
+    names = ("timestamp", "from", "to", "reason", "parent_id", "similarity", "metadata")
+    out = lineage.lineage_history(lineage_events(spark, sf)).withColumn("similarity", r6("similarity"))
+    fields = {f"entry_{n}": F.get_json_object("entry", f"$.{n}") for n in names}
+    return out.withColumns(fields).withColumn("entry_similarity", r6(F.col("entry_similarity").cast("double"))).drop("entry")
 
 
 @query("lineage_summary", sql("""

@@ -1,5 +1,6 @@
 """Rules, ranks and folds against plain Python, hot keys included."""
 
+import json
 import math
 import random
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nodeflow import Params
 from nodeflow.functions import rules as R
-from nodeflow.operators import evaluation, feedback, fusion, lineage, training
+from nodeflow.operators import evaluation, feedback, fusion, lineage, reports, training
 from nodeflow.operators.ranking import clamped_sum, keyed_rank
 
 P = Params(dim=2)
@@ -174,3 +175,37 @@ def test_nulls_and_repeats_lose_nothing(spark):
                         "'ROOT' AS inheritance_type, 2 AS total_failures, TIMESTAMP_NTZ '2024-01-01' AS last_failure_time")
     none = spark.createDataFrame([], "node_id string, outcome string, at timestamp_ntz")
     assert training_outcomes(trained, none).first()["last_failure_time"].year == 2024
+
+
+def test_history_entries_hold_every_field(spark):
+    rows = [("a", 1, "OLD", "HERITAGE", "", "p", 0.5, '{"count": 3, "why": ["x"]}'), ("a", 2, "HERITAGE", "ROOT", "R", None, 1.5, None),
+            ("b", 3, None, None, None, "q", None, "{broken")]
+    frame = spark.createDataFrame(rows, "node_id string, event_id long, from_type string, to_type string, reason string, parent_id string, similarity double, metadata string")
+    events = frame.withColumn("event_time", F.expr("timestamp_ntz '2024-05-06 07:08:09.012345' + make_dt_interval(0, 0, 0, event_id)"))
+    got = {(r.node_id, r.entry_no): json.loads(r.entry) for r in lineage.lineage_history(events).collect()}
+    at = "2024-05-06T07:08:1{}.012345"
+    assert got == {
+        ("a", 1): {"timestamp": at.format(0), "from": "ROOT", "to": "HERITAGE", "reason": "UNKNOWN", "parent_id": "p", "similarity": 0.5,
+                   "metadata": {"count": 3, "why": ["x"]}},
+        ("a", 2): {"timestamp": at.format(1), "from": "HERITAGE", "to": "ROOT", "reason": "R", "parent_id": None, "similarity": None, "metadata": {}},
+        ("b", 1): {"timestamp": at.format(2), "from": "ROOT", "to": "ROOT", "reason": "UNKNOWN", "parent_id": "q", "similarity": None, "metadata": {}}}
+    bare = lineage.lineage_history(events.drop("metadata")).collect()
+    assert [json.loads(r.entry)["metadata"] for r in bare] == [{}, {}, {}]
+
+
+def test_perplexity_of_keys_without_batches(spark):
+    losses = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("other", 1, 9.0)], "k string, o int, loss double")
+    asked = spark.createDataFrame([("a",), ("none",), ("none",), (None,)], "k string")
+    got = {r.k: (r.validation_loss, r.perplexity, r.n_batches) for r in evaluation.perplexity_rollup(losses, P, "k", "o", asked=asked).collect()}
+    assert got == {"a": (3.0, pytest.approx(math.exp(3)), 1), "none": (math.inf, math.inf, 0), None: (math.inf, math.inf, 0)}
+
+
+def test_variance_change_between_domains(spark):
+    before = spark.createDataFrame([(d, f"{d}{i}") for d in "abc" for i in range(4)], "domain string, node_id string")
+
+    def change(*variances):
+        after = spark.createDataFrame([(d, f"{d}0", 2, v) for d, v in zip("abc", variances)], "domain string, node_id string, mass int, variance double")
+        return [r.variance_change for r in reports.consolidation_metrics(before, after).orderBy("domain").collect()]
+
+    assert change(0.4, 0.2, None) == [0.0, -0.5, -1.0]
+    assert change(0.0, 0.2, 0.1) == [None, None, None]
