@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -58,24 +61,64 @@ def _contained(ids: DataFrame, datasets: DataFrame) -> DataFrame:
     return exploded.join(named, "_part").groupBy("source_id").agg(F.min_by("dataset_name", first).alias("_contained"))
 
 
-def resolve_dataset(sources: DataFrame, datasets: DataFrame, sessions: DataFrame) -> DataFrame:
+def _named_in(datasets: DataFrame, low: Column) -> Column:
+    """First dataset whose name is part of ``low``, which is in lower case: one pass of an Aho-Corasick automaton
+    over each value. The names travel with the tasks, each of which builds the automaton once."""
+    ordered = datasets.orderBy(F.col("dataset_order").isNull(), "dataset_order", "dataset_name")
+    names = [tuple(r) for r in ordered.select(F.lower("dataset_name"), "dataset_name").collect()]
+
+    @F.pandas_udf("string")
+    def first(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        places = {}
+        for place, (part, _) in enumerate(names):
+            places.setdefault(part, place)
+        everywhere = places.pop("", len(names))  # an empty name is part of every id
+        machine = ahocorasick.Automaton()
+        for part, place in places.items():
+            machine.add_word(part, place)
+        machine.make_automaton()
+
+        def search(text: str | None) -> str | None:
+            if not isinstance(text, str):
+                return None
+            hits = [place for _, place in machine.iter(text)] if places else []
+            place = min([everywhere, *hits])
+            return names[place][1] if place < len(names) else None
+
+        for batch in batches:
+            yield pd.Series([search(text) for text in batch], dtype=object)
+
+    return first(low)
+
+
+def resolve_dataset(sources: DataFrame, datasets: DataFrame, sessions: DataFrame, automaton_bytes: int = 1_000_000) -> DataFrame:
     """sources(source_id), datasets(dataset_name, dataset_order), sessions(session_id, dataset_name) -> + dataset.
 
     Order: known prefix, session, a dataset name contained in the id, the only dataset. Every source row
     stays once. A repeated name counts once with its smallest order; equal orders go by name, null orders
     come last, null names do not count; of several rows of a session the smallest name is taken.
+
+    Names of up to ``automaton_bytes`` bytes together are searched by an automaton (some 60 bytes of memory for
+    each in every Python worker), and only in ids that neither prefix nor session resolves. Beyond that the parts
+    of the ids are joined with the names.
     """
     known = datasets.where("dataset_name IS NOT NULL").groupBy("dataset_name").agg(F.min("dataset_order").alias("dataset_order"))
-    names = [r[0] for r in known.select("dataset_name").limit(2).collect()]
-    only = F.lit(names[0]) if len(names) == 1 else F.lit(None).cast("string")
+    stats = known.agg(F.count("*"), F.max("dataset_name"), F.sum(F.octet_length("dataset_name"))).first()
+    only = F.lit(stats[1] if stats[0] == 1 else None).cast("string")
     session = sessions.groupBy("session_id").agg(F.min("dataset_name").alias("_session_dataset")).withColumnRenamed("session_id", "_prefix")
     exact = known.select(F.col("dataset_name").alias("_prefix"), F.col("dataset_name").alias("_exact"))
     by_prefix = exact.join(session, "_prefix", "full")
     # ids without a prefix get a key of their own, so they do not meet in one task
     key = F.coalesce(X.prefix(F.col("source_id")), F.concat(F.lit("\0"), "source_id"))
-    found = sources.withColumn("_prefix", key).join(by_prefix, "_prefix", "left").join(
-        _contained(sources, known), "source_id", "left").withColumn(
-        "dataset", F.coalesce("_exact", "_session_dataset", "_contained", only))
+    found = sources.withColumn("_prefix", key).join(by_prefix, "_prefix", "left")
+    if (stats[2] or 0) <= automaton_bytes:
+        still_open = F.when(F.coalesce("_exact", "_session_dataset").isNull(), F.lower("source_id"))
+        found = found.withColumn("_contained", _named_in(known, still_open))
+    else:
+        found = found.join(_contained(sources, known), "source_id", "left")
+    found = found.withColumn("dataset", F.coalesce("_exact", "_session_dataset", "_contained", only))
     return found.select(*sources.columns, "dataset")
 
 

@@ -141,20 +141,37 @@ def test_source_ids(spark):
     assert got == ["arxiv:3", "s:4", "5"]
 
 
-def test_dataset_names(spark):
+@pytest.mark.parametrize("automaton_bytes", [0, 1_000_000])
+def test_dataset_names(spark, automaton_bytes):
     # repeated names, a tie, null orders and names, a repeated session and a null id neither add rows nor change them
     datasets = spark.createDataFrame([("News", 0), ("News", 7), ("arxiv", 1), ("new", 2), ("nex", 2), ("42", None), (None, 0)],
                                      "dataset_name string, dataset_order int").where("dataset_name IS NULL OR dataset_name <> '42'")
     sessions = spark.createDataFrame([("s1", "arxiv"), ("s1", "arxiv"), ("news", "other")], "session_id string, dataset_name string")
     ids = ["arxiv:1", "s1:2", "my-NEWS-7", "renewal:9", "42", "news:5", "zz:arxiv:3"]
     rows = spark.createDataFrame([(i,) for i in [*ids, ids[0], None, None]], "source_id string")
-    assert provenance.resolve_dataset(rows, datasets, sessions).count() == len(ids) + 3
+    assert provenance.resolve_dataset(rows, datasets, sessions, automaton_bytes).count() == len(ids) + 3
     frame = spark.createDataFrame([(i,) for i in ids], "source_id string")
-    got = {r.source_id: r.dataset for r in provenance.resolve_dataset(frame, datasets, sessions).collect()}
+    got = {r.source_id: r.dataset for r in provenance.resolve_dataset(frame, datasets, sessions, automaton_bytes).collect()}
     assert got == {"arxiv:1": "arxiv", "s1:2": "arxiv", "my-NEWS-7": "News", "renewal:9": "new", "42": None,
                    "news:5": "other", "zz:arxiv:3": "arxiv"}
 
 
+@pytest.mark.parametrize("automaton_bytes", [0, 1_000_000])
+def test_ten_thousand_dataset_names(spark, automaton_bytes):
+    rng = random.Random(5)
+    word = lambda a, b: "".join(rng.choice("abAÉß\u4e2d") for _ in range(rng.randint(a, b)))
+    names = sorted({word(5, 9) for _ in range(13_000)})[:10_000] + ["B\u4e2dB"]
+    order = {n: rng.choice([None, *range(300)]) for n in names}
+    ids = sorted({word(0, 40) for _ in range(300)})
+    datasets = spark.createDataFrame(list(order.items()), "dataset_name string, dataset_order int")
+    sessions = spark.createDataFrame([], "session_id string, dataset_name string")
+    frame = spark.createDataFrame([(i,) for i in ids], "source_id string")
+    got = {r.source_id: r.dataset for r in provenance.resolve_dataset(frame, datasets, sessions, automaton_bytes).collect()}
+    ranked = sorted(names, key=lambda n: (order[n] is None, order[n] or 0, n.encode()))
+    assert got == {i: next((n for n in ranked if n.lower() in i.lower()), None) for i in ids}
+    assert sum(v is not None for v in got.values()) > 100
+
+
 def test_the_only_dataset_takes_what_is_left(spark):
     datasets = spark.createDataFrame([("one", 0)], "dataset_name string, dataset_order int")
     sessions = spark.createDataFrame([], "session_id string, dataset_name string")
