@@ -100,7 +100,7 @@ def resolve_dataset(sources: DataFrame, datasets: DataFrame, sessions: DataFrame
     stays once. A repeated name counts once with its smallest order; equal orders go by name, null orders
     come last, null names do not count; of several rows of a session the smallest name is taken.
 
-    Names of up to ``automaton_bytes`` bytes together are searched by an automaton (some 60 bytes of memory for
+    Names of up to ``automaton_bytes`` bytes together are searched by an automaton (about 40 bytes of memory for
     each in every Python worker), and only in ids that neither prefix nor session resolves. Beyond that the parts
     of the ids are joined with the names.
     """
