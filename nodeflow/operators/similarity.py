@@ -13,6 +13,12 @@ Two physical ways, same result:
   the cells whose range of angles can hold a partner: for unit vectors,
   |angle(l,p) - angle(r,p)| <= angle(l,r). Rows that visit a hot cell are salted. The visits
   are counted first; if cells save too little, every pair of tiles meets once instead.
+
+Inside a task, pairs are ruled out by prefixes: along the principal axes of the right rows, the
+product of the first coordinates plus the product of the two tail norms is a bound on the whole
+product (Cauchy-Schwarz). Only pairs whose bound passes are multiplied out, so nothing is lost.
+The axes come from a sample of the task's own right rows and decide the cost alone; where the
+sample or the blocks seen so far show no gain, whole blocks are multiplied as before.
 """
 
 from __future__ import annotations
@@ -38,6 +44,10 @@ _EPS = 1e-6
 _SLICE = 8192  # left rows of a group that are taken to the kernel at once
 _COPY = 512  # similarities that cost about as much as sending one row to a task
 _PAYS = 0.7  # cells are used when they cost at most this share of all pairs of tiles
+_WIDTH = 4096  # right rows of a block
+_SAMPLE = 2048  # right rows that choose the axes
+_GATHER = 20  # a pair on its own costs about as much as this many pairs of a block
+_GAIN = 0.5  # prefixes are used when they cost at most this share of whole blocks
 
 
 @dataclass(frozen=True)
@@ -49,6 +59,8 @@ class Spec:
     ``pairs``: "all", "other" (ids differ) or "after" (right id > left id).
     ``hash_ties``: equal scores are ordered by a symmetric hash of the pair instead of the
     right id; chains of equal pairs then resolve in few rounds.
+    ``rising``: no pair with a larger similarity, all else equal, fails ``keep`` or has a smaller score
+    than this one; a bound on the similarity then bounds both. False keeps prefixes out.
     """
 
     floor: float = -1.0  # no kept pair has a smaller similarity
@@ -62,6 +74,7 @@ class Spec:
     carry: tuple[str, ...] = ()
     counts: tuple[float, ...] = field(default=())
     floor_attr: str | None = None  # right attribute whose minimum is the floor
+    rising: bool = True
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -96,6 +109,59 @@ class _Side:
     attrs: dict
     hash: np.ndarray
     out: pa.Table
+    axes: np.ndarray | None = None  # leading principal axes, if prefixes pay
+    short: np.ndarray | None = None  # the rows along them
+    tail: np.ndarray | None = None  # norms of the rest
+    spent: int = 0  # coordinates multiplied so far
+
+
+def _shorten(unit: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    short = unit @ axes
+    rest = np.einsum("ij,ij->i", unit, unit) - np.einsum("ij,ij->i", short, short)
+    return short, np.sqrt(np.maximum(rest, 0.0))
+
+
+def _bound(short, tail, right_short, right_tail) -> np.ndarray:
+    bound = short @ right_short.T
+    bound += np.outer(tail, right_tail)
+    bound += _EPS
+    return bound
+
+
+def _axes(unit: np.ndarray, attrs: dict, spec: Spec) -> np.ndarray | None:
+    """The principal axes to use as a prefix, judged by pairs of a sample; None where prefixes do not pay."""
+    m, dim = unit.shape
+    if not spec.rising or m <= _WIDTH:
+        return None
+    at = np.arange(0, m, -(-m // _SAMPLE))
+    some = unit[at]
+    axes = np.linalg.eigh(some.T @ some)[1][:, ::-1]
+    probe, rest = at[::16], np.delete(at, np.s_[::16])
+    theirs = {c: v[:, rest] for c, v in attrs.items()}
+    mine = {"norm": np.ones((1, 1))}
+    known = not spec.left_attrs  # else keep and score cannot be judged here, only the floor
+
+    def passing(sim, least):
+        mask = sim >= spec.floor
+        if known and spec.keep is not None:
+            mask &= spec.keep(sim, mine, theirs)
+        if known and spec.k is not None:
+            score = sim if spec.score is None else np.broadcast_to(spec.score(sim, mine, theirs), sim.shape)
+            if least is None:
+                usable = np.where(mask, score, -np.inf)
+                return np.partition(usable, max(0, usable.shape[1] - spec.k), axis=1)[:, [max(0, usable.shape[1] - spec.k)]]
+            mask &= score >= least
+        return mask
+
+    least = passing(unit[probe] @ unit[rest].T, None) if known and spec.k is not None else -np.inf
+    best, chosen = _GAIN * dim, None
+    for n in (2 ** e for e in range(2, dim.bit_length()) if 2 ** e < dim):
+        head = np.ascontiguousarray(axes[:, :n])
+        share = passing(_bound(*_shorten(unit[probe], head), *_shorten(unit[rest], head)), least).mean()
+        cost = n + share * _GATHER * dim
+        if cost <= best:
+            best, chosen = cost, head
+    return chosen
 
 
 def _side_parts(table: pa.Table, spec: Spec) -> tuple:
@@ -105,76 +171,134 @@ def _side_parts(table: pa.Table, spec: Spec) -> tuple:
     attrs = {c: v[None, :] for c, v in _attrs(table, spec.right_attrs).items()}
     attrs["norm"] = size[None, :]
     hashes = table.column("rhash").to_numpy().astype(np.int64).view(np.uint64)
-    return unit, table.column("rid").to_numpy(), attrs, hashes, table.select(["rid", *spec.carry])
+    axes = _axes(unit, attrs, spec)
+    short, tail = (None, None) if axes is None else _shorten(unit, axes)
+    return unit, table.column("rid").to_numpy(), attrs, hashes, table.select(["rid", *spec.carry]), axes, short, tail
+
+
+def _column(table, name: str) -> np.ndarray:
+    column = table.column(name)
+    return column.to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else column.to_numpy()
+
 
+def _products(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Similarities of single pairs, ordered by i. ``room`` takes the partners of one left row."""
+    out = np.empty(len(i))
+    ends = np.searchsorted(i, np.arange(len(left) + 1))
+    for row in np.unique(i):
+        lo, hi = ends[row], ends[row + 1]
+        partners = np.take(right, j[lo:hi], axis=0, out=room[:hi - lo], mode="clip")
+        np.dot(partners, left[row], out=out[lo:hi])
+    return np.round(out, DECIMALS)
 
-def _blocks(left, right: _Side, spec: Spec):
-    """Yield (left offset, similarities, mask, scores) for slices of the left rows."""
+
+def _judge(spec: Spec, sim: np.ndarray, mine: dict, theirs: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(mask, scores) of similarities or of bounds on them."""
+    mask = sim >= spec.floor
+    if spec.keep is not None:
+        mask &= spec.keep(sim, mine, theirs)
+    return mask, sim if spec.score is None else np.broadcast_to(spec.score(sim, mine, theirs), sim.shape)
+
+
+def _found(left, right: _Side, spec: Spec):
+    """Yield (left places, right places, similarities, scores, ties) of slices of the left rows, the best k only
+    where k is set. The right side is taken block by block; the k-th best score so far is a floor for the next."""
     n, m = left.num_rows, len(right.ids)
     if n == 0 or m == 0:
         return
     unit, size = _unit(_matrix(left.column("lvec")))
-    attrs = _attrs(left, spec.left_attrs)
-    first = None
+    dim = unit.shape[1]
+    attrs = {**_attrs(left, spec.left_attrs), "norm": size}
     if spec.pairs != "all":
-        lids = left.column("lid").to_numpy(zero_copy_only=False) if isinstance(left, pa.RecordBatch) \
-            else left.column("lid").to_numpy()
-        first = np.searchsorted(right.ids, lids, side="left")
-        after = np.searchsorted(right.ids, lids, side="right")
-    step = max(1, _CHUNK // m)
-    cols = np.arange(m)
+        lids = _column(left, "lid")
+        first, after = np.searchsorted(right.ids, lids, side="left"), np.searchsorted(right.ids, lids, side="right")
+    lhash = _column(left, "lhash").astype(np.int64).view(np.uint64) if spec.hash_ties else None
+    short, tail = (None, None) if right.axes is None else _shorten(unit, right.axes)
+    k = None if spec.counts else spec.k
+    width = min(m, _WIDTH)
+    step = max(1, _CHUNK // width)
+    room = None if short is None else np.empty((width, dim))
+    cost = gain = 0.0  # of the prefixes: coordinates multiplied with them, and without
     for lo in range(0, n, step):
         hi = min(n, lo + step)
-        sim = np.round(unit[lo:hi] @ right.unit.T, DECIMALS)
-        part = {c: v[lo:hi, None] for c, v in attrs.items()}
-        part["norm"] = size[lo:hi, None]
-        mask = sim >= spec.floor
-        if spec.keep is not None:
-            mask &= spec.keep(sim, part, right.attrs)
-        if spec.pairs == "after":
-            mask &= cols[None, :] >= after[lo:hi, None]
-        elif spec.pairs == "other":
-            mask &= (cols[None, :] < first[lo:hi, None]) | (cols[None, :] >= after[lo:hi, None])
-        score = sim if spec.score is None else np.broadcast_to(spec.score(sim, part, right.attrs), sim.shape)
-        yield lo, sim, mask, score
+        mine = {c: v[lo:hi, None] for c, v in attrs.items()}
+        least = np.full(hi - lo, -np.inf)
+        kept = None
+        for a in range(0, m, width):
+            b = min(m, a + width)
+            theirs = {c: v[:, a:b] for c, v in right.attrs.items()}
+            shape = (hi - lo, b - a)
+            allowed = None
+            if spec.pairs == "after":
+                allowed = np.arange(a, b)[None, :] >= after[lo:hi, None]
+            elif spec.pairs == "other":
+                cols = np.arange(a, b)[None, :]
+                allowed = (cols < first[lo:hi, None]) | (cols >= after[lo:hi, None])
+            single = False
+            if short is not None and cost <= _GAIN * gain + 8 * dim * step * width and (k is None or a):
+                mask, score = _judge(spec, _bound(short[lo:hi], tail[lo:hi], right.short[a:b], right.tail[a:b]), mine, theirs)
+                mask = mask if allowed is None else mask & allowed
+                if k is not None:
+                    mask &= score >= least[:, None]
+                i, j = np.nonzero(mask)
+                single = len(i) * _GATHER <= mask.size
+                prefix = short.shape[1] * mask.size
+                right.spent += prefix + (len(i) * dim if single else 0)
+                cost += prefix + dim * (len(i) * _GATHER if single else mask.size)
+                gain += dim * mask.size
+            if single:
+                sim = _products(unit[lo:hi], right.unit[a:b], i, j, room)
+                mask, score = _judge(spec, sim, {c: v[i, 0] for c, v in mine.items()}, {c: v[0, j] for c, v in theirs.items()})
+                if k is not None:
+                    mask &= score >= least[i]
+                i, j, sim, score = i[mask], j[mask], sim[mask], score[mask].astype(np.float64)
+            else:
+                right.spent += dim * shape[0] * shape[1]
+                sim = np.round(unit[lo:hi] @ right.unit[a:b].T, DECIMALS)
+                mask, score = _judge(spec, sim, mine, theirs)
+                mask = mask if allowed is None else mask & allowed
+                if k is not None:
+                    mask &= score >= least[:, None]
+                    if k < shape[1]:
+                        usable = np.where(mask, score, -np.inf)
+                        mask &= usable >= -np.partition(-usable, k - 1, axis=1)[:, [k - 1]]
+                i, j = np.nonzero(mask)
+                sim, score = sim[i, j], score[i, j].astype(np.float64)
+            tie = np.zeros(len(i), dtype=np.int64)
+            if spec.hash_ties:
+                tie = (_mix(lhash[lo + i] + right.hash[a + j]) >> np.uint64(1)).astype(np.int64)
+            new = (i, a + j, sim, score, tie)
+            if k is None:
+                if len(i):
+                    yield (lo + i, *new[1:])
+                continue
+            if len(i):
+                kept = new if kept is None else tuple(np.concatenate(x) for x in zip(kept, new))
+                i, j, sim, score, tie = kept
+                order = np.lexsort((j, tie, -score, i))
+                start = np.r_[True, np.diff(i[order]) != 0]
+                rank = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+                last = order[rank == k - 1]
+                least[i[last]] = score[last]
+                kept = tuple(x[order[rank < k]] for x in kept)
+        if kept is not None:
+            yield (lo + kept[0], *kept[1:])
 
 
 def _best(left, right: _Side, spec: Spec) -> Iterator[pa.RecordBatch]:
-    lhash = None
-    if spec.hash_ties:
-        lhash = left.column("lhash").to_numpy().astype(np.int64).view(np.uint64)
-    for lo, sim, mask, score in _blocks(left, right, spec):
-        if spec.k is not None and spec.k < sim.shape[1]:
-            usable = np.where(mask, score, -np.inf)
-            kth = -np.partition(-usable, spec.k - 1, axis=1)[:, spec.k - 1]
-            mask &= usable >= kth[:, None]
-        i, j = np.nonzero(mask)
-        if not len(i):
-            continue
-        s = score[i, j].astype(np.float64)
-        tie = np.zeros(len(i), dtype=np.int64)
-        if spec.hash_ties:
-            tie = (_mix(lhash[lo + i] + right.hash[j]) >> np.uint64(1)).astype(np.int64)
-        if spec.k is not None:
-            order = np.lexsort((j, tie, -s, i))
-            i, j, s, tie = i[order], j[order], s[order], tie[order]
-            start = np.r_[True, i[1:] != i[:-1]]
-            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0))
-            top = rank < spec.k
-            i, j, s, tie = i[top], j[top], s[top], tie[top]
+    for i, j, sim, score, tie in _found(left, right, spec):
         taken = right.out.take(pa.array(j))
-        lid = left.column("lid").take(pa.array(lo + i))
+        lid = left.column("lid").take(pa.array(i))
         names = ["lid", "rid", "sim", "score", "tie", *spec.carry]
-        data = [lid, taken.column("rid"), pa.array(sim[i, j]), pa.array(s), pa.array(tie),
+        data = [lid, taken.column("rid"), pa.array(sim), pa.array(score), pa.array(tie),
                 *[taken.column(c) for c in spec.carry]]
         yield from pa.table(dict(zip(names, data))).combine_chunks().to_batches()
 
 
 def _count(left, right: _Side, spec: Spec) -> Iterator[pa.RecordBatch]:
     total = np.zeros(len(spec.counts), dtype=np.int64)
-    for _, sim, mask, _ in _blocks(left, right, spec):
-        kept = sim[mask]
-        total += np.array([(kept >= t).sum() for t in spec.counts], dtype=np.int64)
+    for _, _, sim, _, _ in _found(left, right, spec):
+        total += np.array([(sim >= t).sum() for t in spec.counts], dtype=np.int64)
     yield pa.RecordBatch.from_pydict({"threshold": pa.array(spec.counts, pa.float64()), "n": pa.array(total)})
 
 

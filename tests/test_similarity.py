@@ -1,6 +1,7 @@
 """The similarity join against a plain NumPy model, on all physical paths."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nodeflow import Params
@@ -11,15 +12,25 @@ BROADCAST = Params(dim=6)
 TILED = Params(dim=6, broadcast_bytes=0, tile_rows=20, group_rows=25, max_pivots=7)
 
 
-EVERY_PATH = pytest.mark.parametrize("params, pays", [(BROADCAST, None), (TILED, 1e9), (TILED, -1.0)], ids=["broadcast", "cells", "grid"])
+PATHS = {"broadcast": (BROADCAST, None), "cells": (TILED, 1e9), "grid": (TILED, -1.0)}
+EVERY_PATH = pytest.mark.parametrize("params, pays, prefixes", [(*v, p) for v in PATHS.values() for p in (False, True)],
+                                     ids=[f"{n}{p}" for n in PATHS for p in ("", "-prefixes")])
+
+
+def force_prefixes(monkeypatch, width):
+    """Prefixes for blocks of ``width`` right rows, whatever they cost."""
+    for name, value in (("_WIDTH", width), ("_GAIN", 1e9), ("_GATHER", 0)):
+        monkeypatch.setattr(similarity, name, value)
 
 
 @pytest.fixture(autouse=True)
 def forced_path(request, monkeypatch):
-    """Cells or the grid, whatever they cost."""
-    pays = getattr(request.node, "callspec", None) and request.node.callspec.params.get("pays")
-    if pays is not None:
-        monkeypatch.setattr(similarity, "_PAYS", pays)
+    """Cells or the grid, with prefixes or whole blocks, whatever they cost."""
+    given = request.node.callspec.params if hasattr(request.node, "callspec") else {}
+    if given.get("pays") is not None:
+        monkeypatch.setattr(similarity, "_PAYS", given["pays"])
+    if given.get("prefixes"):
+        force_prefixes(monkeypatch, 8)
 
 
 def vectors(n, seed, copies=0):
@@ -29,6 +40,19 @@ def vectors(n, seed, copies=0):
     return m
 
 
+def arrow(m, side, **attrs):
+    ids, vecs = pa.array(np.arange(len(m))), pa.array(list(m), pa.list_(pa.float64()))
+    return pa.table({f"{side}id": ids, f"{side}vec": vecs, f"{side}hash": pa.array(np.arange(len(m)) * 7919), **attrs})
+
+
+def kernel(left, right, spec):
+    """Sorted rows of the kernel in one task, the side and the coordinates it multiplied."""
+    side = similarity._Side(*similarity._side_parts(right, spec))
+    run = similarity._count if spec.counts else similarity._best
+    rows = pa.Table.from_batches(list(run(left.combine_chunks(), side, spec))).to_pydict()
+    return sorted(zip(*rows.values())), side
+
+
 def frame(spark, m, side, names=None):
     names = names or [f"{side}{i:04d}" for i in range(len(m))]
     rows = [(names[i], [float(x) for x in v], float(i)) for i, v in enumerate(m)]
@@ -42,7 +66,7 @@ def cosines(a, b):
 
 
 @EVERY_PATH
-def test_best_k(spark, params, pays):
+def test_best_k(spark, params, pays, prefixes):
     a, b = vectors(90, 1), vectors(150, 2, copies=50)
     sim = cosines(a, b)
     for k in (1, 4):
@@ -56,7 +80,7 @@ def test_best_k(spark, params, pays):
 
 
 @EVERY_PATH
-def test_weighted_score_and_gate(spark, params, pays):
+def test_weighted_score_and_gate(spark, params, pays, prefixes):
     a, b = vectors(40, 3), vectors(120, 4)
     sim = cosines(a, b)
     spec = Spec(floor=0.2, k=1, right_attrs=("rw",), carry=("rw",),
@@ -72,7 +96,7 @@ def test_weighted_score_and_gate(spark, params, pays):
 
 
 @EVERY_PATH
-def test_self_pairs_and_counts(spark, params, pays):
+def test_self_pairs_and_counts(spark, params, pays, prefixes):
     a = vectors(130, 5, copies=40)
     names = [f"n{i:04d}" for i in range(len(a))]
     sim = cosines(a, a)
@@ -147,3 +171,62 @@ def test_lone_low_threshold_leaves_other_cells_pruned(spark, monkeypatch):
     sim[sim < np.array(limits)[None, :]] = -2
     assert got == {i: int(np.argmax(sim[i])) for i in range(len(m))}
     assert copies[0] is not None and copies[0] < len(m) * 60
+
+
+SPECS = {
+    "floor": Spec(floor=0.8, k=None),
+    "after": Spec(floor=0.8, k=None, pairs="after"),
+    "best": Spec(k=3),
+    "others": Spec(k=2, pairs="other", hash_ties=True),
+    "counts": Spec(floor=0.8, counts=(0.8, 0.9)),
+    "weighted": Spec(k=2, right_attrs=("w",), score=lambda sim, L, R: sim * R["w"], keep=lambda sim, L, R: sim >= R["w"] / 4),
+    "left attribute": Spec(floor=0.75, k=2, left_attrs=("v",), right_attrs=("w",), keep=lambda sim, L, R: R["w"] < L["v"]),
+}
+
+
+def spectrum(n, power, seed):
+    """384 dimensions turned at random, the size of the i-th axis falling as i ** -power."""
+    rng = np.random.default_rng(seed)
+    turn = np.linalg.qr(np.random.default_rng(0).normal(size=(384, 384)))[0]
+    return (rng.normal(size=(n, 384)) * np.arange(1, 385) ** -power) @ turn
+
+
+@pytest.mark.parametrize("name", SPECS)
+def test_prefixes_save_products_and_lose_nothing(monkeypatch, name):
+    spec, rng = SPECS[name], np.random.default_rng(9)
+    right = spectrum(9000, 0.7, 1)
+    right[5000:5040] = right[0]  # ties
+    left = np.concatenate([right[:200] + 0.01 * rng.normal(size=(200, 384)), spectrum(200, 0.7, 2)])
+    extra = {"left": {"v": pa.array(rng.random(len(left)))}, "right": {"w": pa.array(rng.random(len(right)))}}
+    tables = arrow(left, "l", **extra["left"]), arrow(right, "r", **extra["right"])
+    got, side = kernel(*tables, spec)
+    monkeypatch.setattr(similarity, "_GAIN", -1.0)
+    want, whole = kernel(*tables, spec)
+    assert got == want and len(got) > 0
+    assert side.axes is not None and whole.axes is None
+    assert whole.spent == 384 * len(left) * len(right)
+    assert side.spent < whole.spent / (1.5 if spec.k else 3)  # with k, the first block is taken whole
+
+
+def test_prefixes_stay_away_where_they_do_not_pay(monkeypatch):
+    """Equal sizes along all axes: the sample shows no gain. Left rows the sample could not foresee: few blocks are tried."""
+    rng = np.random.default_rng(10)
+    even = rng.normal(size=(9000, 384))
+    got, side = kernel(arrow(even[:50], "l"), arrow(even, "r"), Spec(floor=0.5, k=None))
+    assert side.axes is None and len(got) == 50
+    right, spec = spectrum(9000, 0.7, 3), Spec(floor=0.8, k=None)
+    axes = kernel(arrow(right[:1], "l"), arrow(right, "r"), spec)[1].axes
+    near = axes[:, :4] @ np.array([3.0, 1, 1, 1]) + 0.01 * rng.normal(size=(4000, 384))
+    got, side = kernel(arrow(near, "l"), arrow(right, "r"), Spec(floor=0.3, counts=(0.3, 0.6)))
+    monkeypatch.setattr(similarity, "_GAIN", -1.0)
+    want, whole = kernel(arrow(near, "l"), arrow(right, "r"), Spec(floor=0.3, counts=(0.3, 0.6)))
+    assert got == want and side.spent < 1.2 * whole.spent
+
+
+def test_falling_scores_keep_prefixes_out(monkeypatch):
+    """A score that falls with the similarity is stated by the caller and gives the farthest rows."""
+    force_prefixes(monkeypatch, 8)
+    a, b = vectors(30, 11), vectors(60, 12)
+    spec = Spec(k=1, score=lambda sim, L, R: -sim, rising=False)
+    got, side = kernel(arrow(a, "l"), arrow(b, "r"), spec)
+    assert side.axes is None and [r[1] for r in got] == cosines(a, b).argmin(axis=1).tolist()
