@@ -130,11 +130,33 @@ class _Words(dict):
         return k
 
 
+# fixed values: settings of a vocabulary file under which words between white space can be encoded on their own
+_LOWER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_APART = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_PUNCTUATION = rb"[!-&(-/:;=?@\[-`{}~]"  # ASCII, without quotes and the signs around special tokens
+
+
+def words_apart(described: dict) -> bool:
+    """Whether texts of this vocabulary (its file as read) can be cut into words that are encoded alone."""
+    import re
+
+    def inside(token) -> bool:  # no cut falls into the token, and it takes nothing from beside it
+        content = token["content"].encode()
+        return not (token["lstrip"] or token["rstrip"] or token["single_word"] or token["normalized"]
+                    or re.search(_PUNCTUATION, content) or content.split() != [content])
+
+    model = described["model"]
+    return (described["normalizer"] == _LOWER and described["pre_tokenizer"] == _APART and model["type"] == "BPE"
+            and not model.get("dropout") and all(map(inside, described["added_tokens"])))
+
+
 class Encoder:
     """Ids of whole texts with a vocabulary that drops white space between words.
 
-    Each distinct word between ASCII white space is encoded once; a vocabulary of another kind encodes
-    whole texts.
+    Each distinct word between ASCII white space is encoded once; a vocabulary of another kind (see
+    ``words_apart``) encodes whole texts. A truncation or padding the file asks for is not made.
     """
 
     def __init__(self, path: str, end_id: int | None, known_words: int):
@@ -145,10 +167,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.vocabulary, self.end, self.limit = Tokenizer.from_file(path), end_id, known_words
+        self.vocabulary.no_truncation()
+        self.vocabulary.no_padding()
         with open(path, encoding="utf-8") as f:
-            pre = json.load(f)["pre_tokenizer"] or {}
-        first = (pre.get("pretokenizers") or [{}])[0]
-        self.by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "[^\\s" in first["pattern"].get("Regex", "")
+            self.by_word = words_apart(json.load(f))
         self.dtype = np.dtype("<u2" if max(self.vocabulary.get_vocab_size(), (end_id or 0) + 1) <= 65536 else "<u4")
         self._forget()
 
@@ -194,8 +216,8 @@ class Encoder:
 
         if len(self.words) > self.limit:
             self._forget()
-# a run of ASCII punctuation between a Latin letter and white space is a pre-token of its own
-        split = re.compile(rb"[!-&(-/:;=?@\[-`{}~](?:(?<=[a-zA-Z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-&(-/:;=?@\[-`{}~]*(?![^ \n])")
+        # a run of ASCII punctuation between a Latin letter and white space is a pre-token of its own
+        split = re.compile(_PUNCTUATION + rb"(?:(?<=[a-zA-Z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))" + _PUNCTUATION + rb"*(?![^ \n])")
         at, ends = [], []
         for t in texts:
             if t:

@@ -1,6 +1,7 @@
 """Binary token table: exact round trip and plain models."""
 
 import heapq
+import json
 import tempfile
 import zlib
 
@@ -64,6 +65,47 @@ def test_words_give_the_ids_of_whole_texts():
         assert bad == []
 
 
+def _without_lower(d):
+    d["normalizer"] = None
+
+
+def _no_lowercase(d):
+    d["normalizer"]["normalizers"].pop()
+
+
+def _token_with_marks(d):
+    d["added_tokens"].append({**d["added_tokens"][-1], "id": 49408, "content": "now,, a.b"})
+
+
+def _token_takes_space(d):
+    d["added_tokens"][-1]["rstrip"] = True
+
+
+def _letters_by_one(d):
+    split = d["pre_tokenizer"]["pretokenizers"][0]
+    split["pattern"]["Regex"] = split["pattern"]["Regex"].replace("[\\p{L}]+", "[\\p{L}]")
+
+
+def _short(d):
+    d["truncation"] = {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}
+
+
+@pytest.mark.parametrize("change, words", [(_without_lower, False), (_no_lowercase, False), (_token_with_marks, False),
+                                           (_token_takes_space, False), (_letters_by_one, False), (_short, True)])
+def test_other_vocabularies_give_the_ids_of_the_library(tmp_path, change, words):
+    with open(WORDS, encoding="utf-8") as f:
+        described = json.load(f)
+    change(described)
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(described, f)
+    tok, enc = Tokenizer.from_file(path), huffman.Encoder(path, 2, 50)
+    tok.no_truncation()
+    assert enc.by_word is words
+    texts = [r[1] for r in tricky_rows()] + ["Hello WORLD foo", "x now,, a.b y<|endoftext|>  Z. É"]
+    assert [g.tolist() for g in enc.texts(texts)] == [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
 @pytest.mark.parametrize("params", [huffman.HuffmanParams(), huffman.HuffmanParams(block_ids=500, mark_ids=16, shard_ids=3000)])
 def test_table_round_trip(spark, params):
     tok, rows = Tokenizer.from_file(WORDS), tricky_rows()
