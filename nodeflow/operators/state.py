@@ -131,8 +131,10 @@ class StateStore:
     def _bases(self) -> list[int]:
         return self._numbers(COMPACTIONS)
 
-    def read_log(self, name: str, keys: list[str], until: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
-        """The table as of version ``until`` (the last): the newest row of each key, without deleted ones."""
+    def read_log(self, name: str, keys: list[str], until: int | None = None, buckets: list[int] | None = None,
+                 unchanging: bool = False) -> DataFrame | None:
+        """The table as of version ``until`` (the last): the newest row of each key, without deleted ones.
+        ``unchanging`` logs hold each key once and are read without grouping."""
         versions = [v for v in self.versions() if until is None or v <= until]
         if not versions:
             return None
@@ -147,7 +149,7 @@ class StateStore:
         if buckets is not None:
             rows = rows.where(F.col("bucket").isin(buckets))
         columns = [c for c in schema.names if c not in ("written", "bucket", "deleted")]
-        if len(folders) > 1:
+        if len(folders) > 1 and not unchanging:
             rows = rows.groupBy(*keys).agg(F.max_by(F.struct("*"), "written").alias("_row")).select("_row.*")
         return rows.where(~F.col("deleted")).select(*columns)
 
