@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from nodeflow import Params
 from nodeflow.operators import fusion, routing, similarity
@@ -230,3 +231,32 @@ def test_falling_scores_keep_prefixes_out(monkeypatch):
     spec = Spec(k=1, score=lambda sim, L, R: -sim, rising=False)
     got, side = kernel(arrow(a, "l"), arrow(b, "r"), spec)
     assert side.axes is None and [r[1] for r in got] == cosines(a, b).argmin(axis=1).tolist()
+
+
+@pytest.mark.parametrize("params", [BROADCAST, TILED], ids=["broadcast", "tiled"])
+@pytest.mark.parametrize("pairs, k", [("all", 1), ("all", 3), ("other", 1), ("other", 3)])
+def test_equal_vectors_are_compared_once(spark, monkeypatch, params, pairs, k):
+    monkeypatch.setattr(similarity, "_FEW", 0, raising=False)
+    kinds = vectors(3, 5)
+    m = kinds[np.arange(240) % 3]
+    names = [f"x{(i * 7) % 240:04d}" for i in range(240)]
+    judged = spark.sparkContext.accumulator(0)
+
+    def keep(sim, L, R):
+        judged.add(int(sim.size))
+        return sim >= -0.9
+
+    spec = Spec(floor=-0.9, k=k, pairs=pairs, right_attrs=("rw",), carry=("rw",), keep=keep,
+                score=lambda sim, L, R: sim + R["rw"])
+    right = frame(spark, m, "r", names).withColumn("rw", (F.col("rw") % 2) / 100)
+    got = match(frame(spark, m, "l", names), right, spec, params).collect()
+    unit = kinds / np.linalg.norm(kinds, axis=1)[:, None]
+    sims = np.round(unit @ unit.T, 9)
+    want = set()
+    for i in range(240):
+        found = sorted((-(sims[i % 3, j % 3] + j % 2 / 100), names[j], j) for j in range(240)
+                       if sims[i % 3, j % 3] >= -0.9 and (pairs == "all" or i != j))[:k]
+        want |= {(names[i], name, round(sims[i % 3, j % 3], 6), round(-score, 6), j % 2 / 100) for score, name, j in found}
+    assert len(got) == len(want)
+    assert {(r.lid, r.rid, round(r.sim, 6), round(r.score, 6), r.rw) for r in got} == want
+    assert judged.value <= 2 * 3 * 6 * (k + 1)  # 240 * 240 pairs otherwise
