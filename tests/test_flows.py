@@ -428,3 +428,17 @@ def test_deferred_training_links_every_step(spark):
     assert events == {("late", "PROGRESSIVE_ADOPTION", "titan"), ("orphan", "SANITIZATION", "dead"), ("adoptee", "PROGRESSIVE_ADOPTION", "root"),
                       ("fails", "FORCED_ROOT", None), ("child", "SANITIZATION", "fails"), ("child", "PROGRESSIVE_ADOPTION", "titan")}
     assert [r.node_id for r in out["queue"].collect()] == ["child"]
+
+
+def test_a_stream_batch_is_written_by_several_tasks(spark, monkeypatch):
+    from nodeflow.queries import flows
+
+    monkeypatch.setattr(flows, "_FILE_ROWS", 10, raising=False)
+    rows = spark.range(95).select(F.col("id"), (F.lit(94) - F.col("id")).alias("place"))
+    seen = {}
+    stream = flows._stream(spark, rows, "place", 3).writeStream.foreachBatch(
+        lambda batch, i: seen.update({i: [(r.place, r.file) for r in batch.select("place", F.input_file_name().alias("file")).collect()]}))
+    flows._finish(stream.trigger(availableNow=True).start())
+    batches = [seen[i] for i in sorted(seen)]
+    assert [len({file for _, file in b}) for b in batches] == [4, 4, 4]
+    assert [p for b in batches for p in sorted(place for place, _ in b)] == list(range(95))
