@@ -260,3 +260,27 @@ def test_equal_vectors_are_compared_once(spark, monkeypatch, params, pairs, k):
     assert len(got) == len(want)
     assert {(r.lid, r.rid, round(r.sim, 6), round(r.score, 6), r.rw) for r in got} == want
     assert judged.value <= 2 * 3 * 6 * (k + 1)  # 240 * 240 pairs otherwise
+
+
+POOL = pa.proxy_memory_pool(pa.default_memory_pool())  # has to outlive what it holds
+
+
+def test_a_right_side_is_held_once():
+    """Building it takes little more than the matrix itself, beside the rows it is built from."""
+    import tracemalloc
+
+    m = np.random.default_rng(3).normal(size=(40_000, 64))
+    rows = pa.table({"rid": pa.array(np.arange(len(m))[::-1]), "rhash": pa.array(np.arange(len(m))),
+                     "rvec": pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * 64, pa.int32()), pa.array(m.ravel()))})
+    was = pa.default_memory_pool()
+    pa.set_memory_pool(POOL)
+    tracemalloc.start()
+    try:
+        unit, ids, *_ = similarity._side_parts(rows, Spec(k=None, rising=False))
+        arrow, plain = POOL.max_memory(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(was)
+    assert (np.diff(ids) > 0).all()
+    np.testing.assert_allclose(unit, (m / np.linalg.norm(m, axis=1)[:, None])[::-1])
+    assert arrow + plain < 1.5 * m.nbytes
