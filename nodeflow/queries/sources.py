@@ -19,8 +19,9 @@ CLEAN = f"trim(text, {WHITE_SQL})"
 
 
 def _spread(df, key):
-    """Lay rows out in key order over several files."""
-    return df.repartitionByRange(4, key).sortWithinPartitions(key)
+    """Lay rows out in key order over several files, as many as a shuffle has parts."""
+    files = max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionByRange(files, key).sortWithinPartitions(key)
 
 
 @query("src_wide_vectors", """

@@ -246,3 +246,14 @@ def test_json_lists_are_cut_at_the_same_places(spark, tmp_path, small_splits, in
 def test_a_list_that_breaks_off_keeps_its_records(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"id": "1", "text": "x"}, {"id": "2", "text": "y"}, {"id": "3", "te')
     assert {x.source_id: x.text for x in S.read_json(spark, str(tmp_path)).collect()} == {"1": "x", "2": "y"}
+
+
+def test_files_in_key_order_are_written_by_all_parts_of_a_shuffle(spark):
+    from nodeflow.queries.sources import _spread
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _spread(spark.range(10_000).select((F.lit(9_999) - F.col("id")).alias("key")), "key")
+    placed = rows.withColumn("part", F.spark_partition_id()).collect()
+    sizes = [sum(r.part == p for r in placed) for p in range(parts)]
+    assert parts > 4 and max(sizes) < 10_000 // 4
+    assert [r.key for r in placed] == list(range(10_000))
