@@ -78,14 +78,16 @@ def src_json_records(spark, sf):
     docs.withColumnRenamed("doc_id", "paper_id").write.json(path)
     lines = S.read_jsonl(spark, path).withColumn("layout", F.lit("lines"))
 
+    # both layouts from one grouping: texts are shuffled once
+    grouped = docs.groupBy(F.floor(F.col("doc_id") / 500).alias("file")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("id"), "text"))).alias("records"))
+
     def records(letter, field):
-        one = F.struct(F.concat(F.lit(letter), F.col("doc_id")).alias("id"), F.col("text").alias(field))
-        return docs.groupBy(F.floor(F.col("doc_id") / 500).alias("file")).agg(F.sort_array(F.collect_list(one)).alias("records"))
+        return F.transform("records", lambda r: F.struct(F.concat(F.lit(letter), r["id"]).alias("id"), r["text"].alias(field)))
 
     folder = scratch_path(spark, "documents")
-    listed = records("a", "abstract").select(F.to_json("records").alias("value"))
-    wrapped = records("w", "content").select(F.to_json(F.struct(F.col("records").alias("papers"))).alias("value"))
-    listed.unionByName(wrapped).write.option("maxRecordsPerFile", 1).text(folder)
+    layouts = F.array(F.to_json(records("a", "abstract")), F.to_json(F.struct(records("w", "content").alias("papers"))))
+    grouped.select(F.explode(layouts).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     whole = S.read_json(spark, folder)
     return lines.unionByName(whole.withColumn("layout", F.when(F.col("source_id").startswith("a"), "list").otherwise("wrapped")))
 

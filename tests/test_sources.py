@@ -257,3 +257,17 @@ def test_files_in_key_order_are_written_by_all_parts_of_a_shuffle(spark):
     sizes = [sum(r.part == p for r in placed) for p in range(parts)]
     assert parts > 4 and max(sizes) < 10_000 // 4
     assert [r.key for r in placed] == list(range(10_000))
+
+
+def test_json_layouts_share_one_grouping(spark, sf, monkeypatch):
+    """Texts are shuffled once for lists and wrapped lists together."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from nodeflow.queries import sources
+
+    groupings = []
+    grouped = DataFrame.groupBy
+    monkeypatch.setattr(DataFrame, "groupBy", lambda self, *c: (groupings.append(self.columns), grouped(self, *c))[1])
+    rows = sources.src_json_records(spark, sf).groupBy("layout").count().collect()
+    assert len(rows) == 3 and len({r["count"] for r in rows}) == 1
+    assert sum("text" in columns and "doc_id" in columns for columns in groupings) == 1
