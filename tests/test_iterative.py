@@ -47,6 +47,30 @@ def test_leaders_follow_the_sequential_order(spark, params):
     assert got == set(sequential_leaders(cos(m), params.s_min))
 
 
+@pytest.mark.parametrize("params", [BASE, NARROW, TILED], ids=["base", "narrow", "tiled"])
+def test_rounds_find_the_leaders_of_heads_beyond_one_task(spark, params):
+    m = points(120, 7, copies=40)
+    rows = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(m)], "id bigint, rank bigint, vec array<double>")
+    got = {r.id for r in elect_leaders(rows.repartition(5), params.s_min, replace(params, leader_task_rows=0)).collect()}
+    assert got == set(sequential_leaders(cos(m), params.s_min))
+
+
+def test_a_head_that_fits_one_task_is_settled_at_once(spark, monkeypatch):
+    """Chains of neighbours, several steps of the walk, equal ranks and rows without a proper vector; the number
+    of intermediate tables depends on the heads alone."""
+    angle = np.cumsum(np.random.default_rng(5).uniform(0.0, 0.6, 700))
+    m = np.c_[np.cos(angle), np.sin(angle), np.zeros((700, DIM - 2))]
+    data = [(i, i, v.tolist()) for i, v in enumerate(m)]
+    data += [(1000, 1000, None), (1001, 1001, [1.0, 0.0]), (1002, 3000, m[0].tolist()), (1003, -1, (-m[0]).tolist()), (1004, -1, (-m[0]).tolist())]
+    rows = spark.createDataFrame(data, "id bigint, rank bigint, vec array<double>").repartition(5)
+    cuts, cut = [], leaders_module.cut
+    monkeypatch.setattr(leaders_module, "cut", lambda df: cuts.append(1) or cut(df))
+    got = {r.id for r in elect_leaders(rows, 0.6, BASE).collect()}
+    assert len(cuts) == 1
+    assert got == {r.id for r in elect_leaders(rows, 0.6, replace(BASE, leader_task_rows=0)).collect()}
+    assert {1000, 1001, 1003, 1004} < got and 1002 not in got
+
+
 def test_sparse_rows_need_few_heads(spark, monkeypatch):
     """Rows without a neighbour: heads double, so their number grows with the logarithm."""
     m = np.eye(256)
