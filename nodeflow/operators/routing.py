@@ -38,11 +38,12 @@ def route_matches(rows: DataFrame, nodes: DataFrame, params: Params) -> DataFram
     return best.select(F.col("lid").alias("row_id"), F.col("rid").alias("node_id"), "score", "sim", "threshold")
 
 
-def route(rows: DataFrame, nodes: DataFrame, params: Params) -> DataFrame:
-    """One decision per row; rows without a node go to NEW_BUFFER with score 0."""
+def route(rows: DataFrame, nodes: DataFrame, params: Params, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One decision per row; rows without a node go to NEW_BUFFER with score 0. ``carry``: other columns that stay."""
     found = route_matches(rows, nodes, params)
-    return rows.select("row_id").join(found, "row_id", "left").select(
+    return rows.select("row_id", *carry).join(found, "row_id", "left").select(
         "row_id",
+        *carry,
         F.coalesce(F.col("node_id").cast("string"), F.lit(NEW_BUFFER)).alias("node_id"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
         "sim",

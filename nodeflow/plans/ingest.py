@@ -31,12 +31,13 @@ def empty_state(spark: SparkSession) -> State:
 
 def decide(rows: DataFrame, nodes: DataFrame, params: Params) -> DataFrame:
     """rows + decision: NODE, REJECTED (routed, but its node's filter or the feedback says no) or MISS."""
-    routed = routing.route(rows, nodes, params)
+    others = tuple(c for c in rows.columns if c != "row_id")
+    routed = routing.route(rows.where("row_id IS NOT NULL"), nodes, params, others)
     low = R.feedback(F.col("confidence"), params)["status"] == routing.NEW_BUFFER
     sent = F.col("node_id") != routing.NEW_BUFFER
     kept = (F.round("sim", 9) >= params.s_min) & ~(F.col("confidence").isNotNull() & low)
     verdict = F.when(~sent, "MISS").when(kept, "NODE").otherwise("REJECTED")
-    return rows.join(routed, "row_id").withColumn("decision", verdict)
+    return routed.withColumn("decision", verdict)
 
 
 def process_batch(state: State, rows: DataFrame, params: Params) -> State:

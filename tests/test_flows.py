@@ -115,6 +115,30 @@ def test_batches_equal_the_plain_model(spark):
     assert sum(g[0] for g in got) + sum(held) == 180
 
 
+def jobs_of(spark, name, run):
+    """What ``run`` returns and the number of Spark jobs it took."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    out = run()
+    n = len(sc.statusTracker().getJobIdsForGroup(name))
+    sc.setJobGroup("others", "others")
+    return out, n
+
+
+def test_jobs_of_a_batch_do_not_grow_with_its_rows(spark):
+    few, many = (jobs_of(spark, f"batch-{n}", lambda: process_batch(
+        empty_state(spark), spark.createDataFrame(batch(n, 9), SCHEMA).withColumn("rank", F.col("row_id")), replace(P, s_min=0.9)))[1]
+        for n in (60, 600))
+    assert 0 < many <= few + 8 and many < 70
+
+
+def test_rows_without_an_id_stay_out_of_the_decisions(spark):
+    rows = [*batch(40, 5), (None, "d:none", [1.0, 0.0, 0.0, 0.0], None)]
+    out = process_batch(empty_state(spark), spark.createDataFrame(rows, SCHEMA).withColumn("rank", F.coalesce("row_id", F.lit(99))), P)
+    assert sorted(r.row_id for r in out["decisions"].collect()) == list(range(40))
+    assert out["nodes"].agg(F.sum("mass")).first()[0] + out["buffers"].count() == 40
+
+
 def test_fusion_conserves_mass_and_pointers(spark):
     state = ingest(spark.createDataFrame(batch(150, 9), SCHEMA), replace(P, s_min=0.9), batches=2)
     before = state["nodes"].agg(F.sum("mass")).first()[0]

@@ -265,6 +265,15 @@ def test_equal_vectors_are_compared_once(spark, monkeypatch, params, pairs, k):
 POOL = pa.proxy_memory_pool(pa.default_memory_pool())  # has to outlive what it holds
 
 
+def test_without_right_rows_no_left_row_is_read(spark):
+    """The first batch of a run meets no node and no buffer."""
+    left = spark.range(3).select(F.col("id").alias("row_id"), F.raise_error(F.lit("was read")).cast("array<double>").alias("embedding"))
+    nodes = spark.createDataFrame([], "node_id string, centroid array<double>, mass bigint")
+    assert routing.route_matches(left, nodes, BROADCAST).collect() == []
+    got = routing.route(left, nodes, BROADCAST).orderBy("row_id").collect()
+    assert [tuple(r) for r in got] == [(i, routing.NEW_BUFFER, 0.0, None, None) for i in range(3)]
+
+
 def test_a_right_side_is_held_once():
     """Building it takes little more than the matrix itself, beside the rows it is built from."""
     import tracemalloc
