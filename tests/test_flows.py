@@ -466,3 +466,17 @@ def test_a_stream_batch_is_written_by_several_tasks(spark, monkeypatch):
     batches = [seen[i] for i in sorted(seen)]
     assert [len({file for _, file in b}) for b in batches] == [4, 4, 4]
     assert [p for b in batches for p in sorted(place for place, _ in b)] == list(range(95))
+
+
+def test_files_of_a_stream_use_the_cores(spark, monkeypatch):
+    from nodeflow.queries import flows
+
+    monkeypatch.setattr(flows, "_TASK_ROWS", 10, raising=False)
+    rows, cores = spark.range(400).select("id"), spark.sparkContext.defaultParallelism
+    seen = {}
+    stream = flows._stream(spark, rows, "id", 2).writeStream.foreachBatch(
+        lambda batch, i: seen.update({i: [(r.id, r.file) for r in batch.select("id", F.input_file_name().alias("file")).collect()]}))
+    flows._finish(stream.trigger(availableNow=True).start())
+    batches = [seen[i] for i in sorted(seen)]
+    assert [len({file for _, file in b}) for b in batches] == [min(cores, 20)] * 2
+    assert [i for b in batches for i in sorted(i for i, _ in b)] == list(range(400))
