@@ -66,8 +66,8 @@ def sizes(docs: DataFrame, text: str, group_bytes: int) -> tuple[int, int]:
     return groups, min(30, max(1, int(parts - 1).bit_length()))
 
 
-def grouped(docs: DataFrame, groups: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(q, doc_id, body): rows by group, texts compressed."""
+def closed(docs: DataFrame, groups: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(q, doc_id, body): rows with their group, texts compressed."""
     q = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(groups))
     given = docs.select(q.alias("q"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
@@ -78,7 +78,12 @@ def grouped(docs: DataFrame, groups: int, text: str = "text", doc_id: str = "doc
         for pdf in batches:
             yield pd.DataFrame({"q": pdf["q"], "doc_id": pdf["doc_id"].astype("Int64"), "body": [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in pdf["text"]]})
 
-    return given.mapInPandas(close, "q long, doc_id long, body binary").repartition(groups, "q")
+    return given.mapInPandas(close, "q long, doc_id long, body binary")
+
+
+def grouped(docs: DataFrame, groups: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(q, doc_id, body): rows by group, texts compressed."""
+    return closed(docs, groups, text, doc_id).repartition(groups, "q")
 
 
 def opened(pdf: pd.DataFrame) -> list[tuple[int, bytes]]:

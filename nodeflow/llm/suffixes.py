@@ -4,16 +4,20 @@ Sorting every suffix of a corpus would shuffle many times its size, so only plac
 reach a suffix array. Each window of ``window`` bytes has one anchor, the smallest hash of its runs of
 ``gram`` bytes (the first of equals): equal windows have equal anchors at equal offsets. Anchors that occur
 once in the corpus drop out. The bytes around the others travel to the part of the hash space of their
-anchor, each distinct string of a group of documents once with its smallest doc_id.
+anchor, each distinct string of a group of documents once with its smallest doc_id. Strings overlap: where
+everything repeats they hold several times the text. So their volume is counted first, and the parts are
+served in rounds of bounded volume; the files of a round go before the next one starts.
 
 A part joins its strings into one text and builds its suffix array with the difference cover of period
 three: the suffixes at two of three places are named by their sorted triples, a recursion on the names
 ranks them, the third kind is sorted by (byte, rank of the next suffix) and merged in. Adjacent suffixes
-that agree in ``window`` bytes form a class; its smallest document goes back to all strings of the class.
+that agree in ``window`` bytes form a class; all strings of the class that come later than its smallest
+document learn so. A suffix array covers some anchors at a time, which bounds its memory.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -22,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeflow.llm.base import NO_ID, mixed, runs
-from nodeflow.llm.packed import ASK, HASH_BITS, REPLY, Hashes, grouped, joined, opened, packed, parted, repeated, sizes, unpacked
+from nodeflow.llm.packed import ASK, HASH_BITS, REPLY, Hashes, closed, joined, opened, packed, parted, repeated, sizes, unpacked
+from nodeflow.session import written
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-PIECE = 1 << 22  # bytes in which a long text is read; pieces overlap by a window
+PIECE = 1 << 16  # bytes of a group's texts read at a time; pieces overlap by a window
+ROUND = 1.8  # bytes of strings that travel in one round for each byte of text
+ARRAY_BYTES = 1 << 21  # of strings in one suffix array; the strings of one anchor stay together
 
 
 # ---- suffix array
@@ -88,19 +95,16 @@ def suffix_array(text: np.ndarray, depth: int | None = None, step: int = 1) -> n
     return out
 
 
-def _words8(b: np.ndarray) -> np.ndarray:
+def _words8(b: bytes) -> np.ndarray:
     """The eight bytes at every place as one integer; zeros follow the end."""
-    x = np.concatenate((b, np.zeros(8, np.uint8))).astype(np.uint64)
-    for k, shift in ((1, 8), (2, 16), (4, 32)):
-        x[:-k] |= x[k:] << np.uint64(shift)
-    return x[: len(b)]
+    return np.ndarray(len(b), "<u8", bytes(b) + bytes(8), strides=(1,))
 
 
 def classes(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Class of the window at each place of the strings joined, and the places that hold a whole window."""
     lens = np.array([len(x) for x in strings], np.int64)
-    raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
-    text = raw.astype(np.int64) + 2
+    raw = b"\0".join(strings) + b"\0"
+    text = np.frombuffer(raw, np.uint8).astype(np.int64) + 2
     ends = np.cumsum(lens + 1) - 1
     text[ends] = 1
     whole = np.zeros(len(text), bool)
@@ -122,16 +126,17 @@ def classes(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
 
 # ---- anchors of windows
 
-def _anchors(text: bytes, window: int, gram: int):
-    """Anchor hash of runs of windows: (first start, last start, hash) in order, over pieces of the text."""
+def _anchors(text: bytes, begins: np.ndarray, ends: np.ndarray, window: int, gram: int):
+    """Anchors of runs of windows inside the documents of a text: (first start, last start, hash, place after the
+    first start) in order, over pieces of the text."""
     span = window - gram + 1
     for at in range(0, max(0, len(text) - window + 1), PIECE):
-        b = np.frombuffer(text[at : at + PIECE + window - 1], np.uint8)
+        b = text[at : at + PIECE + window - 1]
         eight = _words8(b)
         n = len(b) - gram + 1
         h = np.zeros(n, np.uint64)
         for k in range(0, gram, 8):
-            h = mixed(h ^ eight[k : k + n]) if k + 8 <= gram else h
+            h = mixed(h ^ eight[k : k + n])
         low = (h >> np.uint64(24) << np.uint64(24)) | np.arange(n, dtype=np.uint64)
         width = 1
         while width * 2 <= span:
@@ -139,65 +144,110 @@ def _anchors(text: bytes, window: int, gram: int):
             width *= 2
         if width < span:
             low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-        edge = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        # smallest hashes crowd near zero, so they are mixed again before they name a part
-        key = mixed(h[(low[edge] & np.uint64(0xFFFFFF)).astype(np.int64)]) >> np.uint64(64 - HASH_BITS)
-        yield at + edge, at + np.append(edge[1:], len(low)) - 1, key
+        some = slice(int(np.searchsorted(ends, at, "right")), int(np.searchsorted(begins, at + len(low))))
+        x, y = (np.clip(e - at, 0, len(low)) for e in (begins[some], ends[some] - window + 1))
+        step = np.zeros(len(low) + 1, np.int8)
+        step[x[y > x]] += 1
+        step[y[y > x]] -= 1
+        whole = np.cumsum(step[:-1], dtype=np.int8) > 0  # the window lies in one document
+        new = (low[1:] != low[:-1]) | ~whole[1:] | ~whole[:-1]
+        first, last = (np.flatnonzero(whole & edge) for edge in (np.append(True, new), np.append(new, True)))
+        place = (low[first] & np.uint64(0xFFFFFF)).astype(np.int64)
+        yield at + first, at + last, _named(h[place]), place - first
+
+
+def _named(h: np.ndarray) -> np.ndarray:
+    """Smallest hashes crowd near zero, so they are mixed again before they name a part."""
+    return mixed(h) >> np.uint64(64 - HASH_BITS)
 
 
 class _Group:
     def __init__(self, pdf: pd.DataFrame, window: int, gram: int, bits: int):
         self.docs, self.window, self.bits = opened(pdf), window, bits
-        self.spans = []
-        for _, text in self.docs:
-            found = list(_anchors(text, window, gram))
-            self.spans.append(tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64 if k == 2 else np.int64) for k in range(3)))
-        self.keys = Hashes([h for *_, h in self.spans], bits)
+        self.text = b"".join(text for _, text in self.docs)
+        ends = np.cumsum([len(text) for _, text in self.docs], dtype=np.int64)
+        self.begins = np.append(0, ends[:-1])
+        found = [*_anchors(self.text, self.begins, ends, window, gram)]
+        self.first, self.last, h, self.inside = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.uint64 if k == 2 else np.int64)]) for k in range(4))
+        self.keys = Hashes([h], bits)
 
     def strings(self, replies: pd.DataFrame):
-        """Distinct strings around repeated anchors in the order of their anchors, the anchors, how often each
-        string occurs, and the document and start of every occurrence in the order of the strings."""
-        live, at, index, which = self.keys.live(replies)[self.keys.inverse], 0, {}, []
-        place, docs, starts, anchors = index.setdefault, [], [], []
-        for d, ((_, text), (first, last, h)) in enumerate(zip(self.docs, self.spans)):
-            mine = np.flatnonzero(live[at : at + len(h)])
-            at += len(h)
-            a = first[mine]
-            which += [place(text[x:y], len(index)) for x, y in zip(a.tolist(), (last[mine] + self.window).tolist())]
-            docs.append(np.full(len(a), d))
-            starts.append(a)
-            anchors.append(h[mine])
-        if not which:
-            return [], *(np.zeros(0, np.int64) for _ in range(4))
-        which, docs, starts = np.array(which, np.int64), np.concatenate(docs), np.concatenate(starts)
-        anchor = np.zeros(len(index), np.int64)
-        anchor[which] = np.concatenate(anchors)  # a string has one anchor
-        order = np.argsort(anchor, kind="stable")
+        """Distinct strings around repeated anchors by part and first document, their parts, the places of their
+        anchors, how often each string occurs, and the document and start of every occurrence in the order of
+        the strings."""
+        mine = np.flatnonzero(self.keys.live(replies)[self.keys.inverse])
+        if not len(mine):
+            return [], *(np.zeros(0, np.int64) for _ in range(5))
+        index, text, starts = {}, self.text, self.first[mine]
+        place = index.setdefault
+        which = np.array([place(text[x:y], len(index)) for x, y in zip(starts.tolist(), (self.last[mine] + self.window).tolist())], np.int64)
+        part, inside = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
+        part[which] = self.keys.flat[mine] >> np.uint64(HASH_BITS - self.bits)  # a string has one anchor
+        inside[which] = self.inside[mine]
+        order = np.argsort(part, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         by = np.argsort(rank[which], kind="stable")
-        known = list(index)
-        return [known[i] for i in order.tolist()], anchor[order], np.bincount(rank[which]), docs[by], starts[by]
+        known, starts = list(index), starts[by]
+        docs = np.searchsorted(self.begins, starts, "right") - 1
+        return [known[i] for i in order.tolist()], part[order], inside[order], np.bincount(rank[which]), docs, starts
+
+
+def _repeated(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """As ``repeated``, with the number of their occurrences in the group (the flags from bit 2 on) as n."""
+    live, sent = repeated(key, pdf), dict(zip(pdf["q"], pdf["body"]))
+    live["n"] = [int((unpacked(parted(sent[q])[1]) >> 2)[np.cumsum(unpacked(b))].sum()) for q, b in zip(live["q"], live["body"])]
+    return live.astype({"n": "int64"})
+
 
+def _rounds(found: int, text_bytes: int, window: int, gram: int) -> int:
+    """Rounds in which the strings around ``found`` anchors travel: an anchor has some half a span of windows."""
+    return max(1, -(-found * (window - 1 + (window - gram + 2) // 2) // max(1, int(ROUND * text_bytes))))
 
-def _asked(strings, anchors, count, d, a, docs, bits, q, window):
+
+def _asked(strings, part, inside, count, d, at, docs, q, window):
     rows = []
     if strings:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1)
-        part, size = anchors >> (HASH_BITS - bits), np.fromiter(map(len, strings), np.int64, len(strings))
+        size = np.fromiter(map(len, strings), np.int64, len(strings))
         least = np.minimum.reduceat(np.array([i for i, _ in docs], np.int64)[d], np.cumsum(count) - count)
         edge = np.flatnonzero(np.diff(part, prepend=-1))
         for x, y in zip(edge.tolist(), np.append(edge[1:], len(part)).tolist()):
-            rows.append((int(part[x]), q, joined(packed(size[x:y]), packed(np.diff(anchors[x:y], prepend=0)), press.compress(b"".join(strings[x:y])), packed(np.diff(least[x:y], prepend=0)))))
+            rows.append((int(part[x]), q, joined(packed(size[x:y]), packed(inside[x:y]), press.compress(b"".join(strings[x:y])), packed(np.diff(least[x:y], prepend=0)))))
         # what the group needs of its strings when the answers come: a part of its own brings it back
-        rows.append((-1 - q, q, joined(*map(packed, (part, size - window + 1, count, d, a)))))
+        rows.append((-1 - q, q, joined(*map(packed, (part, size - window + 1, count, np.diff(at, prepend=0))))))
     return pd.DataFrame(rows, columns=["part", "q", "body"]).astype({"part": "int64", "q": "int64"})
 
 
-def _earliest(key, pdf: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Smallest document of each window of the strings asked about, where smaller than the string's own."""
+def _least(strings: list[bytes], anchor: np.ndarray, windows: np.ndarray, every: np.ndarray, window: int):
+    """Smallest document of each window of the strings that share their anchor with another string, one string
+    after the other, and where those of each string begin (-1: the string is alone)."""
+    _, inverse, times = np.unique(anchor, return_inverse=True, return_counts=True)
+    # equal windows lie in strings of one anchor, so a string alone under its anchor meets no other
+    shared = np.flatnonzero(times[inverse] > 1)
+    shared = shared[np.argsort(inverse[shared], kind="stable")]
+    start, n = np.full(len(strings), -1), windows[shared]
+    ends = np.cumsum(n)
+    start[shared] = ends - n
+    smallest = np.zeros(int(n.sum()), np.int64)
+    # whole anchors, up to so many bytes in one suffix array
+    last = np.flatnonzero(np.diff(inverse[shared], append=-1)) + 1
+    size = np.cumsum(n + window)
+    x = 0
+    while x < len(shared):
+        y = max(int(last[np.searchsorted(last, x, "right")]), int(last[last <= np.searchsorted(size, (size[x - 1] if x else 0) + ARRAY_BYTES, "right")].max(initial=0)))
+        label, places = classes([strings[i] for i in shared[x:y].tolist()], window)
+        least = np.full(int(label.max(initial=0)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, label[places], np.repeat(every[shared[x:y]], n[x:y]))
+        smallest[ends[x] - n[x] : ends[y - 1]] = least[label[places]]
+        x = y
+    return smallest, start
+
+
+def _earliest(key, pdf: pd.DataFrame, window: int, gram: int) -> pd.DataFrame:
+    """Runs of windows of the strings asked about that also lie in a document smaller than the string's own."""
     import zstandard
 
     if key[0] < 0:
@@ -205,48 +255,32 @@ def _earliest(key, pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     sent, index = [], {}
     place = index.setdefault
     for q, body in zip(pdf["q"], pdf["body"]):
-        lens, anchors, data, least = parted(body)
+        lens, inside, data, least = parted(body)
         lens = unpacked(lens)
         data, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(lens)
         mine = [place(data[x:y], len(index)) for x, y in zip((ends - lens).tolist(), ends.tolist())]
-        sent.append((q, np.array(mine, np.int64), np.cumsum(unpacked(anchors)), np.cumsum(unpacked(least))))
+        eight, at, h = _words8(data), ends - lens + unpacked(inside), np.zeros(len(lens), np.uint64)
+        for k in range(0, gram, 8):
+            h = mixed(h ^ eight[at + k])
+        sent.append((q, np.array(mine, np.int64), _named(h).astype(np.int64), np.cumsum(unpacked(least))))
     strings = list(index)
     windows = np.fromiter(map(len, strings), np.int64, len(strings)) - window + 1
     every, anchor = np.full(len(strings), np.iinfo(np.int64).max), np.zeros(len(strings), np.int64)
     for _, mine, h, own in sent:
         np.minimum.at(every, mine, own)
         anchor[mine] = h
-    # equal windows lie in strings of one anchor, so a string alone under its anchor meets no other
-    _, inverse, times = np.unique(anchor, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(times[inverse] > 1)
-    start = np.zeros(len(strings), np.int64)
-    smallest = np.zeros(0, np.int64)
-    meets = np.zeros(len(strings), bool)
-    if len(shared):
-        meets[shared] = True
-        n = windows[shared]
-        start[shared] = np.cumsum(n) - n
-        owner = np.repeat(every[shared], n)
-        label, places = classes([strings[i] for i in shared.tolist()], window)
-        least = np.full(int(label.max(initial=0)) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, label[places], owner)
-        smallest = least[label[places]]
+    smallest, start = _least(strings, anchor, windows, every, window)
     out = []
     for q, mine, _, own in sent:
-        base = np.cumsum(windows[mine]) - windows[mine]
-        where, what = [], []
-        for some in (meets[mine], ~meets[mine] & (every[mine] < own)):
-            i = np.flatnonzero(some)
-            n = windows[mine[i]]
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            value = smallest[np.repeat(start[mine[i]], n) + inside] if meets[mine[i]].any() else np.repeat(every[mine[i]], n)
-            better = np.flatnonzero(value < np.repeat(own[i], n))
-            where.append((np.repeat(base[i], n) + inside)[better])
-            what.append(value[better])
-        where, what = np.concatenate(where), np.concatenate(what)
-        if len(where):
-            by = np.argsort(where)
-            out.append((q, joined(packed(np.diff(where[by], prepend=0)), packed(np.diff(what[by], prepend=0)))))
+        n, meets = windows[mine], start[mine] >= 0
+        base, i = np.cumsum(n) - n, np.flatnonzero(meets)
+        better = np.repeat(~meets & (every[mine] < own), n)
+        if len(i):
+            inside = np.arange(n[i].sum()) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
+            better[np.repeat(base[i], n[i]) + inside] = smallest[np.repeat(start[mine[i]], n[i]) + inside] < np.repeat(own[i], n[i])
+        x, y = runs(better)
+        if len(x):
+            out.append((q, joined(packed(np.diff(x, prepend=0)), packed(y - x))))
     return pd.DataFrame({"q": [q for q, _ in out], "part": key[0], "body": [b for _, b in out]}).astype({"q": "int64", "part": "int64"})
 
 
@@ -261,53 +295,65 @@ def drop_repeats(docs: DataFrame, window: int = 50, gram: int = 24, group_bytes:
     if gram % 8 or not 8 <= gram <= window:
         raise ValueError("gram is a multiple of 8 up to the window")
     groups, bits = sizes(docs, text, group_bytes)
-    dealt = grouped(docs, groups, text, doc_id)
+    dealt = written(closed(docs, groups, text, doc_id), "texts").repartition(groups, "q")
 
     def ask(key, pdf):
         g = _Group(pdf, window, gram, bits)
-        return g.keys.ask(key[0], (g.keys.counts > 1) | np.full(len(g.keys.keys), 2))
+        return g.keys.ask(key[0], (g.keys.counts > 1) | np.full(len(g.keys.keys), 2) | g.keys.counts << 2)
 
-    live = dealt.groupBy("q").applyInPandas(ask, ASK).groupBy("part").applyInPandas(repeated, REPLY)
+    live = written(dealt.groupBy("q").applyInPandas(ask, ASK).groupBy("part").applyInPandas(_repeated, REPLY + ", n long"), "repeats")
+    rounds = min(2**bits, _rounds(live.agg(F.sum("n")).first()[0] or 0, groups * group_bytes, window, gram))
 
     def tell(key, pdf, replies):
         g = _Group(pdf, window, gram, bits)
-        return _asked(*g.strings(replies), g.docs, bits, key[0], window)
+        return _asked(*g.strings(replies), g.docs, key[0], window)
+
+    def serve(k: int) -> DataFrame:
+        mine = live.where(F.col("part") % rounds == k).groupBy("q")
+        return written(dealt.groupBy("q").cogroup(mine).applyInPandas(tell, ASK).groupBy("part").applyInPandas(lambda key, pdf: _earliest(key, pdf, window, gram), REPLY), "answers")
 
-    told = dealt.groupBy("q").cogroup(live.groupBy("q")).applyInPandas(tell, ASK).groupBy("part").applyInPandas(lambda key, pdf: _earliest(key, pdf, window), REPLY)
+    told = functools.reduce(DataFrame.unionByName, [serve(k) for k in range(rounds)])
 
     def finish(key, pdf, replies):
         docs = opened(pdf)
-        size = np.array([len(x) for _, x in docs], np.int64)
+        ids, size = (np.array(x, np.int64) for x in zip(*((i, len(x)) for i, x in docs)))
         base = np.cumsum(size) - size
-        gone, touched = np.zeros(int(size.sum()), bool), set()
+        gone, touched = np.zeros(int(size.sum()) + 1, np.int32), np.zeros(len(docs), bool)
         for body in replies.loc[replies["part"] < 0, "body"]:
-            part, n, count, d, a = (unpacked(x) for x in parted(body))
-            ids = np.array([i for i, _ in docs], np.int64)
+            part, n, count, at = (unpacked(x) for x in parted(body))
+            at = np.cumsum(at)
+            d = np.searchsorted(base, at, "right") - 1
             before = np.cumsum(n) - n
             least = np.repeat(np.minimum.reduceat(ids[d], np.cumsum(count) - count), n)
-            for p, better in zip(replies["part"], replies["body"]):
-                if p >= 0:
-                    where, what = (np.cumsum(unpacked(x)) for x in parted(better))
-                    least[before[np.searchsorted(part, p)] + where] = what
+            better = np.zeros(len(least) + 1, np.int8)
+            for p, told_ in zip(replies["part"], replies["body"]):
+                k = int(np.searchsorted(part, p))
+                if p >= 0 and k < len(part) and part[k] == p:  # of the same round
+                    first, length = (unpacked(x) for x in parted(told_))
+                    first = before[k] + np.cumsum(first)
+                    better[first] += 1
+                    better[first + length] -= 1
+            least[np.cumsum(better[:-1], dtype=np.int8) > 0] = NO_ID  # smaller than any document here that holds the window
             low, high = (f.reduceat(least, before) for f in (np.minimum, np.maximum))
             k, own = np.repeat(np.arange(len(n)), count), ids[d]
-            at = base[d] + a
             full = high[k] < own  # windows that start in [at, at + n)
             starts, ends = [at[full]], [at[full] + n[k[full]]]
-            for i in np.flatnonzero(~full & (low[k] < own)).tolist():
-                first = before[k[i]]
-                x, y = runs(least[first : first + n[k[i]]] < own[i])
-                starts.append(at[i] + x)
-                ends.append(at[i] + y)
-                touched.add(int(d[i]))
-            touched.update(np.unique(d[full]).tolist())
-            for x, y in zip(np.concatenate(starts).tolist(), (np.concatenate(ends) - 1 + window).tolist()):
-                gone[x:y] = True
+            touched[d[full]] = True
+            some = np.flatnonzero(~full & (low[k] < own))
+            each = n[k[some]]
+            inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            lost = least[np.repeat(before[k[some]], each) + inside] < np.repeat(own[some], each)
+            starts.append((np.repeat(at[some], each) + inside)[lost])
+            ends.append(starts[-1] + 1)
+            touched[d[some]] = True
+            np.add.at(gone, np.concatenate(starts), 1)
+            np.add.at(gone, np.concatenate(ends) - 1 + window, -1)
+        gone = np.cumsum(gone[:-1]) > 0
         rows = []
         for i, ((doc, body), at) in enumerate(zip(docs, base.tolist())):
             lost = gone[at : at + len(body)]
-            kept = np.frombuffer(body, np.uint8)[~lost].tobytes() if i in touched else body
-            spans = len(runs(lost)[0]) if i in touched else 0
+            kept = np.frombuffer(body, np.uint8)[~lost].tobytes() if touched[i] else body
+            spans = len(runs(lost)[0]) if touched[i] else 0
             rows.append((None if doc == NO_ID else doc, len(body), len(body) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
         out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
         return out if keep_bytes else out.drop(columns="kept")

@@ -93,6 +93,98 @@ def test_bytes(spark, group_bytes, piece, monkeypatch):
     assert suffixes.drop_repeats(empty(spark)).count() == 0
 
 
+def _shuffled(spark):
+    """Bytes of the block manager's files."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).length() for k in range(files.size()))
+
+
+def test_rounds_of_strings(spark, monkeypatch):
+    names, write = [], suffixes.written
+    monkeypatch.setattr(suffixes, "written", lambda df, name: names.append(name) or write(df, name))
+    monkeypatch.setattr(suffixes, "ROUND", 0.05)
+    rows = _rows()
+    got = suffixes.drop_repeats(tricky(spark, rows), group_bytes=3000).collect()
+    assert names.count("answers") > 5
+    assert Counter((LOW if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == _bytes_model(rows)
+
+
+def test_copies_do_not_pile_up_on_disk(spark):
+    r = random.Random(11)
+    texts = ["".join(r.choices("abcdefghijklmnop", k=4000)) for _ in range(100)]
+    docs = spark.createDataFrame([(100 * copy + k, t) for copy in range(4) for k, t in enumerate(texts)], "doc_id long, text string")
+    before = _shuffled(spark)
+    out = suffixes.drop_repeats(docs, group_bytes=200_000)
+    out.write.format("noop").mode("overwrite").save()
+    # 0.64 times the texts; 3.6 times where one plan keeps hashes, strings and answers to its end
+    assert _shuffled(spark) - before < 1.2 * 400 * 4000
+    assert [tuple(x) for x in out.groupBy((out.doc_id >= 100).alias("copy")).sum("n_removed").orderBy("copy").collect()] == [(False, 0), (True, 300 * 4000)]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_a_round_holds_a_bounded_share():
+    import pandas as pd
+    import zstandard
+
+    from nodeflow.llm.packed import packed
+
+    r = random.Random(5)
+    texts = ["".join(r.choices("abcdefghijklmnop ", k=r.randint(0, 9000))).encode() for _ in range(60)]
+    g = suffixes._Group(pd.DataFrame({"doc_id": range(60), "body": [zstandard.ZstdCompressor().compress(t) for t in texts]}), 50, 24, 4)
+    live = pd.DataFrame({"part": g.keys.parts, "body": [packed(np.diff(np.arange(y - x), prepend=0)) for x, y in zip(g.keys.starts, g.keys.ends)]})
+    rounds = suffixes._rounds(int(g.keys.counts.sum()), len(g.text), 50, 24)
+    for k in range(rounds):
+        strings, part, inside, count, docs, starts = g.strings(live[live["part"] % rounds == k])
+        assert set(part % rounds) <= {k} and sum(map(len, strings)) < 1.3 * suffixes.ROUND * len(g.text)
+        owner = [docs[i] for i in np.cumsum(count) - count]
+        assert all(x in texts[d] for x, d in zip(strings, owner))
+    assert rounds > 1
+
+
+@pytest.mark.parametrize("window,gram", [(50, 24), (20, 8), (16, 16)])
+def test_anchors_of_joined_texts(window, gram, monkeypatch):
+    monkeypatch.setattr(suffixes, "PIECE", 37)
+    r = random.Random(window)
+    texts = ["".join(r.choices("ab ", k=k)).encode() for k in (0, 5, 0, 0, window, window - 1, 400, 0, 61, window + 1, 0)]
+    texts += [texts[6], b""]
+    ends = np.cumsum([len(t) for t in texts])
+    begins, text = np.append(0, ends[:-1]), b"".join(texts)
+    named, at = {}, []
+    for first, last, key, inside in suffixes._anchors(text, begins, ends, window, gram):
+        for x, y, k, i in zip(first.tolist(), last.tolist(), key.tolist(), inside.tolist()):
+            at += range(x, y + 1)
+            for w in range(x, y + 1):
+                named.setdefault(text[w : w + window], set()).add((k, x + i - w, text[x + i : x + i + gram]))
+    assert at == [b + k for b, t in zip(begins.tolist(), texts) for k in range(len(t) - window + 1)]
+    assert all(len(x) == 1 for x in named.values())
+
+
+def test_suffix_arrays_of_some_anchors(monkeypatch):
+    r = random.Random(9)
+    strings, anchor = [], []
+    for a in range(40):
+        phrase = bytes(r.choices(b"abcdefgh", k=50))
+        mine = {bytes(r.choices(b"abcdefgh", k=r.randint(0, 12))) + phrase + bytes(r.choices(b"xy", k=r.randint(0, 3))) for _ in range(r.choice([1, 2, 9]))}
+        strings += mine
+        anchor += [a] * len(mine)
+    mixed_up = r.sample(range(len(strings)), len(strings))
+    strings, anchor = [strings[i] for i in mixed_up], np.array([anchor[i] for i in mixed_up])
+    n, every = np.array([len(x) - 49 for x in strings]), np.array(r.sample(range(1000), len(strings)))
+    sizes, classes = [], suffixes.classes
+    monkeypatch.setattr(suffixes, "classes", lambda some, window: sizes.append(len(some)) or classes(some, window))
+    monkeypatch.setattr(suffixes, "ARRAY_BYTES", 700)
+    smallest, start = suffixes._least(strings, anchor, n, every, 50)
+    assert len(sizes) > 5 and sum(sizes) == int((start >= 0).sum())
+    least = {}
+    for x, d in zip(strings, every.tolist()):
+        for k in range(len(x) - 49):
+            least[x[k : k + 50]] = min(least.get(x[k : k + 50], d), d)
+    for i, x in enumerate(strings):
+        alone = int((anchor == anchor[i]).sum()) == 1
+        assert (start[i] < 0) == alone
+        assert alone or smallest[start[i] : start[i] + n[i]].tolist() == [least[x[k : k + 50]] for k in range(n[i])]
+
+
 @pytest.mark.parametrize("letters", [1, 2, 4])
 def test_window_classes_of_bounded_depth(letters):
     rng = np.random.default_rng(letters)
